@@ -2,8 +2,8 @@
 
 Benchmark passages are TF-IDF vectors over their own telling words, weighted by how many passages of the
 corpus hold each word.  A distributed randomised SVD of that matrix gives a latent space.  Every passage
-of every document is projected into it, and benchmark passages within a cosine are its candidates.  A
-candidate counts if the longest common subsequence of words covers enough of the benchmark item, or
+of every document is projected into it, and benchmark passages within a cosine are its candidates.  Where
+half of the item's telling words are near, a candidate counts if the longest common subsequence of words covers enough of the benchmark item, or
 covers less and the item's answer (its last words) is there too, as in a paraphrase.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import batch_texts, col, id_and_text, pieces, slices, span_hashes, word_spans
+from geoflow.llm.common import batch_texts, col, id_and_text, pieces, slices, small_batches, span_hashes, word_spans
 
 #: Fixed value: ASCII punctuation and white space count as spaces.
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c", b" " * 37)
@@ -57,30 +57,35 @@ class Vocabulary:
         return out
 
 
-def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
-    """The length of the longest common subsequence, with the item's places as bits of one number."""
-    masks: dict[int, int] = {}
+def places(item: np.ndarray) -> dict[int, int]:
+    """For each word, its places in the item as bits of one number."""
+    out: dict[int, int] = {}
     for k, w in enumerate(item.tolist()):
-        masks[w] = masks.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
-    v = full
-    for w in region.tolist():
-        m = masks.get(w)
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def common_subsequence(masks: dict[int, int], size: int, region: list[int]) -> int:
+    """The length of the longest common subsequence of an item (its words' places) and a region."""
+    full = v = (1 << size) - 1
+    for m in map(masks.get, region):
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
+    return size - v.bit_count()
 
 
 @dataclass
 class Index:
     ids: list[int]
-    items: list[np.ndarray]  # the words of each item
-    answers: list[np.ndarray]
+    items: list[tuple[dict[int, int], int]]  # the places of each item's words, and their number
+    answers: list[tuple[dict[int, int], int]]
     vocabulary: Vocabulary
     project: np.ndarray  # terms + 1 (zero) x rank: idf times the latent basis
     passages: np.ndarray  # passages x rank, of length one
     owner: np.ndarray  # the item of each
+    holders: tuple[np.ndarray, np.ndarray]  # the items that hold each term, one after another, and where each term's begin
+    telling: np.ndarray  # how many of each item's words are terms
     window: int
     stride: int
 
@@ -136,7 +141,11 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], *, id_col: str, t
     latent = np.array([(np.array(v)[:, None] * basis[t]).sum(0) for t, v in rows]).reshape(-1, basis.shape[1])
     length = np.linalg.norm(latent, axis=1, keepdims=True)
     ok = length[:, 0] > 1e-6
-    return Index([i for i, _ in lists], [w for _, w in lists], [w[-answer_words:] for _, w in lists], vocabulary, project, (latent[ok] / length[ok]).astype(np.float32), np.array(owner)[ok], window, stride)
+    held = [vocabulary.find(w) for _, w in lists]
+    held = [f[f < len(terms)] for f in held]
+    pairs = np.unique(np.concatenate([np.unique(f).astype(np.int64) * len(lists) + k for k, f in enumerate(held)]))
+    holders = pairs % len(lists), np.searchsorted(pairs // len(lists), np.arange(len(terms) + 1))
+    return Index([i for i, _ in lists], [(places(w), len(w)) for _, w in lists], [(places(w[-answer_words:]), len(w[-answer_words:])) for _, w in lists], vocabulary, project, (latent[ok] / length[ok]).astype(np.float32), np.array(owner)[ok], holders, np.array([len(f) for f in held]), window, stride)
 
 
 def _svd(spark, rows: list[tuple[list[int], list[float]]], n_terms: int, rank: int, power: int, seed: int) -> np.ndarray:
@@ -186,25 +195,45 @@ def search(text: str, index: Index, cosine: float, covered: float, covered_with_
     length = np.linalg.norm(window, axis=1, keepdims=True)
     score = (window / np.maximum(length, 1e-9)) @ index.passages.T
     row, passage = np.nonzero(score >= cosine)
+    if len(row):
+        ok = _told(index, found[known], known // index.stride, n, at[row], index.owner[passage])
+        row, passage = row[ok], passage[ok]
     best: dict[int, tuple[float, float]] = {}
     order = np.argsort(-score[row, passage], kind="stable")
     tried: set[tuple[int, int]] = set()
+    listed = hashes.tolist() if len(row) else []
     for r, p in zip(row[order].tolist(), passage[order].tolist(), strict=True):
         k = int(index.owner[p])
         if (at[r], k) in tried or (k in best and best[k][1] >= 1):
             continue
         tried.add((at[r], k))
-        item = index.items[k]
+        size = index.items[k][1]
         begin = int(at[r]) * index.stride
-        region = hashes[max(0, begin - len(item)) : begin + index.window + len(item)]
-        share = common_subsequence(item, region) / len(item)
-        answer = index.answers[k]
-        whole = share >= covered or (share >= covered_with_answer and common_subsequence(answer, region) == len(answer))
+        region = listed[max(0, begin - size) : begin + index.window + size]
+        share = common_subsequence(*index.items[k], region) / size
+        whole = share >= covered or (share >= covered_with_answer and common_subsequence(*index.answers[k], region) == index.answers[k][1])
         if whole and share > best.get(k, (0, 0))[1]:
             best[k] = float(score[r, p]), share
     return [(k, c, s) for k, (c, s) in sorted(best.items())]
 
 
+def _told(index: Index, terms: np.ndarray, step: np.ndarray, n: int, at: np.ndarray, item: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """For candidates (window, item), whether the text around the window has at least that share of the item's telling words."""
+    items, back = np.unique(item, return_inverse=True)
+    place = np.full(len(index.telling), -1)
+    place[items] = np.arange(len(items))
+    flat, first = index.holders
+    many = first[terms + 1] - first[terms]
+    owner = place[flat[np.repeat(first[terms] - np.cumsum(many) + many, many) + np.arange(many.sum())]]
+    cell = (np.repeat(step, many) * len(items) + owner)[owner >= 0]
+    total = np.zeros((n + 1, len(items)), np.int64)
+    total[1:] = np.cumsum(np.bincount(cell, minlength=n * len(items)).reshape(n, len(items)), axis=0)
+    size = np.array([index.items[k][1] for k in items])[back]
+    low = np.maximum(at - -(-size // index.stride), 0)
+    high = np.minimum(at + -(-(index.window + size) // index.stride), n)
+    return total[high, back] - total[low, back] >= least * index.telling[item]
+
+
 def item_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about `most`, by a hash of their ids, so that any benchmark fits."""
     items = benchmark.select(col(item_col).cast("long").alias("item_id"), col(text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
@@ -215,7 +244,7 @@ def item_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, most: int
             yield [(r.item_id, r.text) for r in got]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 128, cosine: float = 0.45, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 96, cosine: float = 0.5, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
     """doc_id, item_ids (ascending), best_cosine, best_cover of each row that holds a benchmark item.
 
     Whole texts are searched.  Null and empty texts and items hold nothing; an item whose every word is
@@ -248,8 +277,9 @@ def _searcher(docs: DataFrame, index: Index, *limits: float):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 128, cosine: float = 0.45, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 96, cosine: float = 0.5, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
     """The rows of docs in which no item is found, all columns, rows judged one by one; null texts stay."""
+    small_batches(docs)
     names, out = docs.columns, docs
     at = names.index(text_col)
     for items in item_blocks(benchmark, item_col=item_col, text_col=item_text_col, most=items_per_block):
