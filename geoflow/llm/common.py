@@ -43,7 +43,15 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> None:
+    """Lets Arrow batches of this session hold few rows, unless it has a number of its own: texts can be long."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    small_batches(docs)
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), *more)
 
 
@@ -62,6 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], name: str = "text", limit: int = 4
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import batch_texts, col, gram_blocks, has_letter, id_and_text, slices
+from geoflow.llm.common import batch_texts, col, gram_blocks, has_letter, id_and_text, slices, small_batches
 
 UNDETERMINED = "und"
 
@@ -116,6 +116,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text
     Null and empty texts and texts without a letter are `und`, score 0.  Ties go to the language that
     sorts first.  Rows that repeat are judged each.  Existing columns of the added names are replaced.
     """
+    small_batches(docs)
     share = docs.sparkSession.sparkContext.broadcast(filters)  # a table of fixed size
     docs = docs if keep else docs.drop("lang_pred", "lang_score")
     names = docs.columns

@@ -22,7 +22,7 @@ from geoflow.llm.common import batch_texts, id_and_text, slices
 
 #: Fixed value: the character that stands for a space in pieces.
 SPACE = "▁"
-CHUNKS_KEPT = 600_000
+CHUNKS_KEPT = 150_000
 
 
 class CharacterMap:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import batch_texts, id_and_text, slices
+from geoflow.llm.common import batch_texts, id_and_text, slices, small_batches
 
 #: The base patterns, in the order of their kinds.
 KINDS = ("assign", "access", "hex")
@@ -217,6 +217,7 @@ def redact(docs: DataFrame, grammar: Grammar, *, text_col: str = "text", chars_c
 
     All rows stay; null texts stay null.
     """
+    small_batches(docs)
     share = docs.sparkSession.sparkContext.broadcast(grammar)
     names = docs.columns
     at, n_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
