@@ -5,13 +5,14 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The finaliser of splitmix64, and an odd base for polynomial hashes.
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -55,6 +56,15 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"), *more)
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *more: T.StructField) -> DataFrame:
+    """run over all columns, which it sees and returns as c0, c1 and so on, those of `more` last: any name can be in docs."""
+    small_batches(docs)
+    names = [f"c{i}" for i in range(len(docs.columns) + len(more))]
+    kinds = [f.dataType for f in docs.schema] + [f.dataType for f in more]
+    out = docs.toDF(*names[: len(docs.columns)]).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+    return out.toDF(*docs.columns, *(f.name for f in more))
+
+
 def batch_texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]

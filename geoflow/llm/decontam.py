@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import batch_texts, col, id_and_text, pieces, slices, small_batches, span_hashes, word_spans
+from geoflow.llm.common import batch_texts, col, id_and_text, map_rows, pieces, slices, span_hashes, word_spans
 
 #: Fixed value: ASCII punctuation and white space count as spaces.
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c", b" " * 37)
@@ -101,9 +101,9 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], *, id_col: str, t
     lists = [(i, w) for i, w in lists if len(w)]
     if not lists:
         return None
-    share = np.concatenate([np.unique(w) for _, w in lists])
-    terms, n_items = np.unique(share, return_counts=True)
-    terms = terms[n_items <= max(1, common * len(lists))]
+    different = list({w.tobytes(): w for _, w in lists}.values())
+    terms, n_items = np.unique(np.concatenate([np.unique(w) for w in different]), return_counts=True)
+    terms = terms[n_items <= max(2, common * len(different))]
     vocabulary = Vocabulary(terms)
     sent = spark.sparkContext.broadcast(vocabulary)  # of a block of items
 
@@ -248,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """doc_id, item_ids (ascending), best_cosine, best_cover of each row that holds a benchmark item.
 
     Whole texts are searched.  Null and empty texts and items hold nothing; an item whose every word is
-    common to over `common` of the items isn't found.  Repeated items are found each, repeated rows too.
+    common to over `common` of the items (and to over two) isn't found.  Repeated items are found each, repeated rows too.
     """
     found = None
     for items in item_blocks(benchmark, item_col=item_col, text_col=item_text_col, most=items_per_block):
@@ -279,9 +279,7 @@ def _searcher(docs: DataFrame, index: Index, *limits: float):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 96, cosine: float = 0.5, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
     """The rows of docs in which no item is found, all columns, rows judged one by one; null texts stay."""
-    small_batches(docs)
-    names, out = docs.columns, docs
-    at = names.index(text_col)
+    out, at = docs, docs.columns.index(text_col)
     for items in item_blocks(benchmark, item_col=item_col, text_col=item_text_col, most=items_per_block):
         index = build_index(docs, items, id_col=id_col, text_col=text_col, window=window, stride=stride, rank=rank, common=common, answer_words=answer_words)
         if index is None:
@@ -289,10 +287,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         sent = docs.sparkSession.sparkContext.broadcast(index)  # of a block of items
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            named = (pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" for i in range(len(b.columns))]) for b in batches)
-            for batch in slices(named, f"c{at}"):
-                ok = [not search(t, sent.value, cosine, covered, covered_with_answer) for t in batch_texts(batch, f"c{at}")]
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns, names=names)
+            for batch in slices(batches, f"c{at}"):
+                yield batch.filter(pa.array([not search(t, sent.value, cosine, covered, covered_with_answer) for t in batch_texts(batch, f"c{at}")], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_rows(out, run)
     return out

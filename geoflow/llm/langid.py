@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import batch_texts, col, gram_blocks, has_letter, id_and_text, slices, small_batches
+from geoflow.llm.common import batch_texts, col, gram_blocks, has_letter, id_and_text, map_rows, slices
 
 UNDETERMINED = "und"
 
@@ -116,21 +116,16 @@ def identify(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text
     Null and empty texts and texts without a letter are `und`, score 0.  Ties go to the language that
     sorts first.  Rows that repeat are judged each.  Existing columns of the added names are replaced.
     """
-    small_batches(docs)
     share = docs.sparkSession.sparkContext.broadcast(filters)  # a table of fixed size
     docs = docs if keep else docs.drop("lang_pred", "lang_score")
-    names = docs.columns
-    at = names.index(text_col)
+    at, n = docs.columns.index(text_col), len(docs.columns)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = (pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" for i in range(len(b.columns))]) for b in batches)
-        for batch in slices(named, f"c{at}"):
+        for batch in slices(batches, f"c{at}"):
             langs, scores = share.value.decide(batch_texts(batch, f"c{at}"))
             if keep:
-                batch = batch.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(langs, scores, strict=True)]))
-                yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+                yield batch.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
             else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[f"c{i}" for i in range(n + 2)])
 
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + ([] if keep else [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
-    return docs.mapInArrow(judge, schema)
+    return map_rows(docs, judge, *([] if keep else [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))

@@ -140,8 +140,8 @@ def normalise(text: str, rules: Rules) -> tuple[bytes, np.ndarray]:
         blank = rules.squeeze and new.endswith(b" ")
     if rules.squeeze:
         while out.endswith(space):
+            last = origin[-len(space)]
             del out[-len(space) :], origin[-len(space) :]
-            last = origin[-1] if not origin else last
     return bytes(out), np.array([*origin, last], np.int64)
 
 

@@ -18,9 +18,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from geoflow.llm.common import batch_texts, id_and_text, slices, small_batches
+from geoflow.llm.common import batch_texts, id_and_text, map_rows, slices
 
 #: The base patterns, in the order of their kinds.
 KINDS = ("assign", "access", "hex")
@@ -217,14 +216,12 @@ def redact(docs: DataFrame, grammar: Grammar, *, text_col: str = "text", chars_c
 
     All rows stay; null texts stay null.
     """
-    small_batches(docs)
     share = docs.sparkSession.sparkContext.broadcast(grammar)
     names = docs.columns
     at, n_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = (pa.RecordBatch.from_arrays(b.columns, names=[f"c{i}" for i in range(len(b.columns))]) for b in batches)
-        for batch in slices(named, f"c{at}"):
+        for batch in slices(batches, f"c{at}"):
             out, cols = [], list(batch.columns)
             for text in batch.column(at).to_pylist():
                 if text:
@@ -242,6 +239,6 @@ def redact(docs: DataFrame, grammar: Grammar, *, text_col: str = "text", chars_c
             if n_at is not None:
                 old = cols[n_at].to_pylist()
                 cols[n_at] = pa.array([o if t is None else len(t) for o, t in zip(old, out, strict=True)], cols[n_at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return map_rows(docs, run)
