@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import batch_texts, id_and_text, shared_dir, slices
+from geoflow.llm.common import batch_texts, id_and_text, materialise, shared_dir, slices
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Rises with each change of this module that could change a count.
@@ -99,4 +99,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
 
     misses.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"))
-    return sized.join(cache(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
+    known = materialise(cache(), "token-counts-read")  # plain on both sides, so that a digest of very many rows can be split
+    return sized.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
