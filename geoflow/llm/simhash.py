@@ -153,21 +153,22 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(fps), pa.list_(pa.int64()))], names=["doc_id", "fp"])
 
     marked = materialise(rows.where("doc_id is not null").mapInArrow(run, "doc_id long, fp array<long>"), "fingerprints")
-    same = marked.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = materialise(same, "nodes")
-    segments = F.flatten(F.transform("fp", lambda x, i: F.array(F.struct((i * 2).alias("side"), F.shiftrightunsigned(x, 32).alias("key")), F.struct((i * 2 + 1).alias("side"), x.bitwiseAND(F.lit(0xFFFFFFFF)).alias("key")))))
-    table = nodes.select("id", F.explode(segments).alias("h")).select("id", "h.side", "h.key")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    # a segment's place and value in one number
+    low = F.lit(0xFFFFFFFF)
+    segments = F.flatten(F.transform("fp", lambda x, i: F.array(*(F.shiftleft((i * 2 + h).cast("long"), 32).bitwiseOR(v) for h, v in ((0, F.shiftrightunsigned(x, 32)), (1, x.bitwiseAND(low)))))))
+    table = nodes.select("id", F.explode(segments).alias("key"))
     ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(32)))
+    around = nodes.select("id", F.explode(segments).alias("own")).select("id", F.explode(F.transform(ball, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
     near = F.aggregate(F.zip_with("fp", "lead_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n) <= distance
     lead_fp = nodes.select(F.col("id").alias("lead"), F.col("fp").alias("lead_fp"))
     pairs = None
     while True:
-        leads = table.groupBy("side", "key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
-        probe = nodes.select("id", F.explode(segments).alias("h")).select("id", "h.side", F.explode(F.transform(ball, lambda m: F.col("h.key").bitwiseXOR(m))).alias("key"))
-        found = probe.join(leads, ["side", "key"]).where("id != lead").select("id", "lead").distinct()
+        leads = table.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
+        found = around.join(leads, "key").where("id != lead").select("id", "lead").distinct()
         found = materialise(found.join(nodes, "id").join(lead_fp, "lead").where(near).select("id", "lead"), "pairs")
         pairs = found if pairs is None else pairs.union(found)
-        left = table.join(leads.where("n > 1").drop("n"), ["side", "key"]).where("id != lead").join(found, ["id", "lead"], "left_anti").select("id", "side", "key")
+        left = table.join(leads.where("n > 1").drop("n"), "key").where("id != lead").join(found, ["id", "lead"], "left_anti").select("id", "key")
         table = materialise(left, "unled")
         if table.isEmpty():
             break
@@ -186,8 +187,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     linked = materialise(components(both.mapInArrow(alike, "a long, b long")), "groups")
-    gone = marked.join(same, "fp").select("doc_id", "id").join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("stays"))
+    gone = marked.join(nodes, "fp").select("doc_id", "id").join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("stays"))
     gone = materialise(gone.where("doc_id != stays").select("doc_id").distinct(), "gone").select(F.col("doc_id").alias("_gone_id"))
+    gone = gone.hint("merge")  # the ids that go grow with the documents; the plan is the same at every size
     left = docs.join(gone, col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
     if not marked.groupBy("doc_id").count().where("count > 1").isEmpty():
         left = left.where(col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(col(id_col).isNull()))
