@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geoflow.functions.aggregates import FID
 from geoflow.functions.expressions import Parser
-from geoflow.operators import classes, geometry, groups, joins, rows
+from geoflow.operators import classes, geometry, groups, joins, rows, shapes
 from geoflow.sources import files
 
 #: Other names of commands.
@@ -183,6 +183,35 @@ class Session:
             method = o.get("method") or next((w for w in words if w in ("quantile", "equal-interval", "hybrid", "indexed", "categorical")), None)
             values = n("values") if "values" in o and all(re.fullmatch(r"-?[\d.]+", x) for x in listed(o["values"])) else listed(o.get("values") or o.get("colors")) or None
             return classes.classify(df, o.get("field") or first, method=method, breaks=n("breaks"), classes=int(o["classes"]) if "classes" in o else None, values=values, categories=listed(o.get("categories")) or None, null_value=o.get("null-value"), other=o.get("other"), invert="invert" in flags, continuous="continuous" in flags, save_as=o.get("save-as", "class"))
+        number = lambda k, default=None: float(o[k]) if k in o else default
+        box = lambda k="bbox": tuple(float(x) for x in listed(o[k]))
+        if name == "points" and flags & {"centroid", "vertices", "endpoints", "midpoints"}:
+            return shapes.to_points(df, first)
+        if name == "lines":
+            kind = df.where("geom is not null").select("geom.type").first()
+            return shapes.points_to_line(df, listed(o.get("groupby"))) if kind and kind[0] == "point" else shapes.border_lines(df)
+        if name in ("clip", "erase") and "bbox" in o:
+            return shapes.clip_box(df, box(), erase=name == "erase")
+        if name == "filter-slivers":
+            return shapes.filter_slivers(df, number("min-area", 0.0), sliver_control=number("sliver-control", 0.0), remove_empty="remove-empty" in flags)
+        if name == "filter-islands":
+            return shapes.filter_islands(df, min_area=number("min-area"), min_vertices=number("min-vertices"), remove_empty="remove-empty" in flags)
+        if name == "proj":
+            return df.withColumn("geom", shapes.project(F.col("geom"), first, inverse="inverse" in flags))
+        if name == "dashlines":
+            return shapes.dashes(df, number("dash-length"), number("gap-length"))
+        if name == "buffer":
+            return shapes.buffer_points(df, number("radius"), int(number("vertices", 72)))
+        if name == "data-fill":
+            return shapes.data_fill(df, o.get("field") or first)
+        if name == "check-geometry":
+            return shapes.crossings(df, number("cell", 1.0))
+        if name == "fuzzy-join":
+            return shapes.fuzzy_join(df, self.layers[first], o["field"], number("cell", 1.0))
+        if name == "point-to-grid":
+            return shapes.point_to_grid(df, box(), number("interval"), radius=number("radius"), calc=o.get("calc"))
+        if name == "simplify" and "visvalingam" in flags:
+            return df.withColumn("geom", shapes.simplify_area(F.col("geom"), number("interval") ** 2 / 4, weighted=number("weighting", 0.7)))
         if name == "points":
             return geometry.points_from_xy(df, o.get("x"), o.get("y"))
         if name == "explode":

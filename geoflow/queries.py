@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoflow.functions.aggregates import FID
-from geoflow.operators import classes, geometry, groups, joins, rows
+from geoflow.operators import classes, geometry, groups, joins, rows, shapes
 from geoflow.plans.session import Session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +285,64 @@ def windowed_calc(spark, sf_dir):
 
     out = calc(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "1 day", "n = count(), total = sum(value)", keys=["event_type"])
     return out.withColumn("total", F.round("total", 2))
+
+
+def xy(df: DataFrame, *names: str) -> DataFrame:
+    at = F.col("geom")["parts"][0][0]
+    return df.select(*names, F.round(at["x"], 6).alias("x"), F.round(at["y"], 6).alias("y"))
+
+
+@query("""select cast(row * 18 + col as bigint) as fid, -170.5 + 20 * col as x, -80.5 + 20 * row as y from range(18) a(col), range(9) b(row)""")
+def points_centroid(spark, sf_dir):
+    return xy(shapes.to_points(cells(spark, sf_dir), "centroid").withColumn("fid", F.col(FID)), "fid")
+
+
+@query("""select 'inner' as kind, cast(17 * 9 + 18 * 8 as bigint) as n, (17 * 9 + 18 * 8) * 20.0 as total union all select 'outer', cast(2 * (18 + 9) as bigint), 2 * (18 + 9) * 20.0""")
+def border_lines(spark, sf_dir):
+    lines = shapes.border_lines(cells(spark, sf_dir))
+    return lines.groupBy(F.col("TYPE").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(geometry.length(F.col("geom"))).alias("total"))
+
+
+@query(f"""select c_nationkey, cast(count(*) as bigint) as vertices, round(sum(step), 4) as total from (select *, sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as step from {XY_SQL} window w as (partition by c_nationkey order by c_custkey)) group by 1 having count(*) > 1""")
+def points_to_lines(spark, sf_dir):
+    lines = shapes.points_to_line(points(spark, sf_dir), ["c_nationkey"]).where("geom is not null")
+    return lines.select("c_nationkey", F.size(F.col("geom.parts")[0]).cast("long").alias("vertices"), F.round(geometry.length(F.col("geom")), 4).alias("total"))
+
+
+@query("""select cast(row * 18 + col as bigint) as fid, (least(50.0, -160.5 + 20 * col) - greatest(-50.0, -180.5 + 20 * col)) * (least(30.0, -70.5 + 20 * row) - greatest(-30.0, -90.5 + 20 * row)) as area
+          from range(18) a(col), range(9) b(row) where -160.5 + 20 * col > -50 and -180.5 + 20 * col < 50 and -70.5 + 20 * row > -30 and -90.5 + 20 * row < 30""")
+def clip_to_box(spark, sf_dir):
+    out = shapes.clip_box(cells(spark, sf_dir), (-50.0, -30.0, 50.0, 30.0))
+    return out.select(F.col(FID).alias("fid"), geometry.planar_area(F.col("geom")).alias("area"))
+
+
+@query(f"""select c_custkey, round(x * pi() / 180 * 6378137, 3) as x, round(ln(tan(pi() / 4 + y * pi() / 360)) * 6378137, 3) as y from {XY_SQL} where y > -90 and y < 90""")
+def project_mercator(spark, sf_dir):
+    df = points(spark, sf_dir).where("y > -90 and y < 90").drop("x", "y")
+    at = F.col("geom")["parts"][0][0]
+    return df.withColumn("geom", shapes.project(F.col("geom"), "merc")).select("c_custkey", F.round(at["x"], 3).alias("x"), F.round(at["y"], 3).alias("y"))
+
+
+@query(f"""select c_custkey, round(x * pi() / 180 * cos(y * pi() / 180) * 6378137, 3) as x, round(y * pi() / 180 * 6378137, 3) as y from {XY_SQL}""")
+def project_sinusoidal(spark, sf_dir):
+    at = F.col("geom")["parts"][0][0]
+    return points(spark, sf_dir).drop("x", "y").withColumn("geom", shapes.project(F.col("geom"), "sinu")).select("c_custkey", F.round(at["x"], 3).alias("x"), F.round(at["y"], 3).alias("y"))
+
+
+@query("""select case when i <= 36 then 'meridian' else 'parallel' end as type, case when i <= 36 then -180.0 + 10 * i else -90.0 + 10 * (i - 36) end as value,
+          cast(case when i > 36 then 361 when (-180 + 10 * i) % 90 = 0 then 181 else 161 end as integer) as vertices from range(54) t(i)""")
+def graticule(spark, sf_dir):
+    return shapes.graticule(spark).select("type", "value", F.size(F.col("geom.parts")[0]).alias("vertices"))
+
+
+@query(f"""select cast(x + 180 as bigint) as col, cast(y + 90 as bigint) as row, round(count(*) * pi() / 4, 6) as weight, cast(count(*) as bigint) as n, round(sum(c_acctbal), 2) as total from {XY_SQL} group by 1, 2""")
+def point_to_grid(spark, sf_dir):
+    out = shapes.point_to_grid(points(spark, sf_dir), (-180.5, -90.5, 180.5, 90.5), 1.0, calc="n = count(), total = sum(c_acctbal)")
+    return out.select("col", "row", F.round("weight", 6).alias("weight"), "n", F.round("total", 2).alias("total"))
+
+
+@query("""select cast(row * 18 + col as bigint) as fid, case when row < 4 then 'south' else 'north' end as side from range(18) a(col), range(9) b(row)""")
+def data_fill(spark, sf_dir):
+    """Every third column of cells is empty; its neighbours in the same row and column decide."""
+    df = cells(spark, sf_dir).withColumn("side", F.when(F.col("col") % 3 != 1, F.when(F.col("row") < 4, "south").otherwise("north")))
+    return shapes.data_fill(df, "side").select(F.col(FID).alias("fid"), "side")

@@ -194,6 +194,11 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
     kind = (re.search(r"\.(\w+)(?:\.gz)?$", path) or [None, "parquet"])[1].lower()
     if kind == "geojson":
         return read_geojson(spark, path, **options)
+    from geoflow.sources import binary
+
+    special = {"dbf": binary.read_dbf, "shp": binary.read_shapefile, "topojson": binary.read_topojson}
+    if kind in special:
+        return special[kind](spark, path, **options)
     if kind in ("csv", "tsv", "txt", "dsv"):
         df = read_delimited(spark, path, **options)
     elif kind in ("json", "ndjson"):
