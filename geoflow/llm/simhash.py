@@ -134,46 +134,46 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 4, distance: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 4, segment: int = 26, distance: int = 56) -> DataFrame:
     """The rows of docs without near-duplicates of a smaller doc_id; rows without an id stay, and of rows that share an id one stays.
 
     Two texts are linked if their distinct shingles of `words` words have a Jaccard similarity of at least
     `similarity`.  At 0.8 about a seventh of a fingerprint's bits differ, far more than 3 in 64, so here
-    fingerprints have `width` times 64 bits and segments of 32.  Each segment value is led by its smallest
-    id; every document looks up the leaders of the 33 values around each of its segments, and whoever is
-    within `distance` bits of one is compared shingle by shingle.  Members of a value that its leader
-    doesn't take are led again by the smallest of themselves, until none is left.  A lookup yields one
-    leader, so large groups cost no more than others.
+    fingerprints have `width` times 64 bits, cut into as many segments of `segment` bits as they hold.  Each
+    segment value is led by its smallest id; a leader's ball of one bit around that value fetches all
+    documents with a segment in it, and whoever is within `distance` bits is compared with the leader
+    shingle by shingle.  Members of a value that its leader doesn't take are led again by the smallest of
+    themselves, until none is left.  A document meets at most one leader for each value of each ball and
+    round, so large groups cost no more than others.
     """
     rows = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.stack([wide_fingerprint(t, words, width) for t in batch_texts(batch)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(fps), pa.list_(pa.int64()))], names=["doc_id", "fp"])
-
-    marked = materialise(rows.where("doc_id is not null").mapInArrow(run, "doc_id long, fp array<long>"), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    # a segment's place and value in one number
-    low = F.lit(0xFFFFFFFF)
-    segments = F.flatten(F.transform("fp", lambda x, i: F.array(*(F.shiftleft((i * 2 + h).cast("long"), 32).bitwiseOR(v) for h, v in ((0, F.shiftrightunsigned(x, 32)), (1, x.bitwiseAND(low)))))))
-    table = nodes.select("id", F.explode(segments).alias("key"))
-    ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(32)))
-    around = nodes.select("id", F.explode(segments).alias("own")).select("id", F.explode(F.transform(ball, lambda m: F.col("own").bitwiseXOR(m))).alias("key"))
+            fps = np.stack([wide_fingerprint(t, words, width) for t in batch_texts(batch)])
+            whole = [int.from_bytes(x.astype(">u8").tobytes(), "big") for x in fps]
+            parts = [[k << segment | x >> k * segment & (1 << segment) - 1 for k in range(64 * width // segment)] for x in whole]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "fp", "parts"])
+
+    marked = materialise(rows.where("doc_id is not null").mapInArrow(run, "doc_id long, fp array<long>, parts array<long>"), "fingerprints")
+    nodes = materialise(marked.groupBy("fp", "parts").agg(F.min("doc_id").alias("id")), "nodes")
+    table = keys = nodes.select("id", F.explode("parts").alias("key"))  # a segment's place and value in one number
+    ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(segment)))
     near = F.aggregate(F.zip_with("fp", "lead_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n) <= distance
     lead_fp = nodes.select(F.col("id").alias("lead"), F.col("fp").alias("lead_fp"))
     pairs = None
     while True:
         leads = table.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
-        found = around.join(leads, "key").where("id != lead").select("id", "lead").distinct()
-        found = materialise(found.join(nodes, "id").join(lead_fp, "lead").where(near).select("id", "lead"), "pairs")
+        reach = leads.select("lead", F.explode(F.transform(ball, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+        found = keys.join(reach, "key").where("id != lead").select("id", "lead").distinct()
+        found = materialise(found.join(nodes.select("id", "fp"), "id").join(lead_fp, "lead").where(near).select("id", "lead"), "pairs")
         pairs = found if pairs is None else pairs.union(found)
         left = table.join(leads.where("n > 1").drop("n"), "key").where("id != lead").join(found, ["id", "lead"], "left_anti").select("id", "key")
         table = materialise(left, "unled")
         if table.isEmpty():
             break
     pairs = materialise(pairs.select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct().hint("merge")  # these ids grow with the documents, as do those that go
     sets = materialise(_shingle_sets(rows.join(wanted, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.first("grams").alias("grams")), "shingles")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -187,7 +187,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     linked = materialise(components(both.mapInArrow(alike, "a long, b long")), "groups")
-    gone = marked.join(nodes, "fp").select("doc_id", "id").join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("stays"))
+    gone = marked.select("doc_id", "fp").join(nodes.select("fp", "id"), "fp").select("doc_id", "id").join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("stays"))
     gone = materialise(gone.where("doc_id != stays").select("doc_id").distinct(), "gone").select(F.col("doc_id").alias("_gone_id"))
     gone = gone.hint("merge")  # the ids that go grow with the documents; the plan is the same at every size
     left = docs.join(gone, col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
