@@ -23,7 +23,7 @@ BLOCK_CHARS = 200_000
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; where that is unset, a local folder is set (local masters only)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_own_shared_dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_shared_dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")

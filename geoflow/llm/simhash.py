@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 4, segment: int = 26, distance: int = 56) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 8, segment: int = 26, distance: int = 112) -> DataFrame:
     """The rows of docs without near-duplicates of a smaller doc_id; rows without an id stay, and of rows that share an id one stays.
 
     Two texts are linked if their distinct shingles of `words` words have a Jaccard similarity of at least
