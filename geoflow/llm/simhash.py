@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoflow.llm.common import BASE, batch_texts, col, id_and_text, materialise, mix, slices
@@ -134,48 +135,50 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, width: int = 8, segment: int = 26, distance: int = 112) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_docs: int = 10_000, group: int = 32) -> DataFrame:
     """The rows of docs without near-duplicates of a smaller doc_id; rows without an id stay, and of rows that share an id one stays.
 
     Two texts are linked if their distinct shingles of `words` words have a Jaccard similarity of at least
-    `similarity`.  At 0.8 about a seventh of a fingerprint's bits differ, far more than 3 in 64, so here
-    fingerprints have `width` times 64 bits, cut into as many segments of `segment` bits as they hold.  Each
-    segment value is led by its smallest id; a leader's ball of one bit around that value fetches all
-    documents with a segment in it, and whoever is within `distance` bits is compared with the leader
-    shingle by shingle.  Members of a value that its leader doesn't take are led again by the smallest of
-    themselves, until none is left.  A document meets at most one leader for each value of each ball and
-    round, so large groups cost no more than others.
+    `similarity`; texts with equal sets are one node.  Candidates come from prefixes: with all sets sorted in
+    one order (rare in a sample first, then by hash), two linked sets share one of their first n - similarity
+    * n + 1 shingles, however long they are.  Bounds that no link can break (sizes, places in the order, and
+    how many bits of the sets' parities differ) drop most candidates, and the rest are compared shingle by
+    shingle.  In a prefix shingle of at most `group` nodes all pairs are candidates.  A larger one is led by
+    its smallest id, which meets all of it; only nodes that are linked to the leader leave, and the others
+    are led again, with eight times the `group` in each round.  So a link is lost only between two nodes that
+    are linked to different leaders in each of the larger groups they share, and nowhere else.
     """
     rows = id_and_text(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows, words, sample_docs))  # of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
         for batch in slices(batches):
-            fps = np.stack([wide_fingerprint(t, words, width) for t in batch_texts(batch)])
-            whole = [int.from_bytes(x.astype(">u8").tobytes(), "big") for x in fps]
-            parts = [[k << segment | x >> k * segment & (1 << segment) - 1 for k in range(64 * width // segment)] for x in whole]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "fp", "parts"])
-
-    marked = materialise(rows.where("doc_id is not null").mapInArrow(run, "doc_id long, fp array<long>, parts array<long>"), "fingerprints")
-    nodes = materialise(marked.groupBy("fp", "parts").agg(F.min("doc_id").alias("id")), "nodes")
-    table = keys = nodes.select("id", F.explode("parts").alias("key"))  # a segment's place and value in one number
-    ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(segment)))
-    near = F.aggregate(F.zip_with("fp", "lead_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n) <= distance
-    lead_fp = nodes.select(F.col("id").alias("lead"), F.col("fp").alias("lead_fp"))
-    pairs = None
-    while True:
-        leads = table.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n"))
-        reach = leads.select("lead", F.explode(F.transform(ball, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-        found = keys.join(reach, "key").where("id != lead").select("id", "lead").distinct()
-        found = materialise(found.join(nodes.select("id", "fp"), "id").join(lead_fp, "lead").where(near).select("id", "lead"), "pairs")
-        pairs = found if pairs is None else pairs.union(found)
-        left = table.join(leads.where("n > 1").drop("n"), "key").where("id != lead").join(found, ["id", "lead"], "left_anti").select("id", "key")
-        table = materialise(left, "unled")
-        if table.isEmpty():
-            break
-    pairs = materialise(pairs.select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct().hint("merge")  # these ids grow with the documents, as do those that go
-    sets = materialise(_shingle_sets(rows.join(wanted, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.first("grams").alias("grams")), "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+            digests, sizes, parity, prefix = [], [], [], []
+            for t in batch_texts(batch):
+                s = shingle_set(t, words)
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                parity.append(np.packbits(np.bincount(s & np.uint64(1023), minlength=1024) % 2 == 1).view(np.int64))
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                order = np.lexsort((mix(s), np.where(known[at] == s, often[at], 0)))
+                prefix.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parity, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "parity", "prefix"])
+
+    marked = materialise(rows.where("doc_id is not null").mapInArrow(run, "doc_id long, digest binary, n int, parity array<long>, prefix array<long>"), "shingle-prefixes")
+    nodes = materialise(marked.groupBy("digest", "n", "parity", "prefix").agg(F.min("doc_id").alias("id")), "nodes")
+    keys = nodes.select("id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("many > 1")
+    keys = materialise(keys, "shared-shingles")
+    least = similarity / (1 + similarity)  # the share of both sizes that linked sets have in common
+    bits = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
+
+    def candidates(leads: DataFrame) -> DataFrame:
+        leads = leads.select("key", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
+        met = keys.select("key", "id", "n", "at").join(leads.hint("merge"), "key").where((F.col("id") != F.col("lead")) & (F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")) >= least * (F.col("n") + F.col("lead_n")) - 1e-6))
+        met = met.select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
+        x = nodes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")).hint("merge")
+        y = nodes.select(F.col("id").alias("b"), "n", F.col("parity").alias("q")).hint("merge")
+        return met.join(x, "a").join(y, "b").where(bits <= (1 - 2 * least) * (F.col("m") + F.col("n")) + 1e-6).select("a", "b").distinct()
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +189,29 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 ok.append(shared >= similarity * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    linked = materialise(components(both.mapInArrow(alike, "a long, b long")), "groups")
-    gone = marked.select("doc_id", "fp").join(nodes.select("fp", "id"), "fp").select("doc_id", "id").join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("stays"))
+    def leaders(table: DataFrame) -> DataFrame:
+        first = table.where(F.col("many") > group).groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("z")).select("key", "z.*")
+        return table.where(F.col("many") <= group).select("key", "id", "n", "at").union(first)
+
+    table, links, sets = keys, None, None
+    while True:
+        pairs = materialise(candidates(leaders(table)), "pairs")
+        if sets is None:
+            wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(keys.where(F.col("many") > group).select(F.col("id").alias("doc_id")))
+            wanted = wanted.distinct().hint("merge")  # these ids grow with the documents, as do those that go
+            sets = materialise(_shingle_sets(rows.join(wanted, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.first("grams").alias("grams")), "shingles")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        found = materialise(both.mapInArrow(alike, "a long, b long"), "links")
+        links = found if links is None else links.union(found)
+        large = table.where(F.col("many") > group)
+        first = large.groupBy("key").agg(F.min("id").alias("lead"))
+        left = large.join(first, "key").where("id != lead").withColumns({"a": F.greatest("id", "lead"), "b": F.least("id", "lead")}).join(found, ["a", "b"], "left_anti").select("id", "n", "at", "key")
+        table = materialise(left.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))), "unled")
+        if table.isEmpty():
+            break
+        group *= 8
+    linked = materialise(components(links), "groups")
+    gone = marked.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest").select("doc_id", "id").join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("stays"))
     gone = materialise(gone.where("doc_id != stays").select("doc_id").distinct(), "gone").select(F.col("doc_id").alias("_gone_id"))
     gone = gone.hint("merge")  # the ids that go grow with the documents; the plan is the same at every size
     left = docs.join(gone, col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
@@ -196,16 +220,35 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return left
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The sorted distinct XXH64 of the text's shingles."""
+    w = text.encode("utf-8", "replace").lower().split()
+    s = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in s], "<u8"))
+
+
+def _common_shingles(rows: DataFrame, words: int, sample_docs: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that at least three of about sample_docs documents (by a hash of the id) hold, and how many do: they only set the order of prefixes."""
+    share = min(1, sample_docs / max(rows.count(), 1))
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for t in batch_texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], names=["key"])
+
+    often = rows.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most).toArrow()
+    known = often.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    return np.append(known[order], np.uint64(2**64 - 1)), np.append(often.column("count").to_numpy()[order], 0)
+
+
 def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     """doc_id, grams: the sorted distinct XXH64 of the text's shingles, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for t in batch_texts(batch):
-                w = t.encode("utf-8", "replace").lower().split()
-                s = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
-                out.append(np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in s], "<u8")).tobytes())
+            out = [shingle_set(t, words).tobytes() for t in batch_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "grams"])
 
     return rows.mapInArrow(run, "doc_id long, grams binary")

@@ -380,6 +380,32 @@ def test_keep_one(spark, docs, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def jaccard(a, b, words=5):
+    x, y = ({tuple(t.lower().split()[k : k + words]) for k in range(max(1, len(t.split()) - words + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def slow_keep_one(rows, similarity=0.8):
+    """The ids that stay, from all pairs of texts."""
+    root = {i: i for i, _ in rows}
+    pairs = [(i, j) for i, a in rows for j, b in rows if i < j and jaccard(a, b) >= similarity]
+    for _ in rows:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return sorted(i for i, r in root.items() if i == r)
+
+
+def ids_kept(spark, rows, **options):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect())
+
+
+def test_keep_one_keeps_different_texts_with_a_dominant_line(spark):
+    rows = []
+    for k, line in enumerate(("same", "the same line of words", "- - - - - - -")):
+        rows += [(10 * k + j, prose(7000 + 10 * k + j, 150) + f" {line}" * 300) for j in range(3)]
+    assert slow_keep_one(rows) == ids_kept(spark, rows) == [i for i, _ in rows]
+
+
 # 9
 
 
