@@ -29,9 +29,8 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the automata judge: long tokens of the credential alphabet.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: What the automata judge: tokens of the credential alphabet, as long as those that the model of ordinary words is learned from.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -141,11 +140,17 @@ class Grammar:
     automata: dict[str, Automaton]
     ordinary: Automaton
     margin: float
+    memo: dict[str, tuple[float, str]] = field(default_factory=dict, repr=False, compare=False)  # by the token's classes; starts again when full
 
     def score(self, token: str) -> tuple[float, str]:
         """How much likelier a class of the token is in the best automaton than in ordinary text, and that kind."""
-        plain = self.ordinary.mean_log_likelihood(token)
-        return max(((a.mean_log_likelihood(token) - plain, k) for k, a in self.automata.items()), default=(-math.inf, ""))
+        known = classes(token)
+        if known not in self.memo:
+            plain = self.ordinary.mean_log_likelihood(token)
+            if len(self.memo) >= 100_000:
+                self.memo.clear()
+            self.memo[known] = max(((a.mean_log_likelihood(token) - plain, k) for k, a in self.automata.items()), default=(-math.inf, ""))
+        return self.memo[known]
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, sample_tokens: int = 2000, margin: float = 0.5) -> Grammar:
@@ -174,17 +179,18 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]]]:
-    """The base spans, and (start, end, kind) of candidates that touch none of them and that an automaton finds likelier than ordinary text by the margin."""
+    """The base spans, and (start, end, kind) of candidates that an automaton finds likelier than ordinary text by the margin.
+
+    Every candidate is scored, letters or digits alone too, unless a base span covers all of it.
+    """
     base = base_spans(text)
     more = []
-    if DIGIT.search(text):
-        for m in CANDIDATE.finditer(text):
-            token = m[0]
-            if not DIGIT.search(token) or token.isdigit() or any(s < m.end() and m.start() < e for s, _, e, _ in base):
-                continue
-            gain, kind = grammar.score(token)
-            if gain >= grammar.margin:
-                more.append((m.start(), m.end(), f"like_{kind}"))
+    for m in CANDIDATE.finditer(text):
+        if any(s <= m.start() and m.end() <= e for s, _, e, _ in base):
+            continue
+        gain, kind = grammar.score(m[0])
+        if gain >= grammar.margin:
+            more.append((m.start(), m.end(), f"like_{kind}"))
     return base, more
 
 
