@@ -3,8 +3,9 @@
 Benchmark passages are TF-IDF vectors over their own telling words, weighted by how many passages of the
 corpus hold each word.  A distributed randomised SVD of that matrix gives a latent space.  Every passage
 of every document is projected into it, and benchmark passages within a cosine are its candidates.  Where
-half of the item's telling words are near, a candidate counts if the longest common subsequence of words covers enough of the benchmark item, or
-covers less and the item's answer (its last words) is there too, as in a paraphrase.
+as many of the item's telling words are near as any match must have, a candidate counts if the longest common subsequence of words covers enough of the benchmark item, or
+covers less and the item's answer (its last words) is there too, as in a paraphrase.  Whole copies of items
+are also looked up by their words, whatever their cosine.
 """
 
 from __future__ import annotations
@@ -75,6 +76,29 @@ def common_subsequence(masks: dict[int, int], size: int, region: list[int]) -> i
     return size - v.bit_count()
 
 
+class Copies:
+    """Finds the items that a text holds word for word, by the hash of their first words."""
+
+    def __init__(self, items: list[np.ndarray], head: int = 8):
+        heads: dict[int, dict[int, dict[int, dict[bytes, list[int]]]]] = {}
+        for k, w in enumerate(items):
+            a = min(len(w), head)
+            first = int(span_hashes(w, np.array([0]), np.array([a]))[0])
+            heads.setdefault(a, {}).setdefault(first, {}).setdefault(len(w), {}).setdefault(w.tobytes(), []).append(k)
+        self.heads = [(a, Vocabulary(np.array(list(x), np.uint64)), list(x.values())) for a, x in sorted(heads.items())]
+
+    def find(self, hashes: np.ndarray) -> set[int]:
+        out: set[int] = set()
+        for a, vocabulary, items in self.heads:
+            starts = np.arange(len(hashes) - a + 1)
+            if len(starts):
+                found = vocabulary.find(span_hashes(hashes, starts, starts + a))
+                for at in np.flatnonzero(found < len(items)).tolist():
+                    for n, same in items[found[at]].items():
+                        out.update(same.get(hashes[at : at + n].tobytes(), ()))
+        return out
+
+
 @dataclass
 class Index:
     ids: list[int]
@@ -86,6 +110,7 @@ class Index:
     owner: np.ndarray  # the item of each
     holders: tuple[np.ndarray, np.ndarray]  # the items that hold each term, one after another, and where each term's begin
     telling: np.ndarray  # how many of each item's words are terms
+    copies: Copies
     window: int
     stride: int
 
@@ -135,7 +160,8 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], *, id_col: str, t
                 v = n * idf[t]
                 rows.append((t.tolist(), (v / np.linalg.norm(v)).tolist()))
                 owner.append(k)
-    basis = _svd(spark, rows, len(terms), rank, power, seed)
+    rank = max(rank, int(6 * len(rows) ** 0.5))
+    basis = _svd(spark, rows, len(terms), rank, power, seed) if rows else np.zeros((len(terms), 1))
     project = np.zeros((len(terms) + 1, basis.shape[1]), np.float32)
     project[:-1] = idf[:, None] * basis
     latent = np.array([(np.array(v)[:, None] * basis[t]).sum(0) for t, v in rows]).reshape(-1, basis.shape[1])
@@ -145,7 +171,7 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], *, id_col: str, t
     held = [f[f < len(terms)] for f in held]
     pairs = np.unique(np.concatenate([np.unique(f).astype(np.int64) * len(lists) + k for k, f in enumerate(held)]))
     holders = pairs % len(lists), np.searchsorted(pairs // len(lists), np.arange(len(terms) + 1))
-    return Index([i for i, _ in lists], [(places(w), len(w)) for _, w in lists], [(places(w[-answer_words:]), len(w[-answer_words:])) for _, w in lists], vocabulary, project, (latent[ok] / length[ok]).astype(np.float32), np.array(owner)[ok], holders, np.array([len(f) for f in held]), window, stride)
+    return Index([i for i, _ in lists], [(places(w), len(w)) for _, w in lists], [(places(w[-answer_words:]), len(w[-answer_words:])) for _, w in lists], vocabulary, project, (latent[ok] / length[ok]).astype(np.float32), np.array(owner)[ok], holders, np.array([len(f) for f in held]), Copies([w for _, w in lists]), window, stride)
 
 
 def _svd(spark, rows: list[tuple[list[int], list[float]]], n_terms: int, rank: int, power: int, seed: int) -> np.ndarray:
@@ -164,12 +190,12 @@ def _svd(spark, rows: list[tuple[list[int], list[float]]], n_terms: int, rank: i
                         v = np.array(v)
                         out[t] += np.outer(v, v @ basis[t])
             at = np.flatnonzero(np.abs(out).sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(list(out[at]), pa.list_(pa.float64()))], names=["term", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.tobytes() for x in out[at]], pa.binary())], names=["term", "x"])
 
-        parts = table.mapInArrow(multiply, "term int, x array<double>").toArrow()
+        parts = table.mapInArrow(multiply, "term int, x binary").toArrow()
         y = np.zeros_like(q)
         if len(parts):
-            np.add.at(y, parts.column("term").to_numpy(), np.array(parts.column("x").to_pylist()))
+            np.add.at(y, parts.column("term").to_numpy(), np.frombuffer(b"".join(parts.column("x").to_pylist())).reshape(len(parts), -1))
         q = np.linalg.qr(y)[0]
     return q[:, :rank]
 
@@ -177,13 +203,19 @@ def _svd(spark, rows: list[tuple[list[int], list[float]]], n_terms: int, rank: i
 def search(text: str, index: Index, cosine: float, covered: float, covered_with_answer: float) -> list[tuple[int, float, float]]:
     """(item's place, best cosine, best share of the item that a common subsequence covers) of the items found in a whole text."""
     hashes = words(text)
-    if not len(hashes) or not len(index.passages):
-        return []
+    best = _similar(hashes, index, cosine, covered, covered_with_answer) if len(hashes) and len(index.passages) else {}
+    for k in index.copies.find(hashes):
+        best[k] = best[k][0] if k in best else 1.0, 1.0
+    return [(k, c, s) for k, (c, s) in sorted(best.items())]
+
+
+def _similar(hashes: np.ndarray, index: Index, cosine: float, covered: float, covered_with_answer: float) -> dict[int, tuple[float, float]]:
+    """For the items found through the latent space, the best cosine and share."""
     found = index.vocabulary.find(hashes)
     n = -(-len(hashes) // index.stride)
     known = np.flatnonzero(found < len(index.vocabulary.terms) - 1)
     if not len(known):
-        return []
+        return {}
     steps, first = np.unique(known // index.stride, return_index=True)
     span = index.window // index.stride
     sums = np.add.reduceat(index.project[found[known]], first, axis=0)
@@ -196,7 +228,7 @@ def search(text: str, index: Index, cosine: float, covered: float, covered_with_
     score = (window / np.maximum(length, 1e-9)) @ index.passages.T
     row, passage = np.nonzero(score >= cosine)
     if len(row):
-        ok = _told(index, found[known], known // index.stride, n, at[row], index.owner[passage])
+        ok = _told(index, found[known], known // index.stride, n, at[row], index.owner[passage], min(covered, covered_with_answer))
         row, passage = row[ok], passage[ok]
     best: dict[int, tuple[float, float]] = {}
     order = np.argsort(-score[row, passage], kind="stable")
@@ -214,11 +246,11 @@ def search(text: str, index: Index, cosine: float, covered: float, covered_with_
         whole = share >= covered or (share >= covered_with_answer and common_subsequence(*index.answers[k], region) == index.answers[k][1])
         if whole and share > best.get(k, (0, 0))[1]:
             best[k] = float(score[r, p]), share
-    return [(k, c, s) for k, (c, s) in sorted(best.items())]
+    return best
 
 
-def _told(index: Index, terms: np.ndarray, step: np.ndarray, n: int, at: np.ndarray, item: np.ndarray, least: float = 0.5) -> np.ndarray:
-    """For candidates (window, item), whether the text around the window has at least that share of the item's telling words."""
+def _told(index: Index, terms: np.ndarray, step: np.ndarray, n: int, at: np.ndarray, item: np.ndarray, least: float) -> np.ndarray:
+    """For candidates (window, item), whether the text around the window has the telling words without which no common subsequence covers `least` of the item."""
     items, back = np.unique(item, return_inverse=True)
     place = np.full(len(index.telling), -1)
     place[items] = np.arange(len(items))
@@ -231,7 +263,7 @@ def _told(index: Index, terms: np.ndarray, step: np.ndarray, n: int, at: np.ndar
     size = np.array([index.items[k][1] for k in items])[back]
     low = np.maximum(at - -(-size // index.stride), 0)
     high = np.minimum(at + -(-(index.window + size) // index.stride), n)
-    return total[high, back] - total[low, back] >= least * index.telling[item]
+    return total[high, back] - total[low, back] >= index.telling[item] - (1 - least) * size - 1e-6
 
 
 def item_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -244,11 +276,13 @@ def item_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, most: int
             yield [(r.item_id, r.text) for r in got]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 96, cosine: float = 0.5, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 128, cosine: float = 0.45, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
     """doc_id, item_ids (ascending), best_cosine, best_cover of each row that holds a benchmark item.
 
-    Whole texts are searched.  Null and empty texts and items hold nothing; an item whose every word is
-    common to over `common` of the items (and to over two) isn't found.  Repeated items are found each, repeated rows too.
+    Whole texts are searched.  Null and empty texts and items hold nothing.  Word-for-word copies of whole items
+    are always found (with cosine 1 if the latent space has missed them).  `rank` is the least; it grows with the
+    root of a block's passages.  An item whose every word is common to over `common` of the items (and to over
+    two) is found as such a copy only.  Repeated items are found each, repeated rows too.
     """
     found = None
     for items in item_blocks(benchmark, item_col=item_col, text_col=item_text_col, most=items_per_block):
@@ -277,7 +311,7 @@ def _searcher(docs: DataFrame, index: Index, *limits: float):
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 96, cosine: float = 0.5, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 128, cosine: float = 0.45, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
     """The rows of docs in which no item is found, all columns, rows judged one by one; null texts stay."""
     out, at = docs, docs.columns.index(text_col)
     for items in item_blocks(benchmark, item_col=item_col, text_col=item_text_col, most=items_per_block):
