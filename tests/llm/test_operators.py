@@ -380,15 +380,20 @@ def test_keep_one(spark, docs, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
-def jaccard(a, b, words=5):
-    x, y = ({tuple(t.lower().split()[k : k + words]) for k in range(max(1, len(t.split()) - words + 1))} for t in (a, b))
-    return len(x & y) / len(x | y)
+def grams(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+
+def jaccard(a, b):
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
 
 
 def slow_keep_one(rows, similarity=0.8):
     """The ids that stay, from all pairs of texts."""
     root = {i: i for i, _ in rows}
-    pairs = [(i, j) for i, a in rows for j, b in rows if i < j and jaccard(a, b) >= similarity]
+    sets = [(i, grams(t)) for i, t in rows]
+    pairs = [(i, j) for i, a in sets for j, b in sets if i < j and len(a & b) >= similarity * len(a | b)]
     for _ in rows:
         for i, j in pairs:
             root[i] = root[j] = min(root[i], root[j])
@@ -406,6 +411,12 @@ def test_keep_one_keeps_different_texts_with_a_dominant_line(spark):
     assert slow_keep_one(rows) == ids_kept(spark, rows) == [i for i, _ in rows]
 
 
+def test_keep_one_counts_distinct_shingles(spark):
+    base, line = prose(70, 300), " eight words that some pages say very often"
+    rows = [(k, base + line * n) for k, n in enumerate((1, 5, 20, 100))] + [(9, prose(71, 300))]
+    assert slow_keep_one(rows) == ids_kept(spark, rows) == [0, 9]
+
+
 # 9
 
 
