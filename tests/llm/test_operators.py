@@ -214,6 +214,23 @@ def test_decontamination(spark, docs, nothing):
     assert decontam.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_whole_copies_are_found_whatever_their_cosine(spark):
+    items = [(k, prose(3000 + k, 40)) for k in range(20)]
+    hosts = [(k, prose(4000 + k, 100) + " " + items[k][1] + " " + prose(4100 + k, 100)) for k in range(20)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(hosts, "doc_id long, text string")
+    assert everything(decontam.find_leaks(docs, bench, cosine=2.0), "doc_id", "item_ids", "best_cover") == sorted(((k, [k], 1.0) for k in range(20)), key=repr)
+    assert decontam.drop_leaks(docs, bench, cosine=2.0).count() == 0
+
+
+def test_told_drops_no_match():
+    """An item of mostly common words matches where few of its telling words are near."""
+    item = decontam.words("t1 t2 t3 t4 " + " ".join(f"c{k}" for k in range(16)))
+    held = np.unique(item[:4])
+    index = decontam.Index([0], [(decontam.places(item), 20)], [], decontam.Vocabulary(held), None, None, np.array([0]), (np.zeros(4, int), np.arange(5)), np.array([4]), decontam.Copies([item]), 32, 16)
+    one = index.vocabulary.find(item[:1])
+    assert decontam._told(index, one, np.array([0]), 2, np.array([0]), np.array([0]), 0.55).all()
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
