@@ -434,6 +434,22 @@ def test_keep_one_counts_distinct_shingles(spark):
     assert slow_keep_one(rows) == ids_kept(spark, rows) == [0, 9]
 
 
+def changed(text, places, word):
+    w = text.split()
+    for at in places:
+        w[at] = f"{word}{at}"
+    return " ".join(w)
+
+
+def test_keep_one_links_all_pairs_at_the_threshold(spark):
+    rows = []
+    for k in range(40):
+        text = prose(8000 + k, 404)
+        rows += [(2 * k, text), (2 * k + 1, changed(text, range(6, 404, 50), "other"))]
+    assert all(0.8 <= jaccard(rows[k][1], rows[k + 1][1]) < 0.83 for k in range(0, 80, 2))
+    assert slow_keep_one(rows) == ids_kept(spark, rows) == list(range(0, 80, 2))
+
+
 # 9
 
 
