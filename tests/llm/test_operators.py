@@ -450,6 +450,19 @@ def test_keep_one_links_all_pairs_at_the_threshold(spark):
     assert slow_keep_one(rows) == ids_kept(spark, rows) == list(range(0, 80, 2))
 
 
+def test_keep_one_links_members_that_their_leader_rejects(spark):
+    """The smallest id is at 0.63 to 0.8 of two texts that are over 0.8 of each other."""
+    rows = []
+    for k in range(30):
+        text = prose(9000 + k, 404)
+        x, y = changed(text, range(6, 404, 36), "x"), changed(text, range(6, 404, 36), "x")
+        rows += [(3 * k, text), (3 * k + 1, x), (3 * k + 2, changed(y, range(26, 400, 48), "y"))]
+    assert all(0.63 < jaccard(rows[k][1], rows[k + j][1]) < 0.8 <= jaccard(rows[k + 1][1], rows[k + 2][1]) for k in range(0, 90, 3) for j in (1,))
+    want = slow_keep_one(rows)
+    assert want == sorted([*range(0, 90, 3), *range(1, 90, 3)])
+    assert ids_kept(spark, rows) == want == ids_kept(spark, rows, group=1)
+
+
 # 9
 
 
