@@ -231,6 +231,16 @@ def test_told_drops_no_match():
     assert decontam._told(index, one, np.array([0]), 2, np.array([0]), np.array([0]), 0.55).all()
 
 
+def test_items_of_common_words_are_found_as_copies(spark):
+    common = prose(1, 12).split()
+    items = [(k, " ".join(common[k:] + common[:k])) for k in range(8)] + [(8 + k, " ".join(common) + " " + prose(5000 + k, 20)) for k in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, prose(6000 + k, 50) + " , " + items[k][1].upper() + ". " + prose(6100 + k, 50)) for k in range(8)] + [(99, prose(9, 90))], "doc_id long, text string")
+    assert everything(decontam.find_leaks(docs, bench), "doc_id", "item_ids") == [(k, [k]) for k in range(8)]
+    assert everything(decontam.drop_leaks(docs, bench), "doc_id") == [(99,)]
+    assert everything(decontam.find_leaks(docs, bench.where("item_id < 8")), "doc_id", "item_ids") == [(k, [k]) for k in range(8)]
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
