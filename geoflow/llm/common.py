@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,56 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later jobs neither recompute it nor lose it with an executor."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what materialise() wrote for tables that no later plan reads."""
+    for df in tables:
+        if df is not None and getattr(df, "_written", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hash_share(want: float, total: int) -> int:
+    """The border below which the upper 62 bits of a hash fall for about want of total rows, and never 0."""
+    return max(1, int(min(1.0, want / max(total, 1)) * (1 << 62)))
+
+
+def below(share: int, *columns: Column | str) -> Column:
+    """Whether a row's hash over the columns falls in that share."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 2) < F.lit(share)
+
+
+#: A membership bitmap has 2 ** BITMAP_BITS bits (16 MB), however many members it takes in.
+BITMAP_BITS = 27
+
+
+def bitmap(members: DataFrame) -> np.ndarray:
+    """One bit for each member, by the upper bits of its first column (longs, spread as hashes are): never misses one, and may hold others.
+
+    Partial bitmaps are merged by word, so that at most 2 ** BITMAP_BITS / 64 words reach the driver.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
+        packed = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(packed[at])], names=["at", "word"])
+
+    got = members.select(F.col(members.columns[0]).alias("key")).mapInArrow(words, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(1 << BITMAP_BITS - 6, np.int64)
+    out[got.column("at").to_numpy()] = got.column("word").to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
 
 
 def col(name: str) -> Column:
@@ -161,6 +211,50 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: What the second lane of word hashes multiplies by, and the bytes up to which words are hashed together.
+LANE2, LONG_WORD = np.uint64(0xD6E8FEB86659FD93), 256
+
+
+def word_hashes(data: bytes, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, second hash) of each word of data, 64 bits each, in parts cut at white space.
+
+    A word is taken eight bytes at a time, each mixed with what came before by a bijection, so that words of up
+    to eight bytes never collide; longer than LONG_WORD, it gets the two halves of its XXH3.
+    """
+    out, at = [], 0
+    while at < len(data):
+        stop = len(data)
+        if stop - at > part:
+            stop = max(data.rfind(b" ", at, at + part), data.rfind(b"\n", at, at + part)) + 1 or data.find(b" ", at) + 1 or stop
+        out.append(_word_hashes(data[at:stop], at))
+        at = stop
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _word_hashes(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, starts, ends = word_spans(data)
+    size = ends - starts
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+
+    def chunk(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return eight[starts] & (np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.clip(size, 1, 8)).astype(np.uint64)))
+
+    first = chunk(starts, size)
+    one, two = mix(first + BASE * size.astype(np.uint64)), mix(first * LANE2 + size.astype(np.uint64))
+    left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    k = 8
+    while len(left):
+        c = chunk(starts[left] + k, size[left] - k)
+        one[left], two[left] = mix(one[left] * BASE + c), mix((two[left] ^ c) * LANE2)
+        k += 8
+        left = left[size[left] > k]
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        one[w], two[w] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[w] : ends[w]]), "<u8")
+    return starts + at, one, two
+
+
 class Powers:
     """Powers of the base and of its inverse modulo 2**64, grown as needed."""
 

@@ -9,6 +9,7 @@ the mean log-likelihood of its characters in the best automaton against a model
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import batch_texts, id_and_text, map_rows, slices
+from geoflow.llm.common import batch_texts, below, discard, hash_share, id_and_text, map_rows, materialise, slices
 
 #: The base patterns, in the order of their kinds.
 KINDS = ("assign", "access", "hex")
@@ -31,6 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the automata judge: tokens of the credential alphabet, as long as those that the model of ordinary words is learned from.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+WORD = re.compile(r"[A-Za-z0-9]{8,}")
+ORDINARY = "ordinary"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -68,18 +72,18 @@ class Automaton:
         return total / max(len(text), 1)
 
 
-def infer(tokens: list[str], *, alpha: float = 0.05, longest: int = 64) -> Automaton:
+def infer(tokens: list[str], *, alpha: float = 0.05) -> Automaton:
     """Merges the compatible states of the tokens' prefix tree, nearest to the root first.
 
     Two states are compatible if the shares of ending and of each next class differ by less than their
-    Hoeffding bounds, here and after each common class.  The first `longest` classes of a token build the
-    tree (scores use all).  No tokens: an automaton that finds nothing likely.
+    Hoeffding bounds, here and after each common class.  Whole tokens build the tree.  No tokens: an
+    automaton that finds nothing likely.
     """
     kids: list[dict[str, int]] = [{}]
     count: list[Counter] = [Counter()]  # of next classes; "" ends
     for token in tokens:
         state = 0
-        for c in classes(token)[:longest]:
+        for c in classes(token):
             count[state][c] += 1
             if c not in kids[state]:
                 kids[state][c] = len(kids)
@@ -141,6 +145,7 @@ class Grammar:
     ordinary: Automaton
     margin: float
     memo: dict[str, tuple[float, str]] = field(default_factory=dict, repr=False, compare=False)  # by the token's classes; starts again when full
+    plain: set[str] = field(default_factory=set, repr=False, compare=False)  # tokens that are ordinary; starts again when full
 
     def score(self, token: str) -> tuple[float, str]:
         """How much likelier a class of the token is in the best automaton than in ordinary text, and that kind."""
@@ -152,30 +157,49 @@ class Grammar:
             self.memo[known] = max(((a.mean_log_likelihood(token) - plain, k) for k, a in self.automata.items()), default=(-math.inf, ""))
         return self.memo[known]
 
+    def likely(self, text: str) -> bool:
+        """Whether any candidate of the text scores the margin or more; each distinct candidate is scored."""
+        new = set(CANDIDATE.findall(text)).difference(self.plain)
+        found = {t for t in new if self.score(t)[0] >= self.margin}
+        if len(self.plain) >= 200_000:
+            self.plain.clear()
+        self.plain.update(t for t in new - found if len(t) <= 64)
+        return bool(found)
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, sample_tokens: int = 2000, margin: float = 0.5) -> Grammar:
-    """Learns from about sample_docs whole documents (by a hash of the id): sample_tokens credentials of each kind, by hash, and as many ordinary tokens."""
+
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, sample_tokens: int = 2000, sample_chars: int = 100_000, margin: float = 0.5) -> Grammar:
+    """Learns from about sample_docs whole documents, by a hash of the id, in one scan.
+
+    Of each kind of credential, and of ordinary words of eight letters and digits or more, the sample_tokens
+    distinct ones with the smallest hashes are learned whole, less those that would bring them to over
+    sample_chars characters.  Null ids and texts don't train; nothing to learn from: no span is added.
+    """
     rows = id_and_text(docs, id_col, text_col).where("text is not null")
-    n = docs.count()
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1, sample_docs / max(n, 1)) * (1 << 20)))
+    rows = rows.where(below(hash_share(sample_docs, docs.count()), "doc_id"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, ORDINARY)}
         for batch in slices(batches):
-            kinds, found = [], []
             for text in batch_texts(batch):
-                spans = base_spans(text)
-                kinds += [KINDS[k] for _, k, _, _ in spans]
-                found += [s for *_, s in spans]
-                words = re.findall(r"[A-Za-z0-9]{8,}", text)[:20]
-                kinds += ["ordinary"] * len(words)
-                found += words
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["kind", "token"])
-
-    distinct = rows.mapInArrow(tokens, "kind string, token string").distinct()
+                for _, k, _, token in base_spans(text):
+                    least[KINDS[k]].setdefault(token, xxhash.xxh64_intdigest(token, 1) >> 1)
+                least[ORDINARY].update((w, xxhash.xxh64_intdigest(w, 1) >> 1) for w in set(WORD.findall(text)))
+            for kind, found in least.items():
+                if len(found) > sample_tokens:
+                    least[kind] = {t: found[t] for t in heapq.nsmallest(sample_tokens, found, key=lambda t, found=found: (found[t], t))}
+        every = [(kind, h, t) for kind, found in least.items() for t, h in found.items() if len(t) <= sample_chars]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in every], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["kind", "h", "token"])
+
+    distinct = materialise(rows.mapInArrow(tokens, "kind string, h long, token string").distinct(), "labelled-tokens")
     got: dict[str, list[str]] = {}
-    for kind in (*KINDS, "ordinary"):
-        got[kind] = [r.token for r in distinct.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(sample_tokens).collect()]
-    return Grammar({k: infer(got[k]) for k in KINDS if got[k]}, infer(got["ordinary"]), margin)
+    for kind in (*KINDS, ORDINARY):
+        got[kind], room = [], sample_chars
+        for r in distinct.where(F.col("kind") == kind).orderBy("h", "token").limit(sample_tokens).collect():
+            if len(r.token) <= room:
+                got[kind].append(r.token)
+                room -= len(r.token)
+    discard(distinct)
+    return Grammar({k: infer(got[k]) for k in KINDS if got[k]}, infer(got[ORDINARY]), margin)
 
 
 def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, str]]]:
@@ -185,12 +209,11 @@ def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int, st
     """
     base = base_spans(text)
     more = []
-    for m in CANDIDATE.finditer(text):
-        if any(s <= m.start() and m.end() <= e for s, _, e, _ in base):
-            continue
-        gain, kind = grammar.score(m[0])
-        if gain >= grammar.margin:
-            more.append((m.start(), m.end(), f"like_{kind}"))
+    if grammar.likely(text):
+        for m in CANDIDATE.finditer(text):
+            gain, kind = grammar.score(m[0])
+            if gain >= grammar.margin and not any(s <= m.start() and m.end() <= e for s, _, e, _ in base):
+                more.append((m.start(), m.end(), f"like_{kind}"))
     return base, more
 
 
@@ -220,7 +243,7 @@ def scan(docs: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col:
 def redact(docs: DataFrame, grammar: Grammar, *, text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of every text replaced by the mask (overlapping spans by one), and chars_col, if there, set to the new length.
 
-    All rows stay; null texts stay null.
+    All rows stay; null texts stay null, empty ones empty.  Texts are masked whole, however long.
     """
     share = docs.sparkSession.sparkContext.broadcast(grammar)
     names = docs.columns

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from geoflow.llm.common import BASE, batch_texts, col, id_and_text, materialise, mix, slices
+from geoflow.llm.common import BASE, batch_texts, below, bitmap, discard, hash_share, id_and_text, in_bitmap, map_rows, materialise, mix, slices, word_hashes
 
 SEED = 42
 
@@ -112,7 +113,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = materialise(small.distinct(), "edges")
+        old, now = now, materialise(small.distinct(), "edges")
+        discard(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -136,106 +138,177 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_docs: int = 10_000, group: int = 32) -> DataFrame:
-    """The rows of docs without near-duplicates of a smaller doc_id; rows without an id stay, and of rows that share an id one stays.
-
-    Two texts are linked if their distinct shingles of `words` words have a Jaccard similarity of at least
-    `similarity`; texts with equal sets are one node.  Candidates come from prefixes: with all sets sorted in
-    one order (rare in a sample first, then by hash), two linked sets share one of their first n - similarity
-    * n + 1 shingles, however long they are.  Bounds that no link can break (sizes, places in the order, and
-    how many bits of the sets' parities differ) drop most candidates, and the rest are compared shingle by
-    shingle.  In a prefix shingle of at most `group` nodes all pairs are candidates.  A larger one is led by
-    its smallest id, which meets all of it; only nodes that are linked to the leader leave, and the others
-    are led again, with eight times the `group` in each round.  So a link is lost only between two nodes that
-    are linked to different leaders in each of the larger groups they share, and nowhere else.
+    """The rows of docs without near-duplicates: of each group of linked rows the one with the smallest id stays, and rows without an id.
+
+    Two texts are linked if their distinct shingles of `words` words (fewer words: the whole sequence) have a
+    Jaccard similarity of at least `similarity`.  Texts with equal sets are one node, null and empty texts too;
+    different texts that share an id are different nodes.  No link is lost.  Candidates come from prefixes: with
+    all sets sorted in one order (rare in a sample first, then by hash), two linked sets share one of their first
+    n - similarity * n + 1 shingles, however long they are.  Prefix shingles that one document alone holds are
+    left out by their counts.  Bounds that no link can break (sizes, places in the order, and how many bits of
+    the sets' parities differ) drop most candidates, and the rest are compared shingle by shingle.
+
+    The nodes of a shingle that at most `group` share all meet.  In a larger one the smallest meets all others;
+    then what is linked is contracted, and the nodes outside of the shingle's largest component (`group` of them
+    in the first such round, eight times as many in each later one) meet all nodes of other components.  A
+    shingle is done when one component holds all that are left.
     """
-    rows = id_and_text(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(rows, words, sample_docs))  # of a bounded sample
+    rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(_common_shingles(rows, words, sample_docs))  # of a bounded sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = sent.value
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = shingle_sets(batch_texts(batch), words)
+            parity = [np.packbits(np.bincount(s & np.uint64(1023), minlength=1024) % 2 == 1).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "parity"])
+
+    marks = materialise(rows.mapInArrow(mark, "doc_id long, digest binary, n int, parity array<long>"), "shingle-sets")
+    nodes = marks.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        known, often = order.value
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        by = np.lexsort((mix(s), np.where(known[at] == s, often[at], 0)))
+        return s[by[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            digests, sizes, parity, prefix = [], [], [], []
-            for t in batch_texts(batch):
-                s = shingle_set(t, words)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sizes.append(len(s))
-                parity.append(np.packbits(np.bincount(s & np.uint64(1023), minlength=1024) % 2 == 1).view(np.int64))
-                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                order = np.lexsort((mix(s), np.where(known[at] == s, often[at], 0)))
-                prefix.append(s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(parity, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "parity", "prefix"])
-
-    marked = materialise(rows.where("doc_id is not null").mapInArrow(run, "doc_id long, digest binary, n int, parity array<long>, prefix array<long>"), "shingle-prefixes")
-    nodes = materialise(marked.groupBy("digest", "n", "parity", "prefix").agg(F.min("doc_id").alias("id")), "nodes")
-    keys = nodes.select("id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("many > 1")
-    keys = materialise(keys, "shared-shingles")
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(s) for s in shingle_sets(batch_texts(batch), words)]).view(np.int64))], names=["key"])
+
+    shared = rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")
+    often = spark.sparkContext.broadcast(bitmap(shared))  # of a fixed size
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            digests, found = [], []
+            for s in shingle_sets(batch_texts(batch), words):
+                p = prefix(s)
+                at = np.flatnonzero(in_bitmap(often.value, p))
+                digests.append(_digest(s))
+                found.append([{"key": k, "at": a} for k, a in zip(p[at].view(np.int64).tolist(), at.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())])))], names=["doc_id", "digest", "found"])
+
+    of_node = rows.mapInArrow(entries, "doc_id long, digest binary, found array<struct<key: long, at: int>>").where("size(found) > 0").groupBy("doc_id", "digest").agg(F.first("found").alias("found"))
+    of_node = of_node.join(nodes.select("doc_id", "digest", "node", "n").hint("merge"), ["doc_id", "digest"]).select("node", "n", F.explode("found").alias("e"))
+    table = materialise(of_node.select("e.key", "node", "n", "e.at"), "prefixes")
     least = similarity / (1 + similarity)  # the share of both sizes that linked sets have in common
     bits = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
 
-    def candidates(leads: DataFrame) -> DataFrame:
-        leads = leads.select("key", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
-        met = keys.select("key", "id", "n", "at").join(leads.hint("merge"), "key").where((F.col("id") != F.col("lead")) & (F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")) >= least * (F.col("n") + F.col("lead_n")) - 1e-6))
-        met = met.select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
-        x = nodes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")).hint("merge")
-        y = nodes.select(F.col("id").alias("b"), "n", F.col("parity").alias("q")).hint("merge")
-        return met.join(x, "a").join(y, "b").where(bits <= (1 - 2 * least) * (F.col("m") + F.col("n")) + 1e-6).select("a", "b").distinct()
+    def candidates(table: DataFrame, leads: DataFrame) -> DataFrame:
+        """Pairs a > b of a lead and a node of another component that share a key and pass the bounds."""
+        leads = leads.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
+        enough = F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")) >= least * (F.col("n") + F.col("lead_n")) - 1e-6
+        met = table.join(leads.hint("merge"), "key").where((F.col("root") != F.col("lead_root")) & enough)
+        met = met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+        x = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")).hint("merge")
+        y = nodes.select(F.col("node").alias("b"), "n", F.col("parity").alias("q")).hint("merge")
+        return met.join(x, "a").join(y, "b").where(bits <= (1 - 2 * least) * (F.col("m") + F.col("n")) + 1e-6).select("a", "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(shared >= similarity * (len(x) + len(y) - shared))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def leaders(table: DataFrame) -> DataFrame:
-        first = table.where(F.col("many") > group).groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("z")).select("key", "z.*")
-        return table.where(F.col("many") <= group).select("key", "id", "n", "at").union(first)
-
-    table, links, sets = keys, None, None
-    while True:
-        pairs = materialise(candidates(leaders(table)), "pairs")
-        if sets is None:
-            wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).union(keys.where(F.col("many") > group).select(F.col("id").alias("doc_id")))
-            wanted = wanted.distinct().hint("merge")  # these ids grow with the documents, as do those that go
-            sets = materialise(_shingle_sets(rows.join(wanted, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.first("grams").alias("grams")), "shingles")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets are alike; their texts are found again through a bitmap of fixed size."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        ends = materialise(ends.hint("merge").join(nodes.select("node", "doc_id", "digest"), "node"), "compared")
+        asked = spark.sparkContext.broadcast(bitmap(ends.select(F.xxhash64("doc_id"))))
+        texts = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets_of(asked, words), "doc_id long, digest binary, grams binary")
+        sets = texts.join(ends.hint("merge"), ["doc_id", "digest"]).groupBy("node").agg(F.first("grams").alias("grams"))
+        sets = materialise(sets, "compared-sets")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         found = materialise(both.mapInArrow(alike, "a long, b long"), "links")
+        discard(ends, sets)
+        return found
+
+    per_key = table.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("first")).where("many > 1")
+    before = table
+    table = materialise(table.join(per_key.hint("merge"), "key").withColumn("root", F.col("node")), "shared-prefixes")
+    discard(before)
+    links, roots, leads = None, None, table.where((F.col("many") <= group) | (F.col("node") == F.col("first")))
+    left = table.where((F.col("many") > group) & (F.col("node") != F.col("first")))
+    while True:
+        pairs = materialise(candidates(table, leads), "pairs")
+        found = linked(pairs)
+        discard(pairs)
         links = found if links is None else links.union(found)
-        large = table.where(F.col("many") > group)
-        first = large.groupBy("key").agg(F.min("id").alias("lead"))
-        left = large.join(first, "key").where("id != lead").withColumns({"a": F.greatest("id", "lead"), "b": F.least("id", "lead")}).join(found, ["a", "b"], "left_anti").select("id", "n", "at", "key")
-        table = materialise(left.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))), "unled")
-        if table.isEmpty():
+        if left.isEmpty():
             break
+        if roots is None or not found.isEmpty():
+            discard(roots)
+            roots = materialise(components(links), "roots")
+        left = left.select("key", "node", "n", "at").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        before, left = table, materialise(left, "unmet")
+        discard(before)
+        parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("c") - F.max("c")).alias("rest")).where("parts > 1")
+        before, table = left, materialise(left.join(parts.hint("merge"), "key").withColumn("leads", (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("rest")) < group)), "shared-prefixes")
+        discard(before)
+        leads, left = table.where("leads"), table.where(F.col("rest") > group).where("not leads")
         group *= 8
-    linked = materialise(components(links), "groups")
-    gone = marked.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest").select("doc_id", "id").join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("stays"))
-    gone = materialise(gone.where("doc_id != stays").select("doc_id").distinct(), "gone").select(F.col("doc_id").alias("_gone_id"))
-    gone = gone.hint("merge")  # the ids that go grow with the documents; the plan is the same at every size
-    left = docs.join(gone, col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
-    if not marked.groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.where(col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(col(id_col).isNull()))
-    return left
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The sorted distinct XXH64 of the text's shingles."""
-    w = text.encode("utf-8", "replace").lower().split()
-    s = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in s], "<u8"))
+    discard(table, roots)
+    roots = materialise(components(links), "roots")
+    owner = marks.select("doc_id", "digest").distinct().join(nodes.select("digest", "node").hint("merge"), "digest").join(roots.hint("merge"), "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+    owner = materialise(owner, "owners")
+    stays = owner.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("stays"))
+    gone = materialise(owner.join(stays.hint("merge"), "root").where(F.struct("doc_id", "digest") != F.col("stays")).select("doc_id", "digest"), "gone")
+    again = not marks.groupBy("doc_id").count().where("count > 1").isEmpty()
+    discard(roots, owner, nodes)
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    named = docs.toDF(*names)
+    id_at = names[docs.columns.index(id_col)]
+    if not again:
+        ids = gone.select(F.col("doc_id").alias("_gone"))  # they grow with the documents; the plan is the same at every size
+        return named.join(ids.hint("merge"), F.col(id_at).cast("long") == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    told = map_rows(named, _add_digest(docs.columns.index(text_col), words), T.StructField("_digest", T.BinaryType()))
+    left = told.join(gone.toDF("_gone", "_gone_digest").hint("merge"), (F.col(id_at).cast("long") == F.col("_gone")) & (F.col("_digest") == F.col("_gone_digest")), "left_anti")
+    kept = left.where(F.col(id_at).isNotNull()).dropDuplicates([id_at, "_digest"]).unionByName(left.where(F.col(id_at).isNull()))
+    return kept.drop("_digest").toDF(*docs.columns)
+
+
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles (fewer words: one, of the whole sequence); A-Z count as a-z."""
+    data = [t.encode("utf-8", "replace").lower() for t in texts]
+    starts, h, _ = word_hashes(b"\n".join(data))
+    borders = np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)])).tolist()
+
+    def chained(size: int) -> np.ndarray:
+        out = np.full(max(len(h) - size + 1, 0), size, np.uint64)
+        for j in range(size):
+            out = mix(out * BASE + h[j : j + len(out)])
+        return out
+
+    every, short, sets = chained(words), {}, []
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        if b - a >= words:
+            s = np.sort(every[a : b - words + 1])
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            sets.append(s[new])
+        else:
+            if b - a not in short:
+                short[b - a] = chained(b - a) if b > a else np.zeros(len(h) + 1, np.uint64)
+            sets.append(short[b - a][a : a + 1].copy())
+    return sets
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _common_shingles(rows: DataFrame, words: int, sample_docs: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that at least three of about sample_docs documents (by a hash of the id) hold, and how many do: they only set the order of prefixes."""
-    share = min(1, sample_docs / max(rows.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = rows.where(below(hash_share(sample_docs, rows.count()), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for t in batch_texts(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch_texts(batch), words)).view(np.int64))], names=["key"])
 
     often = rows.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most).toArrow()
     known = often.column("key").to_numpy().view(np.uint64)
@@ -243,12 +316,22 @@ def _common_shingles(rows: DataFrame, words: int, sample_docs: int, most: int =
     return np.append(known[order], np.uint64(2**64 - 1)), np.append(often.column("count").to_numpy()[order], 0)
 
 
-def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, grams: the sorted distinct XXH64 of the text's shingles, packed."""
+def _sets_of(asked, words: int):
+    """doc_id, digest and packed set of the rows whose hash `h` is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = [shingle_set(t, words).tobytes() for t in batch_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "grams"])
+            batch = batch.filter(pa.array(in_bitmap(asked.value, batch.column("h").to_numpy())))
+            sets = shingle_sets(batch_texts(batch), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "grams"])
+
+    return run
+
+
+def _add_digest(at: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, f"c{at}"):
+            digests = pa.array(map(_digest, shingle_sets(batch_texts(batch, f"c{at}"), words)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[f"c{k}" for k in range(batch.num_columns + 1)])
 
-    return rows.mapInArrow(run, "doc_id long, grams binary")
+    return run

@@ -18,24 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import id_and_text, mix, span_hashes, word_spans
-
-SEGMENT = 1 << 20
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of each word, over parts cut at white space."""
-    starts, hashes, at = [], [], 0
-    while at < len(data):
-        stop = len(data)
-        if stop - at > SEGMENT:
-            stop = data.rfind(b" ", at, at + SEGMENT) + 1 or data.find(b" ", at) + 1 or len(data)
-        a, s, e = word_spans(data[at:stop])
-        hashes.append(span_hashes(a, s, e))
-        starts.append(s + at)
-        at = stop
-    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
+from geoflow.llm.common import id_and_text, span_hashes, word_hashes
 
 def pack(values: np.ndarray, flags: np.ndarray) -> bytes:
     """Ascending numbers and a bit for each, small: differences by byte plane, then zstd."""
@@ -58,13 +41,13 @@ class Block:
         data = [(t or "").encode("utf-8", "replace") for t in texts]
         size = np.fromiter((len(d) + 1 for d in data), np.int64, len(data))
         self.data = b"\n".join(data)
-        self.starts, hashes = word_hashes(self.data)
+        self.starts, one, two = word_hashes(self.data)
         self.first = np.searchsorted(self.starts, np.concatenate(([0], np.cumsum(size))))  # of each document's words
         begin = np.arange(max(len(self.starts) - window + 1, 0))
         doc = np.searchsorted(self.first, begin, "right") - 1
         self.at = begin[begin + window <= self.first[doc + 1]] if len(begin) else begin
-        self.h1 = span_hashes(hashes, self.at, self.at + window)
-        self.h2 = span_hashes(mix(hashes + np.uint64(0x51ED270B)), self.at, self.at + window)
+        self.h1 = span_hashes(one, self.at, self.at + window)
+        self.h2 = span_hashes(two, self.at, self.at + window)
 
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """The block's distinct cells, ascending, and whether each counts two windows or more."""

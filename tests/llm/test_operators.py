@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from geoflow.llm import decontam, langid, pieces, secrets, simhash, substrings, tokens, topk, toxicity, urls
-from geoflow.llm.common import shared_dir, span_hashes, word_spans
+from geoflow.llm.common import shared_dir, span_hashes, word_hashes, word_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -51,6 +51,14 @@ def test_word_hashes_equal_only_for_equal_words():
     assert words == data.split()
     h = span_hashes(a, s, e)
     assert len({(w, int(x)) for w, x in zip(words, h, strict=True)}) == len(set(words)) == len(set(h.tolist()))
+    words = [bytes(rnd.choices(b"ab", k=rnd.choice([1, 2, 7, 8, 9, 16, 17, 25, 255, 256, 257, 300]))) for _ in range(3000)]
+    turn = bytes(b"ab"[k.bit_count() % 2] for k in range(2048))
+    words += [turn, turn.translate(bytes.maketrans(b"ab", b"ba"))]
+    data = b" ".join(words)
+    starts, one, two = word_hashes(data, part=5000)
+    assert [data[a : a + len(w)] for a, w in zip(starts, words, strict=True)] == words
+    for lane in (one, two):
+        assert len({(w, x) for w, x in zip(words, lane.tolist(), strict=True)}) == len(set(words)) == len(set(lane.tolist()))
 
 
 # 1
@@ -473,6 +481,26 @@ def test_keep_one_links_members_that_their_leader_rejects(spark):
     assert ids_kept(spark, rows) == want == ids_kept(spark, rows, group=1)
 
 
+def test_keep_one_meets_all_components_of_large_groups(spark):
+    """Families of texts over one common stem, so that shingles are shared by linked and unlinked nodes alike."""
+    rows = []
+    for k in range(12):
+        stem = prose(9500, 150) + " " + prose(9600 + k // 2, 60) + " " + prose(9700 + k, 12 * (k % 3))
+        rows += [(10 * k + j, changed(stem, range(6 + 3 * j, 200, 60 + 9 * j), f"v{k % 4}")) for j in range(6)]
+    want = slow_keep_one(rows)
+    assert 1 < len(want) < len(rows) / 2
+    assert ids_kept(spark, rows) == want == ids_kept(spark, rows, group=1)
+
+
+def test_keep_one_keeps_different_texts_that_share_an_id(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    df = spark.createDataFrame([(1, a, 0), (1, b, 0), (1, a, 0), (2, b, 0), (None, a, 0), (3, "", 0), (3, None, 0)], "doc_id long, text string, _gone_id int")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert everything(out, "doc_id") == [(1,), (1,), (3,), (None,)]
+    assert everything(out.where("doc_id != 3 or doc_id is null"), "doc_id", "text") == everything(df.where("text in ('" + a + "', '" + b + "')").where("doc_id is null or doc_id = 1").distinct(), "doc_id", "text")
+
+
 # 9
 
 
