@@ -6,7 +6,7 @@ mode and collect follow the row order in `__fid`.  compat=False gives SQL's null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoflow.functions.expressions import ExpressionError, Lowering, Node, Scope, Value, number, parse, truth
@@ -15,21 +15,52 @@ FID = "__fid"
 NAMES = {"count", "sum", "sums", "average", "mean", "median", "quartile1", "quartile2", "quartile3", "iqr", "quantile", "min", "max", "mode", "collect", "collectIds", "first", "last", "every", "some"}
 
 
-def with_modes(df: DataFrame, keys: list[str], modes: list[Column]) -> DataFrame:
-    """Adds what mode() needs: for each row, how often its value is in its group, and where first.
+class Calc:
+    """The aggregates that calc expressions need, and what becomes of them.
 
-    The values are counted by group and value, so that a group of any size is never gathered.
+    Calls are gathered as aggregate columns of their own; modes as their arguments.  grouped() computes both and then
+    the assignments, which are plain expressions over their results.
     """
-    by = [F.col("`" + k.replace("`", "``") + "`") for k in keys]
-    for k, x in enumerate(modes):
-        df = df.withColumn(f"_mode{k}", x)
-        same = Window.partitionBy(*by, f"_mode{k}")
-        df = df.withColumns({f"_mode{k}_n": F.count(F.lit(1)).over(same), f"_mode{k}_f": F.min(FID).over(same)})
-    return df
 
+    def __init__(self):
+        self.aggs: list[Column] = []
+        self.modes: list[Column] = []
+        self.out: list[tuple[str, Column]] = []
 
-def aggregate(name: str, args: list[Value], raw: list[Node], compat: bool = True, modes: list[Column] | None = None) -> Value:
-    """One call as an aggregate column.  modes: gets the arguments of mode(), for with_modes()."""
+    def add(self, column: Column) -> Column:
+        self.aggs.append(column.alias(f"_agg{len(self.aggs)}"))
+        return F.col(f"_agg{len(self.aggs) - 1}")
+
+    def mode(self, column: Column) -> Column:
+        self.modes.append(column)
+        return F.col(f"_mode{len(self.modes) - 1}")
+
+
+def grouped(df: DataFrame, keys: list[Column], calc: Calc, *more: Column) -> DataFrame:
+    """keys (as _key0, _key1 …), the further aggregates, and calc's names; without keys one row, also over no rows.
+
+    A mode counts by group and value first, so that neither a large group nor a frequent value is ever gathered.
+    """
+    names = [f"_key{k}" for k in range(len(keys))]
+    df = df.withColumns(dict(zip(names, keys, strict=True))) if keys else df
+    out = df.groupBy(*names).agg(*more, *calc.aggs, *([] if more or calc.aggs else [F.count(F.lit(1)).alias("_rows")]))
+    for k, x in enumerate(calc.modes):
+        counted = df.withColumn("_value", x).groupBy(*names, "_value").agg(F.count(F.lit(1)).alias("_n"), F.min(FID).alias("_f"))
+        best = counted.groupBy(*names).agg(F.min_by(F.struct(F.col("_value").alias("v")), F.struct(-F.col("_n"), F.col("_f")))["v"].alias(f"_mode{k}"))
+        if names:
+            best = best.toDF(*(f"_of{n}" for n in names), f"_mode{k}")
+            same = F.lit(True)
+            for n in names:
+                same = same & F.col(n).eqNullSafe(F.col(f"_of{n}"))
+            out = out.join(best, same, "left").drop(*(f"_of{n}" for n in names))
+        else:
+            out = out.crossJoin(best)  # one row each
+    kept = [F.col(f"`{c}`") for c in out.columns if not c.startswith(("_agg", "_mode")) and c != "_rows"]
+    return out.select(*kept, *(c.alias(n) for n, c in calc.out))
+
+
+def aggregate(name: str, args: list[Value], raw: list[Node], compat: bool = True) -> Value:
+    """One call, other than mode(), as an aggregate column."""
     if name == "count":
         return Value(F.count(F.lit(1)), "num")
     if name == "collectIds":
@@ -40,12 +71,6 @@ def aggregate(name: str, args: list[Value], raw: list[Node], compat: bool = True
         return Value(pick(F.struct(v.column.alias("v")), F.col(FID))["v"], v.kind)
     if name == "collect":
         return Value(F.transform(F.array_sort(F.collect_list(F.struct(F.col(FID).alias("f"), v.column.alias("v")))), lambda s: s["v"]), "list")
-    if name == "mode":
-        if modes is None:
-            raise ExpressionError("mode() isn't available here")
-        modes.append(v.column)
-        k = f"_mode{len(modes) - 1}"
-        return Value(F.min_by(F.struct(F.col(k).alias("v")), F.struct(-F.col(f"{k}_n"), F.col(f"{k}_f")))["v"], v.kind)
     if name in ("every", "some"):
         return Value(F.coalesce((F.bool_and if name == "every" else F.bool_or)(truth(v)), F.lit(False)), "bool")
     if v.kind not in ("num", "bool", "str", "null"):
@@ -71,9 +96,9 @@ def aggregate(name: str, args: list[Value], raw: list[Node], compat: bool = True
     raise ExpressionError(f"unknown aggregate {name!r}")
 
 
-def compile_calc(source: str, scope: Scope, compat: bool = True, modes: list[Column] | None = None) -> list[tuple[str, Column]]:
-    """(output name, aggregate column) of each assignment; a bare expression is named by its text."""
-    out: list[tuple[str, Column]] = []
+def compile_calc(source: str, scope: Scope, compat: bool = True, into: Calc | None = None, modes: bool = True) -> Calc:
+    """Adds each assignment to a Calc; a bare expression is named by its text."""
+    calc = into or Calc()
     done: dict[str, Value] = {}
     plain = Lowering(scope)
 
@@ -81,20 +106,25 @@ def compile_calc(source: str, scope: Scope, compat: bool = True, modes: list[Col
         if name not in NAMES:
             return None
         lowered = [] if name in ("count", "collectIds") else [plain.lower(a) for a in args]
-        return aggregate(name, lowered, args, compat, modes)
+        if name == "mode":
+            if not modes:
+                raise ExpressionError("mode() isn't available here")
+            return Value(calc.mode(lowered[0].column), lowered[0].kind)
+        value = aggregate(name, lowered, args, compat)
+        return Value(calc.add(value.column), value.kind)
 
     for node in parse(source):
         name, body = (node[1], node[2]) if node[0] == "set" else (source.strip(), node)
         inner = Scope({**scope.fields, **done}, scope.defs, scope.this)
         value = Lowering(inner, call).lower(body)
         done[name] = value
-        out.append((name, value.column))
-    return out
+        calc.out.append((name, value.column))
+    return calc
 
 
-def group(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
+def group(df: DataFrame, keys: list[str], aggs: list[Column], calc: Calc | None = None) -> DataFrame:
     """Groups in the order of their first rows, which their `__fid` tells; no rows, no groups, even without keys."""
-    first = F.min(FID).alias("_first")
-    if keys:
-        return df.groupBy(*(F.col("`" + k.replace("`", "``") + "`") for k in keys)).agg(first, *aggs).withColumnRenamed("_first", FID)
-    return df.groupBy().agg(first, *aggs).where(F.col("_first").isNotNull()).withColumnRenamed("_first", FID)
+    out = grouped(df, [F.col("`" + k.replace("`", "``") + "`") for k in keys], calc or Calc(), F.min(FID).alias("_first"), *aggs)
+    out = out.where(F.col("_first").isNotNull())
+    named = [F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)]
+    return out.select(*named, F.col("_first").alias(FID), *(F.col(f"`{c}`") for c in out.columns if c != "_first" and not c.startswith("_key")))

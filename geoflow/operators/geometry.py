@@ -118,7 +118,8 @@ def this_values(df: DataFrame) -> dict[str, Value]:
     """What `this` offers of a shape."""
     g, num = F.col("geom"), lambda c: Value(c, "num")
     b = bbox(g)
-    return {"partCount": num(F.coalesce(F.size(g["parts"]), F.lit(0)).cast("double")), "isNull": Value(g.isNull(), "bool"), "area": num(planar_area(g)), "planarArea": num(planar_area(g)), "perimeter": num(length(g)), "length": num(length(g)), "compactness": num(compactness(g)), "width": num(b["xmax"] - b["xmin"]), "height": num(b["ymax"] - b["ymin"]), "centroidX": num(centroid(g)["x"]), "centroidY": num(centroid(g)["y"]), "x": num(g["parts"][0][0]["x"]), "y": num(g["parts"][0][0]["y"])}
+    c = centroid(g)
+    return {"partCount": num(F.coalesce(F.size(g["parts"]), F.lit(0)).cast("double")), "isNull": Value(g.isNull(), "bool"), "originalArea": num(planar_area(g)), "bounds": Value(F.array(b["xmin"], b["ymin"], b["xmax"], b["ymax"]), "list"), "bbox": Value(F.array(b["xmin"], b["ymin"], b["xmax"], b["ymax"]), "list"), "area": num(planar_area(g)), "planarArea": num(planar_area(g)), "perimeter": num(length(g)), "length": num(length(g)), "compactness": num(compactness(g)), "width": num(b["xmax"] - b["xmin"]), "height": num(b["ymax"] - b["ymin"]), "centroidX": num(c["x"]), "centroidY": num(c["y"]), "x": num(g["parts"][0][0]["x"]), "y": num(g["parts"][0][0]["y"])}
 
 
 def affine(df: DataFrame, *, shift: tuple[float, float] = (0, 0), scale: float = 1, rotate: float = 0, anchor: tuple[float, float] | None = None, where: str | None = None) -> DataFrame:
@@ -204,35 +205,69 @@ def split_on_grid(df: DataFrame, cols: int, rows: int, *, box: tuple[float, floa
     return df.withColumn("layer_name", F.concat(F.lit("r"), r, F.lit("c"), c))
 
 
-def in_ring(part: Column, x: Column, y: Column) -> tuple[Column, Column]:
-    """(crossings of the ray upwards are odd, the point is on the border)."""
-    s = segments(part)
-    level = lambda z: z["a"]["y"] + (x - z["a"]["x"]) * (z["b"]["y"] - z["a"]["y"]) / (z["b"]["x"] - z["a"]["x"])
-    spans = lambda z: (F.least(z["a"]["x"], z["b"]["x"]) < x) & (x <= F.greatest(z["a"]["x"], z["b"]["x"]))
-    odd = F.aggregate(s, F.lit(False), lambda t, z: t != F.coalesce(spans(z) & (level(z) > y), F.lit(False)))
-    upright = lambda z: (z["a"]["x"] == z["b"]["x"]) & (x == z["a"]["x"]) & y.between(F.least(z["a"]["y"], z["b"]["y"]), F.greatest(z["a"]["y"], z["b"]["y"]))
-    sloped = lambda z: (z["a"]["x"] != z["b"]["x"]) & x.between(F.least(z["a"]["x"], z["b"]["x"]), F.greatest(z["a"]["x"], z["b"]["x"])) & (F.when(z["a"]["x"] != z["b"]["x"], level(z)) == y)
-    return odd, F.exists(s, lambda z: F.coalesce(upright(z) | sloped(z), F.lit(False)))
+def located(geom: Column, x: Column, y: Column) -> Column:
+    """0 outside, 1 inside by the even-odd rule over all rings, 2 on the border: one fold over all segments."""
+
+    def step(t: Column, z: Column) -> Column:
+        a, b = z["a"], z["b"]
+        low, high = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
+        level = a["y"] + F.try_divide((x - a["x"]) * (b["y"] - a["y"]), b["x"] - a["x"])
+        upright = y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return F.when((t == 2) | (x < low) | (x > high), t).when(F.when(low == high, upright).otherwise(level == y), 2).when((low < x) & (level > y), 1 - t).otherwise(t)
+
+    return F.aggregate(F.flatten(F.transform(geom["parts"], segments)), F.lit(0), step)
 
 
 def contains(geom: Column, x: Column, y: Column) -> Column:
     """Even-odd over all rings; the border belongs to the polygon."""
-    odd = F.aggregate(geom["parts"], F.lit(False), lambda t, p: t != in_ring(p, x, y)[0])
-    return odd | F.exists(geom["parts"], lambda p: in_ring(p, x, y)[1])
+    return located(geom, x, y) > 0
+
+
+def meets_box(geom: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether a shape has a point in a box: a vertex, a segment that crosses it, or a polygon all around it."""
+    x0, y0, x1, y1 = map(float, box)
+    b = bbox(geom)
+    near = (b["xmin"] <= x1) & (b["xmax"] >= x0) & (b["ymin"] <= y1) & (b["ymax"] >= y0)
+    inside = F.exists(coordinates(geom), lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1))
+    side = lambda z, x, y: F.signum((z["b"]["x"] - z["a"]["x"]) * (y - z["a"]["y"]) - (z["b"]["y"] - z["a"]["y"]) * (x - z["a"]["x"]))
+
+    def cuts(z: Column) -> Column:
+        over = (F.least(z["a"]["x"], z["b"]["x"]) <= x1) & (F.greatest(z["a"]["x"], z["b"]["x"]) >= x0) & (F.least(z["a"]["y"], z["b"]["y"]) <= y1) & (F.greatest(z["a"]["y"], z["b"]["y"]) >= y0)
+        sides = [side(z, F.lit(x), F.lit(y)) for x in (x0, x1) for y in (y0, y1)]
+        return over & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+    crossed = F.exists(F.flatten(F.transform(geom["parts"], segments)), cuts)
+    return F.coalesce(near & (inside | ((geom["type"] != "point") & crossed) | ((geom["type"] == "polygon") & contains(geom, F.lit(x0), F.lit(y0)))), F.lit(False))
+
+
+def filter_geom(df: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Shapes keep the parts that meet a box; holes go with their ring, and rows without a part lose their shape."""
+    out = explode_parts(df.withColumn("_f", F.col(FID)))
+    kept = out.where(meets_box(F.col("geom"), box)).groupBy("_f").agg(F.max("geom.type").alias("type"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "geom.parts"))), lambda z: z["parts"])).alias("parts"))
+    kept = kept.select("_f", F.struct("type", "parts").cast(GEOM).alias("_geom"))
+    return df.join(kept, F.col(FID) == F.col("_f"), "left").withColumn("geom", F.col("_geom")).drop("_f", "_geom")
+
 
+def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
+    """(_p, _g): the `__fid` pairs of points (their first) within polygons.
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """(_p, _g): the `__fid` pairs of points within polygons.  Points fall into one cell, polygons into those of their boxes; equal cells meet and are tested exactly."""
+    Points fall into one cell, polygons into those of their boxes; equal cells meet and are tested exactly.  Without a
+    cell, its size follows from the polygons' boxes, so that they fall into about nine cells each.
+    """
+    from geoflow.operators.overlay import cell_size
+
+    cell = cell or cell_size(polygons)
     at = points.where("geom is not null").select(F.col(FID).alias("_p"), F.col("geom")["parts"][0][0]["x"].alias("_x"), F.col("geom")["parts"][0][0]["y"].alias("_y"))
     at = at.withColumns({"_cx": F.floor(F.col("_x") / cell), "_cy": F.floor(F.col("_y") / cell)})
     b = bbox(F.col("geom"))
     over = lambda low, high: F.sequence(F.floor(F.col("_b")[low] / cell), F.floor(F.col("_b")[high] / cell))
     shapes = polygons.where("geom is not null").select(F.col(FID).alias("_g"), F.col("geom").alias("_shape"), b.alias("_b"))
     shapes = shapes.withColumn("_cx", F.explode(over("xmin", "xmax"))).withColumn("_cy", F.explode(over("ymin", "ymax")))
-    return at.join(shapes, ["_cx", "_cy"]).where(contains(F.col("_shape"), F.col("_x"), F.col("_y"))).select("_p", "_g")
+    near = F.col("_x").between(F.col("_b.xmin"), F.col("_b.xmax")) & F.col("_y").between(F.col("_b.ymin"), F.col("_b.ymax"))
+    return at.join(shapes, ["_cx", "_cy"]).where(near).where(contains(F.col("_shape"), F.col("_x"), F.col("_y"))).select("_p", "_g")
 
 
-def join_points_to_polygons(polygons: DataFrame, points: DataFrame, cell: float, **options) -> DataFrame:
+def join_points_to_polygons(polygons: DataFrame, points: DataFrame, cell: float | None = None, **options) -> DataFrame:
     """Each polygon receives the points within it, by the rules of attach()."""
     from geoflow.operators.joins import attach
 
@@ -241,7 +276,7 @@ def join_points_to_polygons(polygons: DataFrame, points: DataFrame, cell: float,
     return attach(polygons, found, options.pop("fields", []), **options)
 
 
-def join_polygons_to_points(points: DataFrame, polygons: DataFrame, cell: float, **options) -> DataFrame:
+def join_polygons_to_points(points: DataFrame, polygons: DataFrame, cell: float | None = None, **options) -> DataFrame:
     """Each point receives the polygons around it, smallest `__fid` first."""
     from geoflow.operators.joins import attach
 
@@ -250,6 +285,15 @@ def join_polygons_to_points(points: DataFrame, polygons: DataFrame, cell: float,
     return attach(points, found, options.pop("fields", []), **options)
 
 
+def join_near_points(target: DataFrame, source: DataFrame, most: float, **options) -> DataFrame:
+    """Each point receives the points within a planar distance, smallest `__fid` first."""
+    from geoflow.operators.joins import attach
+
+    pairs = near_points(target, source, most)
+    found = pairs.join(source.drop("geom"), F.col("_s") == F.col(FID)).select("_t", *source.drop("geom").columns)
+    return attach(target, found, options.pop("fields", []), **options)
+
+
 def near_points(target: DataFrame, source: DataFrame, most: float) -> DataFrame:
     """(_t, _s, _d): planar distances up to `most` between points, by cells of that size and their eight neighbours."""
     place = lambda df, n: df.where("geom is not null").select(F.col(FID).alias(n), F.col("geom")["parts"][0][0]["x"].alias(f"{n}x"), F.col("geom")["parts"][0][0]["y"].alias(f"{n}y"))
@@ -262,53 +306,38 @@ def near_points(target: DataFrame, source: DataFrame, most: float) -> DataFrame:
     return t.join(s, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= most).select("_t", "_s", "_d")
 
 
-def dissolve_shapes(df: DataFrame, fields: list[str], *, weight: str | None = None, multipart: bool = False) -> DataFrame:
-    """(__fid, geom) of each group: points to their weighted mean, polygons to their outline, parts put together if asked or for lines."""
+def dissolve_shapes(df: DataFrame, fields: list[str], *, weight: str | None = None, multipart: bool = False, overlapping: bool = False, sphere: bool = False) -> DataFrame:
+    """(__fid, geom) of each group: points to their weighted mean, polygons to their outline, lines joined end to end; parts put together if asked.
+
+    sphere: the mean of points in degrees is that of their directions.  overlapping: polygons are cut at each other
+    first; else only edges that two share whole go.  Points never leave the JVM.
+    """
+    from geoflow.operators import overlay
+
     g = F.col("geom")
     keys = [field(f) for f in fields]
-    together = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(FID).alias("f"), g["parts"].alias("p")))), lambda z: z["p"]))
-    kind = F.max(g["type"])
-    w = F.coalesce(field(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    first = lambda n: g["parts"][0][0][n]
-    ok = g.isNotNull()
-    mean = lambda n: F.sum(F.when(ok, first(n) * w)) / F.nullif(F.sum(F.when(ok, w)), F.lit(0.0))
-    base = df.groupBy(*keys) if fields else df.groupBy()
-    whole = base.agg(F.min(FID).alias(FID), kind.alias("_kind"), together.alias("_parts"), mean("x").alias("_x"), mean("y").alias("_y"))
-    parts = F.struct(F.col("_kind").alias("type"), F.col("_parts").alias("parts")).cast(GEOM)
+    k = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys))) if keys else F.struct(F.lit(0).alias("k0"))
+    rows = df.withColumn("_k", k)
+    kinds = {r[0] for r in df.where("geom is not null").select("geom.type").distinct().collect()}
     if multipart:
-        return whole.select(FID, F.when(F.col("_kind").isNotNull(), parts).alias("geom"))
-    outline = F.udf(lambda p: cancel_edges(p), "array<array<struct<x:double,y:double>>>")
-    ring = F.struct(F.lit("polygon").alias("type"), outline("_parts").alias("parts")).cast(GEOM)
-    return whole.select(FID, F.when(F.col("_kind") == "point", point(F.col("_x"), F.col("_y"))).when(F.col("_kind") == "polygon", ring).when(F.col("_kind").isNotNull(), parts).alias("geom"))
-
-
-def cancel_edges(parts) -> list[list[tuple[float, float]]] | None:
-    """The rings left when directed edges with an opposite twin go, and the rest are chained; shapes must share whole edges."""
-    if parts is None:
-        return None
-    edges: dict[tuple, int] = {}
-    for part in parts:
-        p = [(a[0], a[1]) for a in part]
-        for a, b in zip(p, p[1:], strict=False):
-            if edges.get((b, a)):
-                edges[(b, a)] -= 1
-            else:
-                edges[(a, b)] = edges.get((a, b), 0) + 1
-    out: dict[tuple, list] = {}
-    for (a, b), n in edges.items():
-        out.setdefault(a, []).extend([b] * n)
-    rings = []
-    for start in sorted(out):
-        while out.get(start):
-            ring = [start]
-            while not (len(ring) > 1 and ring[-1] == start) and out.get(ring[-1]):
-                here = ring[-1]
-                if len(out[here]) > 1 and len(ring) > 1:
-                    turn = lambda n, p=ring[-2], h=here: -math.atan2((h[0] - p[0]) * (n[1] - h[1]) - (h[1] - p[1]) * (n[0] - h[0]), (h[0] - p[0]) * (n[0] - h[0]) + (h[1] - p[1]) * (n[1] - h[1]))
-                    out[here].sort(key=turn, reverse=True)
-                ring.append(out[here].pop())
-            rings.append(ring)
-    return rings
+        together = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(FID).alias("f"), g["parts"].alias("p")))), lambda z: z["p"]))
+        whole = rows.groupBy("_k").agg(F.min(FID).alias(FID), F.max(g["type"]).alias("_kind"), together.alias("_parts"))
+        return whole.select(FID, F.when(F.col("_kind").isNotNull(), F.struct(F.col("_kind").alias("type"), F.col("_parts").alias("parts")).cast(GEOM)).alias("geom"))
+    w = F.coalesce(field(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    x, y = g["parts"][0][0]["x"], g["parts"][0][0]["y"]
+    ok = g.isNotNull() & (g["type"] == "point")
+    mean = lambda v: F.sum(F.when(ok, v * w)) / F.nullif(F.sum(F.when(ok, w)), F.lit(0.0))
+    if sphere:
+        turn = (F.cos(F.radians(y)) * F.cos(F.radians(x)), F.cos(F.radians(y)) * F.sin(F.radians(x)), F.sin(F.radians(y)))
+        one = rows.groupBy("_k").agg(F.min(FID).alias(FID), *(mean(v).alias(n) for v, n in zip(turn, "abc", strict=True)))
+        out = one.select("_k", FID, point(F.degrees(F.atan2("b", "a")), F.degrees(F.atan2(F.col("c"), F.hypot("a", "b")))).alias("geom"))
+    else:
+        out = rows.groupBy("_k").agg(F.min(FID).alias(FID), mean(x).alias("_x"), mean(y).alias("_y")).select("_k", FID, point(F.col("_x"), F.col("_y")).alias("geom"))
+    for kind, made in (("polygon", lambda: overlay.outlines(df, keys, overlapping=overlapping)), ("polyline", lambda: overlay.chained_lines(df, keys))):
+        if kind in kinds:
+            shapes = made().withColumnRenamed("_k", "_k2")
+            out = out.join(shapes, F.col("_k").eqNullSafe(F.col("_k2")), "left").withColumn("geom", F.coalesce("geom", overlay.shaped(kind, F.col("parts")))).drop("_k2", "parts")
+    return out.select(FID, "geom")
 
 
 def inner_lines(df: DataFrame) -> DataFrame:

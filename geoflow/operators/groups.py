@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.functions.aggregates import FID, compile_calc, group, with_modes
+from geoflow.functions.aggregates import FID, Calc, compile_calc, group, grouped
 from geoflow.operators.rows import _scope, condition, field
 
 
@@ -13,25 +13,26 @@ def calc(df: DataFrame, expression: str, *, where: str | None = None, defs: dict
     """One row with a column for each assignment (a bare expression: named by its text), also over no rows."""
     if where is not None:
         df = df.where(condition(df, where, defs))
-    modes: list = []
-    aggs = [c.alias(n) for n, c in compile_calc(expression, _scope(df, defs), compat, modes)]
-    return with_modes(df, [], modes).agg(*aggs)
+    return grouped(df, [], compile_calc(expression, _scope(df, defs), compat))
 
 
 def calc_layer(df: DataFrame, expressions: list[str], *, layer_name: str, defs: dict | None = None) -> DataFrame:
     """A row for each expression: expression, value, layer_name."""
-    modes: list = []
-    aggs = [compile_calc(e, _scope(df, defs), modes=modes)[-1][1].cast("double").alias(f"_{k}") for k, e in enumerate(expressions)]
-    one = with_modes(df, [], modes).agg(*aggs)
+    calc = Calc()
+    for k, e in enumerate(expressions):
+        compile_calc(e, _scope(df, defs), into=calc)
+        calc.out = [*calc.out[:k], (f"_{k}", calc.out[-1][1].cast("double"))]
+    one = grouped(df, [], calc)
     rows = F.array(*(F.struct(F.lit(e).alias("expression"), F.col(f"_{k}").alias("value")) for k, e in enumerate(expressions)))
     return one.select(F.explode(rows).alias("r")).select("r.*", F.lit(layer_name).alias("layer_name"))
 
 
-def dissolve(df: DataFrame, fields: list[str], *, calc: str | None = None, sum_fields: list[str] = (), copy_fields: list[str] = (), where: str | None = None, weight: str | None = None, multipart: bool = False, defs: dict | None = None, compat: bool = True) -> DataFrame:
+def dissolve(df: DataFrame, fields: list[str], *, calc: str | None = None, sum_fields: list[str] = (), copy_fields: list[str] = (), where: str | None = None, weight: str | None = None, multipart: bool = False, overlapping: bool = False, sphere: bool = False, defs: dict | None = None, compat: bool = True) -> DataFrame:
     """One row for each group, in the order of their first rows: keys, sums (null as 0), the first row's values of copy_fields, calc.
 
     where: only these rows are dissolved; the others come first, as they are.  Points become the weighted
-    centroid; polygons lose their shared edges (multipart: parts are put together instead).
+    centroid (sphere: of directions); polygons lose their shared edges (overlapping: also what covers each other);
+    lines are joined end to end (multipart: parts are put together instead).
     """
     rest = None
     if where is not None:
@@ -39,14 +40,11 @@ def dissolve(df: DataFrame, fields: list[str], *, calc: str | None = None, sum_f
         df, rest = df.where(on), df.where(~on)
     aggs = [F.sum(F.coalesce(field(f).cast("double"), F.lit(0.0))).alias(f) for f in sum_fields]
     aggs += [F.min_by(F.struct(field(f).alias("v")), F.col(FID))["v"].alias(f) for f in copy_fields if f not in fields]
-    modes: list = []
-    if calc:
-        aggs += [c.alias(n) for n, c in compile_calc(calc, _scope(df, defs), compat, modes)]
-    out = group(with_modes(df, list(fields), modes), list(fields), aggs)
+    out = group(df, list(fields), aggs, compile_calc(calc, _scope(df, defs), compat) if calc else None)
     if "geom" in df.columns:
         from geoflow.operators.geometry import dissolve_shapes
 
-        shapes = dissolve_shapes(df, list(fields), weight=weight, multipart=multipart)
+        shapes = dissolve_shapes(df, list(fields), weight=weight, multipart=multipart, overlapping=overlapping, sphere=sphere)
         out = out.join(shapes, FID, "left")
     if rest is not None:
         out = rest.unionByName(out, allowMissingColumns=True)

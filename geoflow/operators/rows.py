@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoflow.functions.aggregates import FID
 from geoflow.functions.expressions import ExpressionError, Lowering, Value, compile_value, parse, scope_of, truth
+from geoflow.shared import materialise
 
 
 def field(name: str) -> Column:
@@ -14,16 +15,20 @@ def field(name: str) -> Column:
 
 
 def numbered(df: DataFrame, by: list[Column]) -> DataFrame:
-    """`__fid` from 0 in the order of `by`, which should be unique.
+    """`__fid` from 0 without gaps in the order of `by`; rows that tie get some order.
 
-    The rows are dealt by ranges, numbered within each partition, and moved up by the sizes of the
-    partitions before, so no task sees more than its own range.
+    The rows are dealt by ranges, sorted, numbered within each partition and written once to the shared folder, so
+    that all later reads agree; then they move up by the sizes of the partitions before.  No task sees more than
+    its own range, and the sizes are a row for each partition.
     """
-    dealt = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
-    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1)
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    if "_at" in df.columns:
+        raise ValueError("the name _at is taken")
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    written = materialise(dealt, "numbered")
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = written.groupBy(part.alias("_part")).agg((F.max(at) + 1).alias("_n"))
     offset = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))  # a row for each partition
-    return placed.join(F.broadcast(offset), "_part").withColumn(FID, F.col("_at") + F.col("_offset")).drop("_part", "_at", "_offset")
+    return written.withColumn("_part", part).join(F.broadcast(offset), "_part").withColumn(FID, at + F.col("_offset")).drop("_part", "_at", "_offset")
 
 
 def with_fid(df: DataFrame, *keys: str) -> DataFrame:
@@ -72,13 +77,24 @@ def each(df: DataFrame, expression: str, *, where: str | None = None, ids: list[
     return df.drop("_on")
 
 
-def filter_rows(df: DataFrame, expression: str | None = None, *, invert: bool = False, ids: list[int] | None = None, remove_empty: bool = False, defs: dict | None = None) -> DataFrame:
-    """Keeps rows that meet all criteria (invert: the others).  An expression must be boolean; null drops the row."""
+def filter_rows(df: DataFrame, expression: str | None = None, *, invert: bool = False, ids: list[int] | None = None, remove_empty: bool = False, bbox: tuple[float, float, float, float] | None = None, defs: dict | None = None) -> DataFrame:
+    """Keeps rows that meet all criteria (invert: the others).  An expression must be boolean; null drops the row.
+
+    bbox: the shape meets the box.  remove_empty: there is a shape, and a polygon has an area.
+    """
     tests = [] if expression is None else [condition(df, expression, defs)]
     if ids is not None:
         tests.append(F.col(FID).isin(*ids))
     if remove_empty:
-        tests.append(F.col("geom").isNotNull())
+        from geoflow.operators.geometry import planar_area
+
+        tests.append(F.col("geom").isNotNull() & ((F.col("geom.type") != "polygon") | (planar_area(F.col("geom")) > 0)))
+    if bbox is not None:
+        from geoflow.operators.geometry import meets_box
+
+        tests.append(meets_box(F.col("geom"), bbox))
+    if not tests:
+        return df
     for k, test in enumerate(tests):
         tests[k] = F.coalesce(test, F.lit(False))
     keep = tests[0]
@@ -103,7 +119,14 @@ def rename_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*(field(old).alias(new) for new, old in pairs), *map(field, rest))
 
 
-def drop(df: DataFrame, fields: list[str] | None = None, *, geometry: bool = False) -> DataFrame:
+def drop(df: DataFrame, fields: list[str] | None = None, *, geometry: bool = False, holes: bool = False) -> DataFrame:
+    """Without fields (`*`: all), the geometry, or the holes of polygons."""
+    if holes:
+        from geoflow.operators.geometry import ring_area
+
+        g = F.col("geom")
+        outer = F.filter(g["parts"], lambda p, i: (ring_area(p) >= 0) | (i == 0))
+        df = df.withColumn("geom", F.when(g["type"] == "polygon", F.struct(g["type"].alias("type"), outer.alias("parts"))).otherwise(g))
     names = [c for c in df.columns if c not in (FID, "geom")] if fields == ["*"] else list(fields or [])
     return df.drop(*names, *(["geom"] if geometry else []))
 

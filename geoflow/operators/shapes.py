@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.functions.aggregates import FID, compile_calc, with_modes
+from geoflow.functions.aggregates import FID, Calc, compile_calc, grouped
 from geoflow.functions.expressions import scope_of
 from geoflow.operators import geometry as g
 from geoflow.operators.rows import field, numbered
@@ -328,9 +328,8 @@ def point_to_grid(points: DataFrame, box: tuple[float, float, float, float], int
     p = p.withColumn("col", span("_x", x0)).withColumn("row", span("_y", y0))
     cover = lambda c, n, low: F.greatest(F.least(F.col(c) + half, (F.col(n) + 1) * interval + low) - F.greatest(F.col(c) - half, F.col(n) * interval + low), F.lit(0.0))
     p = p.withColumn("_w", cover("_x", "col", x0) * cover("_y", "row", y0) / (interval * interval)).where("_w > 0")
-    modes: list = []
-    aggs = [c.alias(n) for n, c in compile_calc(calc, scope_of(points.drop(FID, "geom").schema), modes=modes)] if calc else []
-    out = with_modes(p, ["col", "row"], modes).groupBy("col", "row").agg(F.sum("_w").alias("weight"), *aggs).where("weight > 0.05")
+    compiled = compile_calc(calc, scope_of(points.drop(FID, "geom").schema)) if calc else Calc()
+    out = grouped(p, [F.col("col"), F.col("row")], compiled, F.sum("_w").alias("weight")).where("weight > 0.05").withColumnsRenamed({"_key0": "col", "_key1": "row"})
     x, y = F.lit(x0) + F.col("col") * interval, F.lit(y0) + F.col("row") * interval
     return numbered(out, [F.col("row"), F.col("col")]).withColumn("geom", g.rectangle(x, y, x + interval, y + interval))
 

@@ -17,7 +17,7 @@ def windowed_calc(df: DataFrame, time: str, window: str, calc: str, *, keys: lis
     """calc over tumbling windows of a stream (or a table); aggregates that need row order aren't available."""
     from geoflow.functions.aggregates import compile_calc
 
-    aggs = [c.alias(n) for n, c in compile_calc(calc, scope_of(df.schema))]
+    compiled = compile_calc(calc, scope_of(df.schema), modes=False)
     marked = df.withWatermark(time, late) if df.isStreaming else df
-    out = marked.groupBy(F.window(field(time), window).alias("w"), *map(field, keys)).agg(*aggs)
-    return out.select(F.col("w.start").alias("window_start"), *(field(c) for c in out.columns if c != "w"))
+    out = marked.groupBy(F.window(field(time), window).alias("w"), *map(field, keys)).agg(*compiled.aggs)
+    return out.select(F.col("w.start").alias("window_start"), *map(field, keys), *(c.alias(n) for n, c in compiled.out))
