@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoflow.shared import discard, materialise, shared_dir  # noqa: F401
+
 #: The finaliser of splitmix64, and an odd base for polynomial hashes.
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -22,34 +22,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_CHARS = 200_000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, a local folder is set (local masters only)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_shared_dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = spark._own_shared_dir = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later jobs neither recompute it nor lose it with an executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes what materialise() wrote for tables that no later plan reads."""
-    for df in tables:
-        if df is not None and getattr(df, "_written", None):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def hash_share(want: float, total: int) -> int:
     """The border below which the upper 62 bits of a hash fall for about want of total rows, and never 0."""
     return max(1, int(min(1.0, want / max(total, 1)) * (1 << 62)))
@@ -71,22 +43,25 @@ def bitmap(members: DataFrame) -> np.ndarray:
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITMAP_BITS, bool)
+        bits = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
         for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
-        packed = np.packbits(bits).view(np.int64)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(packed[at])], names=["at", "word"])
+            slots = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS))
+            if len(slots):
+                word = (slots >> np.uint64(6)).astype(np.int64)
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                bits[word[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first)
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bits[at].view(np.int64))], names=["at", "word"])
 
     got = members.select(F.col(members.columns[0]).alias("key")).mapInArrow(words, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(1 << BITMAP_BITS - 6, np.int64)
-    out[got.column("at").to_numpy()] = got.column("word").to_numpy()
-    return out.view(np.uint8)
+    out = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
+    out[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+    return out
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-    return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
+    return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
 
 
 def col(name: str) -> Column:

@@ -10,27 +10,34 @@ are also looked up by their words, whatever their cosine.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import batch_texts, col, id_and_text, map_rows, pieces, slices, span_hashes, word_spans
+from geoflow.llm.common import batch_texts, col, discard, id_and_text, map_rows, materialise, slices, span_hashes, word_hashes
 
 #: Fixed value: ASCII punctuation and white space count as spaces.
 PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c", b" " * 37)
 
 
+def batch_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the texts' words, one text after another, and the borders between the texts.
+
+    Words are in lower case, split at white space and ASCII punctuation.
+    """
+    data = [t.lower().encode("utf-8", "replace").translate(PUNCTUATION) for t in texts]
+    starts, hashes, _ = word_hashes(b"\n".join(data))
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)]))
+
+
 def words(text: str) -> np.ndarray:
-    """The 64-bit hashes of the text's words: lower case, split at white space and ASCII punctuation."""
-    out = []
-    for part in pieces(text.replace("\n", " ").lower(), 1 << 20):
-        a, s, e = word_spans(part.encode("utf-8", "replace").translate(PUNCTUATION))
-        out.append(span_hashes(a, s, e))
-    return np.concatenate(out)
+    return batch_words([text])[0]
 
 
 class Vocabulary:
@@ -87,29 +94,33 @@ class Copies:
             heads.setdefault(a, {}).setdefault(first, {}).setdefault(len(w), {}).setdefault(w.tobytes(), []).append(k)
         self.heads = [(a, Vocabulary(np.array(list(x), np.uint64)), list(x.values())) for a, x in sorted(heads.items())]
 
-    def find(self, hashes: np.ndarray) -> set[int]:
-        out: set[int] = set()
+    def find(self, hashes: np.ndarray, borders: np.ndarray) -> set[tuple[int, int]]:
+        """(item, text) of the items in the texts, whose words lie one after another between the borders."""
+        out: set[tuple[int, int]] = set()
         for a, vocabulary, items in self.heads:
             starts = np.arange(len(hashes) - a + 1)
             if len(starts):
                 found = vocabulary.find(span_hashes(hashes, starts, starts + a))
                 for at in np.flatnonzero(found < len(items)).tolist():
+                    text = int(np.searchsorted(borders, at, "right")) - 1
                     for n, same in items[found[at]].items():
-                        out.update(same.get(hashes[at : at + n].tobytes(), ()))
+                        if at + n <= borders[text + 1]:
+                            out.update((k, text) for k in same.get(hashes[at : at + n].tobytes(), ()))
         return out
 
 
 @dataclass
 class Index:
     ids: list[int]
-    items: list[tuple[dict[int, int], int]]  # the places of each item's words, and their number
+    size: list[int]  # the words of each item
+    sections: list[tuple[int, dict[int, int], int]]  # the item of each section, the places of its words, and their number
     answers: list[tuple[dict[int, int], int]]
     vocabulary: Vocabulary
     project: np.ndarray  # terms + 1 (zero) x rank: idf times the latent basis
     passages: np.ndarray  # passages x rank, of length one
-    owner: np.ndarray  # the item of each
-    holders: tuple[np.ndarray, np.ndarray]  # the items that hold each term, one after another, and where each term's begin
-    telling: np.ndarray  # how many of each item's words are terms
+    owner: np.ndarray  # the section of each
+    holders: tuple[np.ndarray, np.ndarray]  # the sections that hold each term, one after another, and where each term's begin
+    telling: np.ndarray  # how many of each section's words are terms
     copies: Copies
     window: int
     stride: int
@@ -119,41 +130,65 @@ def _passages(n: int, window: int, stride: int) -> list[tuple[int, int]]:
     return [(a, min(a + window, n)) for a in range(0, max(n - window + stride, 1), stride)]
 
 
-def build_index(docs: DataFrame, items: list[tuple[int, str]], *, id_col: str, text_col: str, window: int, stride: int, rank: int, common: float, answer_words: int, power: int = 2, seed: int = 11) -> Index | None:
-    """For a bounded number of items; the corpus counts cover all documents."""
-    spark = docs.sparkSession
+def item_words(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
     lists = [(i, words(t)) for i, t in items if t]
-    lists = [(i, w) for i, w in lists if len(w)]
-    if not lists:
-        return None
-    different = list({w.tobytes(): w for _, w in lists}.values())
-    terms, n_items = np.unique(np.concatenate([np.unique(w) for w in different]), return_counts=True)
-    terms = terms[n_items <= max(2, common * len(different))]
-    vocabulary = Vocabulary(terms)
-    sent = spark.sparkContext.broadcast(vocabulary)  # of a block of items
+    return [(i, w) for i, w in lists if len(w)]
+
+
+def common_words(benchmark: DataFrame, share: float) -> np.ndarray:
+    """The words that over `share` of the different items hold, and over two; each item adds its own, so there are at most 1 / share times an item's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for t in batch_texts(batch):
+                w = words(t)
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(w.tobytes()).digest()], pa.binary()), pa.array([np.unique(w).view(np.int64)], pa.list_(pa.int64()))], names=["item", "words"])
+
+    items = benchmark.select("text").mapInArrow(run, "item binary, words array<long>").where("size(words) > 0")
+    items = materialise(items.groupBy("item").agg(F.first("words").alias("words")), "item-words")
+    least = max(2, share * items.count())
+    got = items.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") > least).toArrow()
+    discard(items)
+    return got.column("word").to_numpy().view(np.uint64)
+
+
+def corpus_counts(docs: DataFrame, terms: np.ndarray, window: int) -> np.ndarray:
+    """How many passages of `window` words of all documents hold each term, and last how many there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms))  # of the benchmark's words
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = sent.value
         total, seen = 0, np.zeros(len(voc.terms), np.int64)
-        for batch in slices(batches):
-            for text in batch_texts(batch):
-                found = voc.find(words(text))
-                total += -(-len(found) // window)
-                at = np.flatnonzero(found < len(voc.terms) - 1)
-                pair = np.unique((at // window) * len(voc.terms) + found[at])
-                seen += np.bincount(pair % len(voc.terms), minlength=len(voc.terms))
+        for batch in slices(batches, limit=1_000_000):
+            hashes, borders = batch_words(batch_texts(batch))
+            n = np.diff(borders)
+            first = np.cumsum([0, *(-(-n // window))])
+            total += int(first[-1])
+            found = voc.find(hashes)
+            at = np.flatnonzero(found < len(voc.terms) - 1)
+            doc = np.searchsorted(borders, at, "right") - 1
+            pair = np.unique((first[doc] + (at - borders[doc]) // window) * len(voc.terms) + found[at])
+            seen += np.bincount(pair % len(voc.terms), minlength=len(voc.terms))
         seen[-1] = total
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["term", "n"])
 
-    counted = id_and_text(docs, id_col, text_col).select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(terms) + 1)
-    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
-    idf = np.log((df[-1] + len(lists) + 1) / (df[:-1] + 1)) + 1
+    counted = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1)
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def build_index(spark: SparkSession, lists: list[tuple[int, np.ndarray]], terms: np.ndarray, idf: np.ndarray, *, window: int, stride: int, rank: int, answer_words: int, section: int = 2048, power: int = 2, seed: int = 11) -> Index:
+    """Of a bounded number of items, given as their words; terms and idf: of the whole benchmark."""
+    sections = [(k, w[a : a + section]) for k, (_, w) in enumerate(lists) for a in range(0, len(w), section)]
+    mine = np.isin(terms, np.concatenate([np.unique(w) for _, w in sections]))
+    terms, idf = terms[mine], idf[mine]
+    vocabulary = Vocabulary(terms)
+    held = [vocabulary.find(w) for _, w in sections]
     rows, owner = [], []
-    for k, (_, w) in enumerate(lists):
-        found = vocabulary.find(w)
-        for a, b in _passages(len(w), window, stride):
+    for k, found in enumerate(held):
+        for a, b in _passages(len(found), window, stride):
             part = found[a:b]
             t, n = np.unique(part[part < len(terms)], return_counts=True)
             if len(t):
@@ -167,11 +202,10 @@ def build_index(docs: DataFrame, items: list[tuple[int, str]], *, id_col: str, t
     latent = np.array([(np.array(v)[:, None] * basis[t]).sum(0) for t, v in rows]).reshape(-1, basis.shape[1])
     length = np.linalg.norm(latent, axis=1, keepdims=True)
     ok = length[:, 0] > 1e-6
-    held = [vocabulary.find(w) for _, w in lists]
     held = [f[f < len(terms)] for f in held]
-    pairs = np.unique(np.concatenate([np.unique(f).astype(np.int64) * len(lists) + k for k, f in enumerate(held)]))
-    holders = pairs % len(lists), np.searchsorted(pairs // len(lists), np.arange(len(terms) + 1))
-    return Index([i for i, _ in lists], [(places(w), len(w)) for _, w in lists], [(places(w[-answer_words:]), len(w[-answer_words:])) for _, w in lists], vocabulary, project, (latent[ok] / length[ok]).astype(np.float32), np.array(owner)[ok], holders, np.array([len(f) for f in held]), Copies([w for _, w in lists]), window, stride)
+    pairs = np.unique(np.concatenate([np.unique(f).astype(np.int64) * len(sections) + k for k, f in enumerate(held)]))
+    holders = pairs % len(sections), np.searchsorted(pairs // len(sections), np.arange(len(terms) + 1))
+    return Index([i for i, _ in lists], [len(w) for _, w in lists], [(k, places(w), len(w)) for k, w in sections], [(places(w[-answer_words:]), len(w[-answer_words:])) for _, w in lists], vocabulary, project, (latent[ok] / length[ok]).astype(np.float32), np.array(owner, np.int64)[ok], holders, np.array([len(f) for f in held]), Copies([w for _, w in lists]), window, stride)
 
 
 def _svd(spark, rows: list[tuple[list[int], list[float]]], n_terms: int, rank: int, power: int, seed: int) -> np.ndarray:
@@ -200,57 +234,93 @@ def _svd(spark, rows: list[tuple[list[int], list[float]]], n_terms: int, rank: i
     return q[:, :rank]
 
 
-def search(text: str, index: Index, cosine: float, covered: float, covered_with_answer: float) -> list[tuple[int, float, float]]:
-    """(item's place, best cosine, best share of the item that a common subsequence covers) of the items found in a whole text."""
-    hashes = words(text)
-    best = _similar(hashes, index, cosine, covered, covered_with_answer) if len(hashes) and len(index.passages) else {}
-    for k in index.copies.find(hashes):
-        best[k] = best[k][0] if k in best else 1.0, 1.0
-    return [(k, c, s) for k, (c, s) in sorted(best.items())]
+def search(texts: list[str], index: Index, cosine: float, covered: float, covered_with_answer: float) -> list[list[tuple[int, float, float]]]:
+    """(item's place, best cosine, best share of the item that a common subsequence covers) of the items found in each whole text."""
+    hashes, borders = batch_words(texts)
+    out = _similar(hashes, borders, index, cosine, covered, covered_with_answer) if len(index.passages) else [{} for _ in texts]
+    for k, at in index.copies.find(hashes, borders):
+        out[at][k] = out[at][k][0] if k in out[at] else 1.0, 1.0
+    return [[(k, c, s) for k, (c, s) in sorted(best.items())] for best in out]
 
 
-def _similar(hashes: np.ndarray, index: Index, cosine: float, covered: float, covered_with_answer: float) -> dict[int, tuple[float, float]]:
-    """For the items found through the latent space, the best cosine and share."""
+def _similar(hashes: np.ndarray, borders: np.ndarray, index: Index, cosine: float, covered: float, covered_with_answer: float, rows: int = 4096) -> list[dict[int, tuple[float, float]]]:
+    """For each text, the best cosine and share of the items found through the latent space; `rows` windows are scored at a time."""
+    best: list[dict[int, tuple[float, float]]] = [{} for _ in borders[1:]]
     found = index.vocabulary.find(hashes)
-    n = -(-len(hashes) // index.stride)
     known = np.flatnonzero(found < len(index.vocabulary.terms) - 1)
     if not len(known):
-        return {}
-    steps, first = np.unique(known // index.stride, return_index=True)
+        return best
     span = index.window // index.stride
-    sums = np.add.reduceat(index.project[found[known]], first, axis=0)
-    total = np.zeros((n + span, index.project.shape[1]), np.float32)
-    total[steps] = sums
-    at = np.unique(np.concatenate([steps - j for j in range(span)]))
-    at = at[at >= 0]
-    window = sum(total[at + j] for j in range(span))
-    length = np.linalg.norm(window, axis=1, keepdims=True)
-    score = (window / np.maximum(length, 1e-9)) @ index.passages.T
-    row, passage = np.nonzero(score >= cosine)
-    if len(row):
-        ok = _told(index, found[known], known // index.stride, n, at[row], index.owner[passage], min(covered, covered_with_answer))
-        row, passage = row[ok], passage[ok]
+    first = np.cumsum([0, *(-(-np.diff(borders) // index.stride) + span)])  # of each text's steps; the last `span` are empty
+    doc = np.searchsorted(borders, known, "right") - 1
+    step = first[doc] + (known - borders[doc]) // index.stride
+    hits = []
+    for low in range(0, int(first[-1]), rows):
+        a, b = np.searchsorted(step, [low, low + rows + span])
+        if a == b:
+            continue
+        steps, start = np.unique(step[a:b], return_index=True)
+        total = np.zeros((rows + 2 * span, index.project.shape[1]), np.float32)
+        total[steps - low] = np.add.reduceat(index.project[found[known[a:b]]], start, axis=0)
+        window = sum(total[j : rows + j] for j in range(span))
+        length = np.linalg.norm(window, axis=1)
+        some = np.flatnonzero(length > 1e-9)
+        score = (window[some] / length[some, None]) @ index.passages.T
+        at, passage = np.nonzero(score >= cosine)
+        hits.append((some[at] + low, passage, score[at, passage]))
+    if not hits:
+        return best
+    row, passage, score = map(np.concatenate, zip(*hits, strict=True))
+    of = np.searchsorted(first, row, "right") - 1
+    inside = row < first[of + 1] - span
+    row, passage, score, of = row[inside], passage[inside], score[inside], of[inside]
+    cuts = np.searchsorted(of, np.arange(len(borders)))
+    inner = np.searchsorted(doc, np.arange(len(borders)))
+    for d in np.unique(of).tolist():
+        mine = slice(cuts[d], cuts[d + 1])
+        at, p = row[mine] - first[d], passage[mine]
+        here = slice(inner[d], inner[d + 1])
+        ok = _told(index, found[known[here]], step[here] - first[d], int(first[d + 1] - first[d]), at, index.owner[p], min(covered, covered_with_answer))
+        if ok.any():
+            best[d] = _compared(hashes[borders[d] : borders[d + 1]], index, at[ok], p[ok], score[mine][ok], covered, covered_with_answer)
+    return best
+
+
+def _compared(hashes: np.ndarray, index: Index, at: np.ndarray, passage: np.ndarray, score: np.ndarray, covered: float, covered_with_answer: float) -> dict[int, tuple[float, float]]:
+    """The items that a text's candidates (window, passage) confirm, by common subsequences and answers."""
     best: dict[int, tuple[float, float]] = {}
-    order = np.argsort(-score[row, passage], kind="stable")
+    length: dict[int, dict[int, int]] = {}  # of items in several sections, the longest subsequence of each
+    top: dict[int, tuple[float, bool]] = {}
     tried: set[tuple[int, int]] = set()
-    listed = hashes.tolist() if len(row) else []
-    for r, p in zip(row[order].tolist(), passage[order].tolist(), strict=True):
-        k = int(index.owner[p])
-        if (at[r], k) in tried or (k in best and best[k][1] >= 1):
+    listed = hashes.tolist()
+    for k in np.argsort(-score, kind="stable").tolist():
+        sec = int(index.owner[passage[k]])
+        item, masks, size = index.sections[sec]
+        if (int(at[k]), sec) in tried or best.get(item, (0, 0))[1] >= 1:
             continue
-        tried.add((at[r], k))
-        size = index.items[k][1]
-        begin = int(at[r]) * index.stride
+        tried.add((int(at[k]), sec))
+        begin = int(at[k]) * index.stride
         region = listed[max(0, begin - size) : begin + index.window + size]
-        share = common_subsequence(*index.items[k], region) / size
-        whole = share >= covered or (share >= covered_with_answer and common_subsequence(*index.answers[k], region) == index.answers[k][1])
-        if whole and share > best.get(k, (0, 0))[1]:
-            best[k] = float(score[r, p]), share
+        got = common_subsequence(masks, size, region)
+        told = lambda: common_subsequence(*index.answers[item], region) == index.answers[item][1]  # noqa: E731, B023
+        if size == index.size[item]:
+            share = got / size
+            if (share >= covered or (share >= covered_with_answer and told())) and share > best.get(item, (0, 0))[1]:
+                best[item] = float(score[k]), share
+        else:
+            of = length.setdefault(item, {})
+            of[sec] = max(of.get(sec, 0), got)
+            c, answered = top.get(item, (0.0, False))
+            top[item] = max(c, float(score[k])), answered or told()
+    for item, of in length.items():
+        share = sum(of.values()) / index.size[item]
+        if share >= covered or (share >= covered_with_answer and top[item][1]):
+            best[item] = top[item][0], share
     return best
 
 
 def _told(index: Index, terms: np.ndarray, step: np.ndarray, n: int, at: np.ndarray, item: np.ndarray, least: float) -> np.ndarray:
-    """For candidates (window, item), whether the text around the window has the telling words without which no common subsequence covers `least` of the item."""
+    """For candidates (window, section), whether the text around the window has the telling words without which no common subsequence covers `least` of an item in one section."""
     items, back = np.unique(item, return_inverse=True)
     place = np.full(len(index.telling), -1)
     place[items] = np.arange(len(items))
@@ -260,69 +330,89 @@ def _told(index: Index, terms: np.ndarray, step: np.ndarray, n: int, at: np.ndar
     cell = (np.repeat(step, many) * len(items) + owner)[owner >= 0]
     total = np.zeros((n + 1, len(items)), np.int64)
     total[1:] = np.cumsum(np.bincount(cell, minlength=n * len(items)).reshape(n, len(items)), axis=0)
-    size = np.array([index.items[k][1] for k in items])[back]
+    size = np.array([index.sections[k][2] for k in items])[back]
+    whole = np.array([index.sections[k][2] == index.size[index.sections[k][0]] for k in items])[back]
     low = np.maximum(at - -(-size // index.stride), 0)
     high = np.minimum(at + -(-(index.window + size) // index.stride), n)
-    return total[high, back] - total[low, back] >= index.telling[item] - (1 - least) * size - 1e-6
+    return ~whole | (total[high, back] - total[low, back] >= index.telling[item] - (1 - least) * size - 1e-6)
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, stride: int, rank: int, common: float, answer_words: int, items_per_block: int) -> Iterator[Index]:
+    """An index of each block of about items_per_block items, by a hash of their ids, so that any benchmark fits.
 
+    The telling words and how many passages of the corpus hold each are those of the whole benchmark, counted in one
+    scan of the documents; the latent space is each block's own.
+    """
+    spark = docs.sparkSession
+    items = benchmark.select(col(item_col).cast("long").alias("item_id"), col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = materialise(items, "items")
+    blocks = max(1, -(-items.count() // items_per_block))
+    often, terms = common_words(items, common), [np.zeros(0, np.uint64)]
 
-def item_blocks(benchmark: DataFrame, *, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about `most`, by a hash of their ids, so that any benchmark fits."""
-    items = benchmark.select(col(item_col).cast("long").alias("item_id"), col(text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
-    blocks = max(1, -(-items.count() // most))
+    def block(k: int) -> list[tuple[int, np.ndarray]]:
+        return item_words([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()])
+
+    for k in range(blocks):
+        terms = [np.unique(np.concatenate([*terms, *(w for _, w in block(k))]))]
+    terms = np.setdiff1d(terms[0], often)
+    df = corpus_counts(id_and_text(docs, id_col, text_col), terms, window)
+    idf = np.log((df[-1] + items.count() + 1) / (df[:-1] + 1)) + 1
     for k in range(blocks):
-        got = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        if got:
-            yield [(r.item_id, r.text) for r in got]
+        lists = block(k)
+        if lists:
+            yield build_index(spark, lists, terms, idf, window=window, stride=stride, rank=rank, answer_words=answer_words)
+    discard(items)
+
+
+FOUND = "doc_id long, item_ids array<long>, best_cosine double, best_cover double"
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 128, cosine: float = 0.45, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
-    """doc_id, item_ids (ascending), best_cosine, best_cover of each row that holds a benchmark item.
+    """doc_id, item_ids (ascending), best_cosine, best_cover: one row for each row of docs that holds a benchmark item.
 
-    Whole texts are searched.  Null and empty texts and items hold nothing.  Word-for-word copies of whole items
-    are always found (with cosine 1 if the latent space has missed them).  `rank` is the least; it grows with the
-    root of a block's passages.  An item whose every word is common to over `common` of the items (and to over
-    two) is found as such a copy only.  Repeated items are found each, repeated rows too.
+    Whole texts are searched.  Null and empty texts and items, and empty tables, hold nothing.  Word-for-word copies
+    of whole items are always found (with cosine 1 if the latent space has missed them).  `rank` is the least; it
+    grows with the root of a block's passages.  An item whose every word is common to over `common` of the items (and
+    to over two) is found as such a copy only.  Items of over 2,048 words are compared in sections of that many, whose
+    common subsequences add up.  Repeated items are found each, repeated rows too.
     """
-    found = None
-    for items in item_blocks(benchmark, item_col=item_col, text_col=item_text_col, most=items_per_block):
-        index = build_index(docs, items, id_col=id_col, text_col=text_col, window=window, stride=stride, rank=rank, common=common, answer_words=answer_words)
-        if index is not None:
-            part = id_and_text(docs, id_col, text_col).mapInArrow(_searcher(docs, index, cosine, covered, covered_with_answer), "doc_id long, item_ids array<long>, best_cosine double, best_cover double")
-            found = part if found is None else found.union(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_ids array<long>, best_cosine double, best_cover double")
-    return found
+    spark, options = docs.sparkSession, {"id_col": id_col, "text_col": text_col, "item_col": item_col, "item_text_col": item_text_col, "window": window, "stride": stride, "rank": rank, "common": common, "answer_words": answer_words, "items_per_block": items_per_block}
+    parts = [id_and_text(docs, id_col, text_col).mapInArrow(_searcher(docs, index, cosine, covered, covered_with_answer), FOUND + ", digest binary") for index in indexes(docs, benchmark, **options)]
+    if not parts:
+        return spark.createDataFrame([], FOUND)
+    if len(parts) == 1:
+        return parts[0].drop("digest")
+    alike = [part.groupBy("doc_id", "digest").agg(F.first("item_ids").alias("item_ids"), F.first("best_cosine").alias("c"), F.first("best_cover").alias("s"), F.count(F.lit(1)).alias("rows")) for part in parts]
+    every = functools.reduce(DataFrame.unionAll, alike).groupBy("doc_id", "digest").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("c").alias("best_cosine"), F.max("s").alias("best_cover"), F.max("rows").alias("rows"))  # a row for each block at most
+    return every.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("doc_id", "item_ids", "best_cosine", "best_cover")
 
 
 def _searcher(docs: DataFrame, index: Index, *limits: float):
     sent = docs.sparkSession.sparkContext.broadcast(index)  # of a block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch_texts(batch), strict=True):
-                got = search(text, sent.value, *limits)
+        for batch in slices(batches, limit=1_000_000):
+            texts, rows = batch_texts(batch), []
+            for doc_id, text, got in zip(batch.column("doc_id").to_pylist(), texts, search(texts, sent.value, *limits), strict=True):
                 if got:
-                    rows.append((doc_id, sorted(sent.value.ids[k] for k, _, _ in got), max(c for _, c, _ in got), max(s for *_, s in got)))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_ids", "best_cosine", "best_cover"])
+                    rows.append((doc_id, sorted(sent.value.ids[k] for k, _, _ in got), max(c for _, c, _ in got), max(s for *_, s in got), hashlib.sha256(text.encode("utf-8", "replace")).digest()))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_ids", "best_cosine", "best_cover", "digest"])
 
     return run
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 32, stride: int = 16, rank: int = 128, cosine: float = 0.45, covered: float = 0.75, covered_with_answer: float = 0.55, answer_words: int = 5, common: float = 0.05, items_per_block: int = 5000) -> DataFrame:
-    """The rows of docs in which no item is found, all columns, rows judged one by one; null texts stay."""
+    """The rows of docs in which no item is found, all columns, rows judged one by one as find_leaks() does; null texts stay."""
+    options = {"id_col": id_col, "text_col": text_col, "item_col": item_col, "item_text_col": item_text_col, "window": window, "stride": stride, "rank": rank, "common": common, "answer_words": answer_words, "items_per_block": items_per_block}
     out, at = docs, docs.columns.index(text_col)
-    for items in item_blocks(benchmark, item_col=item_col, text_col=item_text_col, most=items_per_block):
-        index = build_index(docs, items, id_col=id_col, text_col=text_col, window=window, stride=stride, rank=rank, common=common, answer_words=answer_words)
-        if index is None:
-            continue
+    for index in indexes(docs, benchmark, **options):
         sent = docs.sparkSession.sparkContext.broadcast(index)  # of a block of items
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, f"c{at}"):
-                yield batch.filter(pa.array([not search(t, sent.value, cosine, covered, covered_with_answer) for t in batch_texts(batch, f"c{at}")], pa.bool_()))
+            for batch in slices(batches, f"c{at}", limit=1_000_000):
+                yield batch.filter(pa.array([not got for got in search(batch_texts(batch, f"c{at}"), sent.value, cosine, covered, covered_with_answer)], pa.bool_()))
 
         out = map_rows(out, run)
     return out

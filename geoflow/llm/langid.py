@@ -1,6 +1,6 @@
 """Language identification with bit-sliced Bloom filters over letter n-grams.
 
-Every cell of one table holds a bit for each language.  A lookup ANDs the k cells of an n-gram: the
+Every cell of one table holds a bit for each language (64 to a word).  A lookup ANDs the k cells of an n-gram: the
 result is the set of all languages whose profile has the n-gram (and, rarely, some that don't).  A
 document's hits are counted by language and corrected for the filter's known false-positive rates.
 """
@@ -16,15 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import batch_texts, col, gram_blocks, has_letter, id_and_text, map_rows, slices
+from geoflow.llm.common import batch_texts, col, discard, gram_blocks, has_letter, hash_share, id_and_text, map_rows, materialise, slices
 
 UNDETERMINED = "und"
 
 
+def bit(words: np.ndarray, k: int) -> np.ndarray:
+    """Bit k of each row's words."""
+    return words[:, k >> 6] >> np.uint64(k & 63) & np.uint64(1) == 1
+
+
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    table: np.ndarray  # uint64: a bit for each language
+    table: np.ndarray  # cells x words of 64 bits: a bit for each language
     false_rate: np.ndarray  # by language, of one n-gram lookup
     hashes: int
     sizes: tuple[int, ...]
@@ -36,7 +41,7 @@ class LanguageFilters:
             yield (grams + np.uint64(i) * step) & np.uint64(len(self.table) - 1)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram, the bits of all languages that contain it."""
+        """For each n-gram, the words with the bits of all languages that contain it."""
         out = None
         for at in self.cells(grams):
             out = self.table[at] if out is None else out & self.table[at]
@@ -50,7 +55,7 @@ class LanguageFilters:
             mask = self.masks(grams)
             total += np.bincount(owner, minlength=len(texts))
             for k in range(len(self.languages)):
-                hits[k] += np.bincount(owner[(mask >> np.uint64(k)) & np.uint64(1) == 1], minlength=len(texts))
+                hits[k] += np.bincount(owner[bit(mask, k)], minlength=len(texts))
         rate = self.false_rate[:, None]
         share = np.clip((hits - rate * total) / np.maximum((1 - rate) * total, 1e-9), 0, 1)
         best = share.argmax(0) if self.languages else np.zeros(len(texts), int)
@@ -62,58 +67,52 @@ class LanguageFilters:
 def train(docs: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           sample_docs: int = 1500, sizes: tuple[int, ...] = (3, 4), least_rate: float = 2e-5, least_ratio: float = 0.2,
           cells: int = 1 << 20, hashes: int = 2) -> LanguageFilters:
-    """Builds the filters from rows with a non-null language and text.
+    """Builds the filters from rows with a non-null language and text, of any number of languages.
 
     The fit reads about sample_docs whole documents of each language (chosen by a hash of the id), so
     that its cost doesn't grow with the table.  A language's profile holds each n-gram that makes up at
     least least_rate of its n-grams, and at least least_ratio of the rate in any other language: at
-    most 1 / least_rate n-grams a language and size.  At most 64 languages.  No row: no language, all `und`.
+    most 1 / least_rate n-grams a language and size.  No row: no language, all `und`.
     """
-    rows = id_and_text(docs, id_col, text_col, col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     if learn is not None:
-        rows = id_and_text(docs.where(learn), id_col, text_col, col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+        docs = docs.where(learn)
+    rows = id_and_text(docs, id_col, text_col, col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(count) > 64:
-        raise ValueError("a mask has bits for 64 languages at most")
     languages = sorted(count)
-    take = F.lit(False)
-    for lang in languages:
-        take = take | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1, sample_docs / count[lang]) * (1 << 20))))
+    table = np.zeros((cells, max(1, -(-len(languages) // 64))), np.uint64)
+    filters = LanguageFilters(languages, table, np.zeros(len(languages)), hashes, tuple(sizes))
+    if not languages:
+        return filters
+    shares = docs.sparkSession.createDataFrame([(lang, k, hash_share(sample_docs, count[lang])) for k, lang in enumerate(languages)], "lang string, k int, share long")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.col("share"))  # a row for each language
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            by: dict[str, list[str]] = {}
-            for text, lang in zip(batch_texts(batch), batch.column("lang").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                for n, _, h in gram_blocks(texts, sizes):
+            by: dict[int, list[str]] = {}
+            for text, k in zip(batch_texts(batch), batch.column("k").to_pylist(), strict=True):
+                by.setdefault(k, []).append(text)
+            for k, texts in by.items():
+                for _, _, h in gram_blocks(texts, sizes):
                     u, c = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array([n] * len(u), pa.int32()), pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=["lang", "n", "gram", "c"])
-
-    counted = rows.where(take).mapInArrow(grams, "lang string, n int, gram long, c long").groupBy("gram").pivot("lang", languages).agg(F.sum("c")).fillna(0) if languages else None
-    table = np.zeros(cells, np.uint64)
-    filters = LanguageFilters(languages, table, np.zeros(len(languages)), hashes, tuple(sizes))
-    if not languages:
-        return filters
-    counted = counted.toDF("gram", *(f"c{k}" for k in range(len(languages)))).persist()
-    totals = counted.agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(len(languages)))).first()
-    rates = [F.col(f"c{k}") / F.lit(max(float(totals[k] or 0), 1.0)) for k in range(len(languages))]
-    top = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    mask = sum((F.when((r >= least_rate) & (r >= top * least_ratio), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k, r in enumerate(rates)), F.lit(0).cast("long"))
-    profile = counted.select("gram", mask.alias("mask")).where("mask != 0").toArrow()
-    counted.unpersist()
-    gram = profile.column("gram").to_numpy().view(np.uint64)
-    bits = profile.column("mask").to_numpy().view(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=["k", "gram", "c"])
+
+    counted = materialise(chosen.select("k", "text").mapInArrow(grams, "k int, gram long, c long").groupBy("k", "gram").agg(F.sum("c").alias("c")), "gram-counts")
+    totals = counted.groupBy("k").agg(F.sum("c").alias("total"))
+    rates = counted.join(F.broadcast(totals), "k").select("k", "gram", (F.col("c") / F.col("total")).alias("rate")).where(F.col("rate") >= least_rate)
+    listed = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("k", "rate")).alias("of"))  # an entry for each language at most
+    profile = listed.select("gram", F.explode("of").alias("e"), "top").where(F.col("e.rate") >= F.col("top") * least_ratio).select("gram", "e.k").toArrow()
+    discard(counted)
+    gram, of = profile.column("gram").to_numpy().view(np.uint64), profile.column("k").to_numpy()
     for at in filters.cells(gram):
-        np.bitwise_or.at(table, at, bits)
-    filters.false_rate = np.array([((table >> np.uint64(k)) & np.uint64(1)).mean() ** hashes for k in range(len(languages))])
+        np.bitwise_or.at(table, (at, of >> 6), np.uint64(1) << (of & 63).astype(np.uint64))
+    filters.false_rate = np.array([bit(table, k).mean() ** hashes for k in range(len(languages))])
     return filters
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text", keep: bool = False, least_score: float = 0.0) -> DataFrame:
     """All columns of docs with lang_pred and lang_score; keep: only documents with a language and that score, with the columns of docs alone.
 
-    Null and empty texts and texts without a letter are `und`, score 0.  Ties go to the language that
+    Whole texts are judged, however long.  Null and empty texts and texts without a letter are `und`, score 0.  Ties go to the language that
     sorts first.  Rows that repeat are judged each.  Existing columns of the added names are replaced.
     """
     share = docs.sparkSession.sparkContext.broadcast(filters)  # a table of fixed size

@@ -91,7 +91,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 def read_rules(model: bytes) -> Rules:
     """The normaliser's part of a model file: field 3, with the map at 2, the prefix at 3, squeezing at 4, escaping at 5."""
-    spec = dict(_fields(next((v for k, v in _fields(model) if k == 3), b"")))
+    spec = {number: value for k, part in _fields(model) if k == 3 for number, value in _fields(part)}
     return Rules(CharacterMap(spec.get(2, b"")), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)))
 
 
@@ -145,12 +145,17 @@ def normalise(text: str, rules: Rules) -> tuple[bytes, np.ndarray]:
     return bytes(out), np.array([*origin, last], np.int64)
 
 
+#: Fixed value: the end of a model file that takes the normaliser's part out of it (no map, no prefix, no squeezing, no escaping).
+PLAIN = b"\x1a\x08\x12\x00\x18\x00\x20\x00\x28\x00"
+
+
 class PieceCodec:
-    """Encodes with ids equal to the library's and with byte spans.
+    """Normalises texts itself, cuts what that gives into the library's pieces, and projects these to byte spans.
 
+    The library gets the model without its normaliser, so its pieces tile the bytes whose origins are known.
     Where no piece has the space mark after another character, no merge crosses from a word to the next
-    space; then a text's ids are those of its words, each with the spaces before it, and those of recent
-    words are kept, up to a bound.  Any other model, and texts that hold the mark itself, go whole.
+    space; then a text's ids are those of its words, each with the marks before it, and those of recent
+    words are kept, up to a bound.  With any other model texts go whole.
     """
 
     def __init__(self, path: str):
@@ -160,61 +165,47 @@ class PieceCodec:
             blob = f.read()
         self.rules = read_rules(blob)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        self.cutter = sentencepiece.SentencePieceProcessor(model_proto=blob + PLAIN)
         n = self.library.get_piece_size()
         names = [self.library.id_to_piece(i) for i in range(n)]
         inner = re.compile(f"[^{SPACE}]{SPACE}")
-        self.by_word = not self.rules.map.units and not self.rules.squeeze and self.rules.add_prefix and self.rules.escape and not any(inner.search(p) for p in names)
-        self.by_word &= self.library.piece_to_id(SPACE) != self.library.unk_id() and not any(self.library.is_unused(i) for i in range(n))
+        self.by_word = not any(inner.search(p) for p in names) and not any(self.library.is_unused(i) for i in range(n))
+        self.by_word &= self.library.piece_to_id(SPACE) != self.library.unk_id()
+        self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.width = np.array([1 if self.library.is_byte(i) else 0 if self.library.is_control(i) or self.library.is_unknown(i) else len(p.encode()) for i, p in enumerate(names)], np.int64)
         self.decimal = list(map(str, range(n)))
-        self.lone = [self.library.piece_to_id(SPACE)]
         self.known: dict[str, tuple[bytes, str]] = {}
 
-    def _words(self, text: str) -> list[str]:
-        """The parts between single spaces; of a run of spaces, all but the first stay with the next part, or are a part at the end."""
-        parts = text.split(" ")
-        if "" not in parts:
-            return parts
-        out, run = [], 0
-        for p in parts[:-1]:
-            if p:
-                out.append(" " * run + p)
-                run = 0
-            else:
-                run += 1
-        out.append(" " * run + parts[-1])
-        return out
-
     def _learn(self, new: list[str]) -> None:
         decimal = self.decimal
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            for word, ids in zip(part, self.library.encode(part, num_threads=1), strict=True):
-                ids = ids or self.lone
+            for word, ids in zip(part, self.cutter.encode(part, num_threads=1), strict=True):
                 self.known[word] = array("i", ids).tobytes(), ",".join([decimal[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
-        """The ids of each whole text, as an array and as decimal text."""
-        words = [self._words(t) if self.by_word and t and SPACE not in t and "\0" not in t else None for t in texts]
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray]]:
+        """The ids of each whole text, as an array and as decimal text, and the origins of its normalised bytes."""
+        normal = [normalise(t, self.rules) for t in texts]
+        plain = [n.decode() for n, _ in normal]
+        words = [self.word.findall(p) if self.by_word and "\0" not in p else None for p in plain]
         new = list({w for x in words if x for w in x}.difference(self.known))
         if len(self.known) + len(new) > CHUNKS_KEPT:
             self.known = {w: self.known[w] for x in words if x for w in x if w in self.known}
         self._learn(new)
         out = []
-        for text, x in zip(texts, words, strict=True):
+        for text, x, (_, origin) in zip(plain, words, normal, strict=True):
             if x is None:
-                ids = self.library.encode(text) if text else []
-                out.append((np.array(ids, "<i4"), ",".join(map(str, ids))))
+                ids = self.cutter.encode(text) if text else []
+                out.append((np.array(ids, "<i4"), ",".join(map(str, ids)), origin))
             else:
                 got = [self.known[w] for w in x]
-                out.append((np.frombuffer(b"".join([g[0] for g in got]), "<i4"), ",".join([g[1] for g in got])))
+                out.append((np.frombuffer(b"".join([g[0] for g in got]), "<i4"), ",".join([g[1] for g in got]), origin))
         return out
 
-    def spans(self, text: str, ids: np.ndarray) -> np.ndarray | None:
+    def spans(self, ids: np.ndarray, origin: np.ndarray) -> np.ndarray | None:
         """(len(ids), 2) byte offsets, or None if a piece's width isn't told by its id (unknown characters)."""
-        normal, origin = normalise(text, self.rules)
         ends = np.cumsum(self.width[ids])
-        if (int(ends[-1]) if len(ends) else 0) != len(normal):
+        if (int(ends[-1]) if len(ends) else 0) != len(origin) - 1:
             return None
         borders = origin[np.concatenate(([0], ends)).astype(np.int64)]
         return np.stack([borders[:-1], borders[1:]], 1)
@@ -239,7 +230,7 @@ DIGESTED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string
 
 
 def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """ids, byte spans (starts, ends) and the decoded text of every whole text; null as empty, which has no ids.
+    """ids, byte spans (starts, ends) and the decoded text of every whole text, however long; null as empty, which has no ids; an empty table has no rows.
 
     starts and ends are null where the model meets unknown characters without byte pieces.  With digest,
     the worker sums them up instead: the ids' number and SHA-256 (decimal, comma-joined), the decoded
@@ -252,15 +243,15 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
             tool, texts = codec(model_path), batch_texts(batch)
             texts = [t if t.isascii() else t.encode("utf-8", "replace").decode() for t in texts]
             coded = tool.encode(texts)
-            spans = [tool.spans(t, ids) for t, (ids, _) in zip(texts, coded, strict=True)]
-            decoded = [tool.decode(ids) if len(ids) else "" for ids, _ in coded]
+            spans = [tool.spans(ids, origin) for ids, _, origin in coded]
+            decoded = [tool.decode(ids) if len(ids) else "" for ids, _, _ in coded]
             doc_id = batch.column("doc_id")
             if digest:
                 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
                 cover = [None if s is None else int((s[:, 1] - s[:, 0]).sum()) for s in spans]
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(i) for i, _ in coded], pa.int64()), pa.array([sha(s) for _, s in coded]), pa.array([sha(d) for d in decoded]), pa.array(cover, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(i) for i, _, _ in coded], pa.int64()), pa.array([sha(s) for _, s, _ in coded]), pa.array([sha(d) for d in decoded]), pa.array(cover, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
             else:
                 of = lambda k: pa.array([None if s is None else s[:, k].astype(np.int32) for s in spans], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array([i for i, _ in coded], pa.list_(pa.int32())), of(0), of(1), pa.array(decoded, pa.string())], names=["doc_id", "ids", "starts", "ends", "decoded"])
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array([i for i, _, _ in coded], pa.list_(pa.int32())), of(0), of(1), pa.array(decoded, pa.string())], names=["doc_id", "ids", "starts", "ends", "decoded"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, DIGESTED if digest else ENCODED)

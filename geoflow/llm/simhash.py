@@ -148,22 +148,20 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     left out by their counts.  Bounds that no link can break (sizes, places in the order, and how many bits of
     the sets' parities differ) drop most candidates, and the rest are compared shingle by shingle.
 
-    The nodes of a shingle that at most `group` share all meet.  In a larger one the smallest meets all others;
-    then what is linked is contracted, and the nodes outside of the shingle's largest component (`group` of them
-    in the first such round, eight times as many in each later one) meet all nodes of other components.  A
-    shingle is done when one component holds all that are left.
+    The smallest node of a shingle meets all others; then what is linked is contracted, and the nodes outside of
+    the shingle's largest component (about `group` of them in the first such round, eight times as many in each
+    later one) meet all nodes of other components.  A shingle is done when one component holds all that are left.
     """
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_common_shingles(rows, words, sample_docs))  # of a bounded sample
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1_000_000):
             sets = shingle_sets(batch_texts(batch), words)
-            parity = [np.packbits(np.bincount(s & np.uint64(1023), minlength=1024) % 2 == 1).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(_parity, sets), pa.binary())], names=["doc_id", "digest", "n", "parity"])
 
-    marks = materialise(rows.mapInArrow(mark, "doc_id long, digest binary, n int, parity array<long>"), "shingle-sets")
+    marks = materialise(rows.mapInArrow(mark, "doc_id long, digest binary, n int, parity binary"), "shingle-sets")
     nodes = marks.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -174,27 +172,35 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return s[by[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1_000_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(s) for s in shingle_sets(batch_texts(batch), words)]).view(np.int64))], names=["key"])
 
     shared = rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")
     often = spark.sparkContext.broadcast(bitmap(shared))  # of a fixed size
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            digests, found = [], []
+        for batch in slices(batches, limit=1_000_000):
+            digests, keys, places = [], [], []
             for s in shingle_sets(batch_texts(batch), words):
                 p = prefix(s)
                 at = np.flatnonzero(in_bitmap(often.value, p))
                 digests.append(_digest(s))
-                found.append([{"key": k, "at": a} for k, a in zip(p[at].view(np.int64).tolist(), at.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())])))], names=["doc_id", "digest", "found"])
+                keys.append(p[at].view(np.int64))
+                places.append(at.astype(np.int32))
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["key", "at"])
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), found], names=["doc_id", "digest", "found"])
 
     of_node = rows.mapInArrow(entries, "doc_id long, digest binary, found array<struct<key: long, at: int>>").where("size(found) > 0").groupBy("doc_id", "digest").agg(F.first("found").alias("found"))
     of_node = of_node.join(nodes.select("doc_id", "digest", "node", "n").hint("merge"), ["doc_id", "digest"]).select("node", "n", F.explode("found").alias("e"))
     table = materialise(of_node.select("e.key", "node", "n", "e.at"), "prefixes")
     least = similarity / (1 + similarity)  # the share of both sizes that linked sets have in common
-    bits = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, k: t + k)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (1 - 2 * least) * (batch.column("m").to_numpy() + batch.column("n").to_numpy()) + 1e-6
+            ok = [_differing(p.as_buffer(), q.as_buffer()) <= d for p, q, d in zip(batch.column("p"), batch.column("q"), most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def candidates(table: DataFrame, leads: DataFrame) -> DataFrame:
         """Pairs a > b of a lead and a node of another component that share a key and pass the bounds."""
@@ -204,13 +210,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         met = met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
         x = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")).hint("merge")
         y = nodes.select(F.col("node").alias("b"), "n", F.col("parity").alias("q")).hint("merge")
-        return met.join(x, "a").join(y, "b").where(bits <= (1 - 2 * least) * (F.col("m") + F.col("n")) + 1e-6).select("a", "b")
+        return met.join(x, "a").join(y, "b").select("a", "b", "m", "n", "p", "q").mapInArrow(near, "a long, b long")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
+                x, y = _unpacked(x), _unpacked(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -221,8 +227,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         ends = materialise(ends.hint("merge").join(nodes.select("node", "doc_id", "digest"), "node"), "compared")
         asked = spark.sparkContext.broadcast(bitmap(ends.select(F.xxhash64("doc_id"))))
         texts = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets_of(asked, words), "doc_id long, digest binary, grams binary")
-        sets = texts.join(ends.hint("merge"), ["doc_id", "digest"]).groupBy("node").agg(F.first("grams").alias("grams"))
-        sets = materialise(sets, "compared-sets")
+        sets = texts.groupBy("doc_id", "digest").agg(F.first("grams").alias("grams")).join(ends.hint("merge"), ["doc_id", "digest"])
+        sets = materialise(sets.select("node", "grams"), "compared-sets")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         found = materialise(both.mapInArrow(alike, "a long, b long"), "links")
         discard(ends, sets)
@@ -232,8 +238,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     before = table
     table = materialise(table.join(per_key.hint("merge"), "key").withColumn("root", F.col("node")), "shared-prefixes")
     discard(before)
-    links, roots, leads = None, None, table.where((F.col("many") <= group) | (F.col("node") == F.col("first")))
-    left = table.where((F.col("many") > group) & (F.col("node") != F.col("first")))
+    links, roots, leads = None, None, table.where(F.col("node") == F.col("first"))
+    left = table.where((F.col("many") > 2) & (F.col("node") != F.col("first")))
     while True:
         pairs = materialise(candidates(table, leads), "pairs")
         found = linked(pairs)
@@ -302,12 +308,38 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """For each low end of the hashes, in as many bits as two for each shingle need (1,024 at least), whether an odd number has it."""
+    size = max(1024, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) % 2 == 1, bitorder="little").tobytes()
+
+
+def _differing(p: pa.Buffer, q: pa.Buffer) -> int:
+    """In how many bits two parities differ, the longer folded to the shorter; never more than the shingles that one set alone has."""
+    x, y = (np.frombuffer(z, np.uint64) for z in (p, q))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) if len(z) > size else z for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, which tell a pair's shingles apart and take less to move."""
+    return np.ascontiguousarray(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
+    six = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.view("<u8").ravel()
+
+
 def _common_shingles(rows: DataFrame, words: int, sample_docs: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that at least three of about sample_docs documents (by a hash of the id) hold, and how many do: they only set the order of prefixes."""
     rows = rows.where(below(hash_share(sample_docs, rows.count()), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1_000_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch_texts(batch), words)).view(np.int64))], names=["key"])
 
     often = rows.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most).toArrow()
@@ -320,17 +352,17 @@ def _sets_of(asked, words: int):
     """doc_id, digest and packed set of the rows whose hash `h` is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1_000_000):
             batch = batch.filter(pa.array(in_bitmap(asked.value, batch.column("h").to_numpy())))
             sets = shingle_sets(batch_texts(batch), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "digest", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(_packed, sets), pa.binary())], names=["doc_id", "digest", "grams"])
 
     return run
 
 
 def _add_digest(at: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, f"c{at}"):
+        for batch in slices(batches, f"c{at}", limit=1_000_000):
             digests = pa.array(map(_digest, shingle_sets(batch_texts(batch, f"c{at}"), words)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[f"c{k}" for k in range(batch.num_columns + 1)])
 

@@ -84,8 +84,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
 
     Words are runs of anything but \\x20 and \\x09-\\x0D.  A window is `window` consecutive words of one row;
     its words go if the same sequence starts anywhere else, in the same row too.  Null texts hold no
-    words.  Repeated rows are rows like any others, so all their windows repeat.  load: cells for each
-    window of the corpus.
+    words.  Repeated rows are rows like any others, so all their windows repeat.  Texts of any length are
+    handled whole; an empty table has no rows.  load: cells for each window of the corpus.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -99,11 +99,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // 8))
     blocked = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", "text").repartition(partitions, "block")
 
-    def cut(h: np.ndarray, top: int) -> np.ndarray:
-        """Borders of the slices in ascending values of `top` bits."""
-        if cuts == 1:
-            return np.array([0, len(h)])
-        return np.searchsorted(h, np.arange(cuts + 1, dtype=np.float64) * float(2 ** (top - cuts.bit_length() + 1)))
+    def cut(h: np.ndarray, top: int) -> list[tuple[int, int, int]]:
+        """(slice, begin, end) of the slices that ascending values of `top` bits reach, and of no others."""
+        k = h >> np.uint64(top - cuts.bit_length() + 1) if cuts > 1 else np.zeros(len(h), np.uint64)
+        edge = np.flatnonzero(np.diff(k)) + 1
+        return [(int(k[a]), int(a), int(b)) for a, b in zip([0, *edge], [*edge, len(h)], strict=True) if b > a]
 
     def table(fields: list[tuple[str, pa.DataType]], out: list[tuple]) -> pa.Table:
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(fields)})
@@ -112,8 +112,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
 
     def sketch(t: pa.Table) -> pa.Table:
         cells, twice = Block(t.column("text").to_pylist(), window).cells(bits)
-        edge, block = cut(cells, bits), t.column("block")[0].as_py()
-        return table(sketched, [(k, block, pack(cells[a:b], twice[a:b])) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a])
+        block = t.column("block")[0].as_py()
+        return table(sketched, [(k, block, pack(cells[a:b], twice[a:b])) for k, a, b in cut(cells, bits)])
 
     answered = [("block", pa.int32()), ("slice", pa.int32()), ("hot", pa.binary())]
 
@@ -138,8 +138,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id",
         if not len(docs) or not len(hot):
             return table(listed, [])
         h1, h2, twice, _ = Block(docs.column("text").to_pylist(), window).distinct(hot_cells(hot), bits)
-        edge, block = cut(h1, 64), docs.column("block")[0].as_py()
-        return table(listed, [(k, block, np.array([a], "<u8").tobytes() + twice[a:b].tobytes() + h1[a:b].tobytes() + h2[a:b].tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a])
+        block = docs.column("block")[0].as_py()
+        return table(listed, [(k, block, np.array([a], "<u8").tobytes() + twice[a:b].tobytes() + h1[a:b].tobytes() + h2[a:b].tobytes()) for k, a, b in cut(h1, 64)])
 
     repeated = [("block", pa.int32()), ("slice", pa.int32()), ("hot", pa.binary()), ("again", pa.binary())]
 

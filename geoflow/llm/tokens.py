@@ -78,7 +78,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
     else apart; its digest is SHA-256.  cache_path is a folder that all executors share (a new one if
     none is given).  A content that many rows share is reduced within each task before it moves, and is
     encoded once.  Concurrent writers can append a content twice, with equal counts; reads take one.
-    tokenizer_path must be readable on every executor.
+    tokenizer_path must be readable on every executor.  Whole texts are counted; an empty table has no rows.
     """
     spark = docs.sparkSession
     cache_path = cache_path or shared_dir(spark, "token-counts")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.llm.common import batch_texts, col, gram_blocks, id_and_text, slices
+from geoflow.llm.common import batch_texts, col, discard, gram_blocks, hash_share, id_and_text, materialise, slices
 
 
 @dataclass
@@ -95,26 +95,38 @@ def fit(texts: list[str], labels: np.ndarray, *, sizes: tuple[int, ...] = (3, 4,
 
 
 def train(docs: DataFrame, labels: DataFrame, *, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: tuple[int, int] = (4000, 2500), sample_chars: int = 20_000_000, **fit_options) -> SubwordModel:
-    """Fits on about sample_docs documents of label 0 and 1, chosen by a hash of the id; sample_chars characters at most come to the driver.
+    """Fits on about sample_docs documents of label 0 and 1, chosen by a hash of the id; at most about sample_chars characters come to the driver.
 
-    The bias is set for the labels' own shares.  Rows with a null label, id or text don't train.  A
-    document with several labels trains once for each.  Without a row to learn from, every score is 0.5.
+    Texts are taken whole in the order of the hashes, but for those that would bring the sum to over sample_chars; if
+    none of a label fits, its shortest is taken.  The bias is set for the labels' own shares.  Rows with a null label,
+    id or text don't train.  A document with several labels trains once for each.  Without a row to learn from, every
+    score is 0.5.
     """
+    spark = docs.sparkSession
     marks = labels.select(col(id_col).cast("long").alias("doc_id"), col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     if learn is not None:
         marks = marks.where(learn)
     total = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = [int(min(1, most / max(total.get(y, 0), 1)) * (1 << 20)) for y, most in enumerate(sample_docs)]
-    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    share = [hash_share(most, total.get(y, 0)) for y, most in enumerate(sample_docs)]
+    marks = marks.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     marks = F.broadcast(marks.distinct())  # about sum(sample_docs) rows
-    rows = id_and_text(docs, id_col, text_col).where("text is not null").join(marks, "doc_id").select("y", "text", F.xxhash64("doc_id").alias("h"))
-    sizes = rows.select("h", F.length("text").alias("n")).toPandas().sort_values(["h", "n"])
-    last = sizes["h"][sizes["n"].cumsum() <= sample_chars].max() if len(sizes) else None
+    rows = id_and_text(docs, id_col, text_col).where("text is not null").join(marks, "doc_id")
+    rows = materialise(rows.select("y", "text", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n"), F.monotonically_increasing_id().alias("row")), "labelled")
+    room, chosen, seen = sample_chars, [], set()
+    listed = sorted((r.h, r.n, r.y, r.row) for r in rows.select("h", "n", "y", "row").collect())
+    for _, n, y, row in listed:
+        if n <= room:
+            room -= n
+            chosen.append(row)
+            seen.add(y)
+    chosen += [min((n, row) for _, n, k, row in listed if k == y)[1] for y in {y for _, _, y, _ in listed} - seen]
     texts, ys = [], []
-    if last is not None and last == last:
-        for r in rows.where(F.col("h") <= F.lit(int(last))).orderBy("h", "text", "y").toLocalIterator():
+    if chosen:
+        picked = spark.createDataFrame([(row,) for row in chosen], "row long")
+        for r in rows.join(F.broadcast(picked), "row").orderBy("h", "text", "y").toLocalIterator():
             texts.append(r.text)
             ys.append(r.y)
+    discard(rows)
     prior = total.get(1, 0) / max(sum(total.values()), 1)
     return fit(texts, np.array(ys, int), prior=prior, **fit_options)
 

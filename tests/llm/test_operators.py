@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from geoflow.llm import decontam, langid, pieces, secrets, simhash, substrings, tokens, topk, toxicity, urls
-from geoflow.llm.common import shared_dir, span_hashes, word_hashes, word_spans
+from geoflow.llm.common import below, hash_share, shared_dir, span_hashes, word_hashes, word_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -83,15 +83,47 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    """70 languages: the filters' corrected shares follow those of exact profiles."""
+    letters = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) + "ab" for k in range(70)]
+    rows = [(70 * j + k, prose(100 * j + k, 60, letters[k]), f"l{k:02}") for j in range(3) for k in range(70)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(train, least_rate=1e-9, cells=1 << 16)
+    assert len(filters.languages) == 70 and filters.table.shape[1] == 2
+
+    def grams(text):
+        padded = " " + text + " "
+        return [padded[a : a + n] for n in (3, 4) for a in range(len(padded) - n + 1) if " " not in padded[a + 1 : a + n - 1]]
+
+    counts = {}
+    for _, text, lang in rows:
+        for g in grams(text):
+            counts.setdefault(g, {}).setdefault(lang, 0)
+            counts[g][lang] += 1
+    totals = {lang: sum(c.get(lang, 0) for c in counts.values()) for lang in filters.languages}
+    rates = {g: {lang: n / totals[lang] for lang, n in c.items()} for g, c in counts.items()}
+    profile = {lang: {g for g, r in rates.items() if lang in r and r[lang] >= 0.2 * max(r.values())} for lang in filters.languages}
+    for lang, score, (_, text, _) in zip(*filters.decide([r[1] for r in rows[:70]]), rows, strict=False):
+        every = grams(text)
+        share = {x: sum(g in p for g in every) / len(every) for x, p in profile.items()}
+        assert lang == max(share, key=lambda x: (share[x], -int(x[1:]))) and abs(score - share[lang]) < 0.02
+
+
+def test_samples_of_large_tables_never_vanish(spark):
+    assert hash_share(1500, 10**12) > 0 and hash_share(1500, 10**6) / 2**62 == pytest.approx(0.0015)
+    df = spark.range(100_000).where(below(hash_share(1000, 100_000), "id"))
+    assert 850 < df.count() < 1150
+
+
 def test_false_positive_correction():
     """A table so small that most lookups hit by chance still finds the language."""
-    table = np.zeros(1 << 8, np.uint64)
+    table = np.zeros((1 << 8, 1), np.uint64)
     f = langid.LanguageFilters(["a", "b"], table, np.zeros(2), 2, (3,))
     for k, letters in enumerate(("abcd", "wxyz")):
         for _, _, g in langid.gram_blocks([prose(k, 30, letters)], (3,)):
             for at in f.cells(g):
-                np.bitwise_or.at(table, at, np.uint64(1 << k))
-    f.false_rate = np.array([((table >> np.uint64(k)) & np.uint64(1)).mean() ** 2 for k in range(2)])
+                np.bitwise_or.at(table, (at, 0), np.uint64(1 << k))
+    f.false_rate = np.array([langid.bit(table, k).mean() ** 2 for k in range(2)])
     assert f.decide([prose(9, 200, "abcd"), prose(9, 200, "wxyz")])[0] == ["a", "b"]
 
 
@@ -126,9 +158,9 @@ def test_odd_strings_as_the_libraries():
     assert tokens.ChunkCounter(BPE).count(texts) == [len(e.ids) for e in tool.encode_batch(texts, add_special_tokens=False)]
     library, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceCodec(PIECES)
     coded = codec.encode(texts)
-    assert [ids.tolist() for ids, _ in coded] == library.encode(texts)
-    for text, (ids, _) in zip(texts, coded, strict=True):
-        spans, data = codec.spans(text, ids), text.encode()
+    assert [ids.tolist() for ids, _, _ in coded] == library.encode(texts)
+    for text, (ids, _, origin) in zip(texts, coded, strict=True):
+        spans, data = codec.spans(ids, origin), text.encode()
         if len(ids):
             assert spans[0, 0] == 0 and spans[-1, 1] == len(data) and (spans[1:, 0] == spans[:-1, 1]).all()
 
@@ -191,6 +223,27 @@ def test_longest_prefix_normalisation():
     assert pieces.normalise("   ", rules)[0] == b"" and pieces.normalise("", rules)[0] == b""
 
 
+def test_a_model_with_a_character_map(tmp_path):
+    """The same vocabulary with a map, a prefix and squeezing: ids as the library gives them, spans that tile what is left."""
+    import sentencepiece
+
+    blob = darts({"ﬁ".encode(): b"fi", "é".encode(): b"e", "ée".encode(): b"x", "　".encode(): b" ", b"\t": b" "})
+    units = int.from_bytes(blob[:4], "little")
+    pad = -units % 1024  # the library wants whole kilobytes
+    blob = (units + pad).to_bytes(4, "little") + blob[4 : 4 + units] + bytes(pad) + blob[4 + units :]
+    varint = bytes([len(blob) & 0x7F | 0x80, len(blob) >> 7 & 0x7F | 0x80, len(blob) >> 14])
+    spec = b"\x12" + varint + blob + b"\x18\x01\x20\x01\x28\x01"
+    more = b"\x1a" + bytes([len(spec) & 0x7F | 0x80, len(spec) >> 7 & 0x7F | 0x80, len(spec) >> 14]) + spec
+    path = tmp_path / "mapped.model"
+    path.write_bytes(open(PIECES, "rb").read() + more)
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.PieceCodec(str(path))
+    texts = ["ﬁné  ée\t x", "", "  ", "a　b", "plain words here", "ééé ﬁﬁ"] + ["".join(rnd.choices("aé ﬁ　\tbe", k=rnd.randint(1, 20))) for _ in range(500)]
+    for text, (ids, _, origin) in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text), text
+        spans = codec.spans(ids, origin)
+        assert (spans[1:, 0] >= spans[:-1, 0]).all() and (spans[:, 1] <= len(text.encode())).all()
+
+
 # 4
 
 
@@ -212,8 +265,9 @@ def test_decontamination(spark, docs, nothing):
     hosts = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, i) for r in decontam.find_leaks(hosts, bench).collect() for i in set(r.item_ids)]
     assert sorted(got) == want
-    blocks = [(r.doc_id, i) for r in decontam.find_leaks(hosts, bench, items_per_block=7).collect() for i in set(r.item_ids)]
-    assert sorted(set(blocks)) == want
+    blocks = decontam.find_leaks(hosts.union(hosts.where("doc_id = 0")), bench, items_per_block=7).collect()
+    assert sorted((r.doc_id, i) for r in blocks for i in set(r.item_ids)) == sorted([*want, want[0]])
+    assert len(blocks) == len(want) + 1
     kept = decontam.drop_leaks(hosts, bench)
     assert {r.doc_id for r in kept.collect()} == set(range(60)) - {k for k, _ in want}
     assert decontam.drop_leaks(docs, bench).columns == docs.columns
@@ -222,6 +276,37 @@ def test_decontamination(spark, docs, nothing):
     assert decontam.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_paraphrases_against_brute_force(spark):
+    """Copies with every fourth or so word changed and the answer kept are found; whatever is found passes the slow check."""
+    r, items, hosts, planted = random.Random(4), [(k, prose(11_000 + k, 60)) for k in range(40)], [], []
+    for k in range(80):
+        words = items[k % 40][1].split()
+        if k < 60:
+            words[:-5] = [w if r.random() > 0.25 else "other" for w in words[:-5]]
+            planted.append((k, k % 40))
+        hosts.append((k, prose(12_000 + k, 150) + " " + (" ".join(words) if k < 60 else " ".join(words[:25])) + " " + prose(13_000 + k, 150)))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(hosts, "doc_id long, text string")
+    found = {(x.doc_id, i) for x in decontam.find_leaks(docs, bench).collect() for i in x.item_ids}
+    slow = set()
+    for d, text in hosts:
+        words = decontam.words(text).tolist()
+        for i, item in items:
+            w = decontam.words(item)
+            share = decontam.common_subsequence(decontam.places(w), len(w), words) / len(w)
+            if share >= 0.75 or share >= 0.55 and decontam.common_subsequence(decontam.places(w[-5:]), 5, words) == 5:
+                slow.add((d, i))
+    assert found <= slow and slow == set(planted)
+    assert len(found) >= 0.95 * len(slow)
+
+
+def test_items_longer_than_a_section(spark):
+    long, short = prose(14_000, 5000), prose(14_001, 40)
+    bench = spark.createDataFrame([(0, long), (1, short)], "item_id long, text string")
+    words = long.split()
+    docs = spark.createDataFrame([(0, " ".join(w for k, w in enumerate(words) if k % 9)), (1, " ".join(words[:2500])), (2, short), (3, prose(14_002, 5000))], "doc_id long, text string")
+    assert everything(decontam.find_leaks(docs, bench), "doc_id", "item_ids") == [(0, [0]), (2, [1])]
+
+
 def test_whole_copies_are_found_whatever_their_cosine(spark):
     items = [(k, prose(3000 + k, 40)) for k in range(20)]
     hosts = [(k, prose(4000 + k, 100) + " " + items[k][1] + " " + prose(4100 + k, 100)) for k in range(20)]
@@ -234,7 +319,7 @@ def test_told_drops_no_match():
     """An item of mostly common words matches where few of its telling words are near."""
     item = decontam.words("t1 t2 t3 t4 " + " ".join(f"c{k}" for k in range(16)))
     held = np.unique(item[:4])
-    index = decontam.Index([0], [(decontam.places(item), 20)], [], decontam.Vocabulary(held), None, None, np.array([0]), (np.zeros(4, int), np.arange(5)), np.array([4]), decontam.Copies([item]), 32, 16)
+    index = decontam.Index([0], [20], [(0, decontam.places(item), 20)], [], decontam.Vocabulary(held), None, None, np.array([0]), (np.zeros(4, int), np.arange(5)), np.array([4]), decontam.Copies([item]), 32, 16)
     one = index.vocabulary.find(item[:1])
     assert decontam._told(index, one, np.array([0]), 2, np.array([0]), np.array([0]), 0.55).all()
 
@@ -304,6 +389,13 @@ def test_top_k(spark, shards):
     got = topk.top_k(df, shards=shards, queries_per_block=5)
     assert everything(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert topk.top_k(df.where("false")).count() == 0
+    large = [(0, [4e7, -4e7]), (1, [4e7, 4e7]), (20, [1e17, 1.0]), (2, [1e17, 2.0]), (3, [1e300, 0.0])]
+    df = spark.createDataFrame(large, "vec_id long, embedding array<double>")
+    q = {i: [int(64 * x) for x in v] for i, v in large if i != 3}
+    want = [(i, *max((min(sum(a * b for a, b in zip(q[i], q[j], strict=True)), 2**63 - 1), -j) for j in q if j != i)) for i in (0, 20)]
+    assert everything(topk.top_k(df, k=1), "query_id", "rank", "vec_id", "score") == [(i, 1, -j, s) for i, s, j in want]
+    again = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0]), (0, [1.0]), (2, [0.5])], "vec_id long, embedding array<float>")
+    assert everything(topk.top_k(again), "query_id", "rank", "vec_id", "score") == [(0, n, 1, 4096) for n in (1, 2, 3, 4)] + [(0, 5, 2, 2048), (0, 6, 2, 2048)]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert everything(topk.top_k(few), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 64 * 128)]
 
@@ -590,6 +682,17 @@ def test_urls(spark):
     assert loose.where("verdict = 'block'").count() == sum("x" in "".join(slow_verdict(u, [])[:2]) for u in [*listed, listed[0]])
 
 
+def test_rules_from_a_table(spark):
+    rules = [urls.Rule("allow", "com"), urls.Rule("block", "example.com", "/en/a-b"), urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", pattern="^[^/]+/q/[0-9]+$", tokens=("q",)), urls.Rule("block", pattern="^[^/]{30,}/")]
+    pages = [(k, u) for k, u in enumerate(["http://example.com/en/a-bc", "http://www.example.com/en/x", "http://a.org/q/7", "http://a.org/q/7x", "http://" + "a" * 40 + ".org/", "http://xexample.com/en/a-b", None, "http://example.com/en/a-b/q"])]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    rows = [(r.verdict, r.host or None, None if r.path == "/" else r.path, r.pattern or None, list(r.tokens) or None, 1) for r in rules] + [("maybe", "org", None, None, None, 1), ("block", None, None, None, None, 1)]
+    table = spark.createDataFrame(rows, "verdict string, host string, path string, pattern string, tokens array<string>, k int")
+    want = everything(urls.judge(df, rules), "page_id", "host", "path", "rule", "verdict", "pattern")
+    assert everything(urls.judge(df, table), "page_id", "host", "path", "rule", "verdict", "pattern") == want
+    assert [r[4] for r in want] == ["block", "allow", "block", "allow", "block", "allow", "allow", "block"]
+
+
 def test_url_plan_is_native(spark):
     from geoflow.llm.queries import URL_RULES
 
