@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geoflow.functions.expressions import ExpressionError, Lowering, Node, Scope, Value, number, parse, truth
 
 FID = "__fid"
-NAMES = {"count", "sum", "sums", "average", "mean", "median", "quartile1", "quartile2", "quartile3", "iqr", "quantile", "min", "max", "mode", "collect", "collectIds", "first", "last", "every", "some"}
+NAMES = {"count", "sum", "sums", "average", "mean", "median", "quartile1", "quartile2", "quartile3", "iqr", "quantile", "min", "max", "mode", "collect", "collectIds", "first", "last", "every", "some", "width", "height"}
 
 
 class Calc:
@@ -25,12 +25,18 @@ class Calc:
     def __init__(self):
         self.aggs: list[Column] = []
         self.modes: list[Column] = []
+        self.lists: list[Column] = []
         self.out: list[tuple[str, Column]] = []
 
     def add(self, column: Column) -> Column:
         self.aggs.append(column.alias(f"_agg{len(self.aggs)}"))
         return F.col(f"_agg{len(self.aggs) - 1}")
 
+    def sums(self, column: Column) -> Column:
+        """Lists added up place by place."""
+        self.lists.append(column)
+        return F.col(f"_sums{len(self.lists) - 1}")
+
     def mode(self, column: Column) -> Column:
         self.modes.append(column)
         return F.col(f"_mode{len(self.modes) - 1}")
@@ -44,18 +50,23 @@ def grouped(df: DataFrame, keys: list[Column], calc: Calc, *more: Column) -> Dat
     names = [f"_key{k}" for k in range(len(keys))]
     df = df.withColumns(dict(zip(names, keys, strict=True))) if keys else df
     out = df.groupBy(*names).agg(*more, *calc.aggs, *([] if more or calc.aggs else [F.count(F.lit(1)).alias("_rows")]))
+    apart = []
     for k, x in enumerate(calc.modes):
         counted = df.withColumn("_value", x).groupBy(*names, "_value").agg(F.count(F.lit(1)).alias("_n"), F.min(FID).alias("_f"))
-        best = counted.groupBy(*names).agg(F.min_by(F.struct(F.col("_value").alias("v")), F.struct(-F.col("_n"), F.col("_f")))["v"].alias(f"_mode{k}"))
+        apart.append((f"_mode{k}", counted.groupBy(*names).agg(F.min_by(F.struct(F.col("_value").alias("v")), F.struct(-F.col("_n"), F.col("_f")))["v"].alias(f"_mode{k}"))))
+    for k, x in enumerate(calc.lists):
+        each = df.select(*names, F.posexplode(x).alias("_at", "_v")).groupBy(*names, "_at").agg(F.sum(F.coalesce(F.col("_v").try_cast("double"), F.lit(0.0))).alias("_v"))
+        apart.append((f"_sums{k}", each.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda z: z["_v"]).alias(f"_sums{k}"))))
+    for made, best in apart:
         if names:
-            best = best.toDF(*(f"_of{n}" for n in names), f"_mode{k}")
+            best = best.toDF(*(f"_of{n}" for n in names), made)
             same = F.lit(True)
             for n in names:
                 same = same & F.col(n).eqNullSafe(F.col(f"_of{n}"))
             out = out.join(best, same, "left").drop(*(f"_of{n}" for n in names))
         else:
             out = out.crossJoin(best)  # one row each
-    kept = [F.col(f"`{c}`") for c in out.columns if not c.startswith(("_agg", "_mode")) and c != "_rows"]
+    kept = [F.col(f"`{c}`") for c in out.columns if not c.startswith(("_agg", "_mode", "_sums")) and c != "_rows"]
     return out.select(*kept, *(c.alias(n) for n, c in calc.out))
 
 
@@ -65,6 +76,11 @@ def aggregate(name: str, args: list[Value], raw: list[Node], compat: bool = True
         return Value(F.count(F.lit(1)), "num")
     if name == "collectIds":
         return Value(F.array_sort(F.collect_list(FID)), "list")
+    if name in ("width", "height"):
+        from geoflow.operators.geometry import bbox
+
+        low, high = ("xmin", "xmax") if name == "width" else ("ymin", "ymax")
+        return Value(F.max(bbox(F.col("geom"))[high]) - F.min(bbox(F.col("geom"))[low]), "num")
     v = args[0]
     if name in ("first", "last"):
         pick = F.min_by if name == "first" else F.max_by
@@ -105,11 +121,13 @@ def compile_calc(source: str, scope: Scope, compat: bool = True, into: Calc | No
     def call(name: str, args: list[Node]) -> Value | None:
         if name not in NAMES:
             return None
-        lowered = [] if name in ("count", "collectIds") else [plain.lower(a) for a in args]
+        lowered = [] if name in ("count", "collectIds", "width", "height") else [plain.lower(a) for a in args]
         if name == "mode":
             if not modes:
                 raise ExpressionError("mode() isn't available here")
             return Value(calc.mode(lowered[0].column), lowered[0].kind)
+        if name == "sums":
+            return Value(calc.sums(lowered[0].column), "list")
         value = aggregate(name, lowered, args, compat)
         return Value(calc.add(value.column), value.kind)
 

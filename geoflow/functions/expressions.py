@@ -376,6 +376,11 @@ class Lowering:
         v = [self.lower(a) for a in args]
         if of[0] == "member" and of[1] == ("name", "Math"):
             return Value(self.math(of[2], [number(x) for x in v]), "num")
+        if of[0] == "member" and of[1] in (("name", "this"), ("name", "$")) and of[2] in BOX_TESTS and "bbox" in self.scope.this:
+            box = self.scope.this["bbox"].column
+            return Value(F.coalesce(BOX_TESTS[of[2]](*(F.get(box, F.lit(k)) for k in range(4)), *(number(x) for x in v)), F.lit(False)), "bool")
+        if of == ("member", ("name", "JSON"), "stringify"):
+            return Value(text(v[0]) if v[0].kind in ("num", "bool", "null") else F.when(v[0].column.isNull(), "null").otherwise(F.to_json(v[0].column) if v[0].kind in ("list", "other") else F.substring(F.to_json(F.array(v[0].column)), F.lit(2), F.length(F.to_json(F.array(v[0].column))) - 2)), "str")
         if of[0] == "member":
             return self.method(self.lower(of[1]), of[2], v)
         name = of[1]
@@ -397,6 +402,12 @@ class Lowering:
             return Value(F.isnan(x) if name == "isNaN" else ~F.isnan(x) & (F.abs(x) < float("inf")), "bool")
         if name == "Date":
             return Value(F.try_to_timestamp(v[0].column) if v[0].kind == "str" else v[0].column.cast("timestamp"), "date")
+        if name == "sprintf":
+            if args[0][0] != "str":
+                raise ExpressionError("sprintf() takes a constant format")
+            return Value(sprintf(args[0][1], v[1:]), "str")
+        if name == "int_median":
+            return Value(int_median(v[0].column, v[1].column), "num")
         if name == "format_dms":
             return Value(format_dms(number(v[0])), "str")
         if name == "parse_dms":
@@ -424,6 +435,14 @@ class Lowering:
                 return Value(F.aggregate(F.transform(x, lambda z: z.cast("string")), F.lit(None).cast("string"), lambda a, z: F.when(a.isNull(), z).otherwise(F.concat(a, by, z))), "str")
             if name == "indexOf":
                 return Value((F.array_position(x, v[0].column) - 1).cast("double"), "num")
+            if name == "slice":
+                size = F.size(x)
+                place = lambda i: F.when(i < 0, F.greatest(size + i, F.lit(0))).otherwise(F.least(i, size))
+                start = place(number(v[0]).cast("int")) if v else F.lit(0)
+                end = place(number(v[1]).cast("int")) if len(v) > 1 else size
+                return Value(F.slice(x, start + 1, F.greatest(end - start, F.lit(0))), "list")
+            if name == "concat":
+                return Value(F.concat(x, *(y.column for y in v)), "list")
         if of.kind == "date":
             x = of.column
             part = {"getFullYear": F.year, "getMonth": lambda c: F.month(c) - 1, "getDate": F.dayofmonth, "getDay": lambda c: F.dayofweek(c) - 1, "getHours": F.hour, "getMinutes": F.minute, "getSeconds": F.second, "getTime": lambda c: F.unix_millis(c.cast("timestamp"))}
@@ -472,6 +491,66 @@ class Lowering:
         raise ExpressionError(f"unknown method {name!r}")
 
 
+#: Tests of a box against a point or another box: the box's four sides, then the arguments.
+BOX_TESTS = {
+    "bboxContainsPoint": lambda a, b, c, d, x, y: x.between(a, c) & y.between(b, d),
+    "bboxIntersectsRectangle": lambda a, b, c, d, e, f, g, h: (a <= g) & (c >= e) & (b <= h) & (d >= f),
+    "bboxContainsRectangle": lambda a, b, c, d, e, f, g, h: (a <= e) & (b <= f) & (c >= g) & (d >= h),
+    "bboxContainedByRectangle": lambda a, b, c, d, e, f, g, h: (a >= e) & (b >= f) & (c <= g) & (d <= h),
+}
+
+
+def sprintf(form: str, values: list[Value]) -> Column:
+    """%s %d %i %f %x %X with the flags + 0 ' and , (thousands), a width and a precision; a negative number gets a minus sign (U+2212)."""
+    out, at, values = [], 0, list(values)
+    for m in re.finditer(r"%([+0',]*)(\d?)(?:\.(\d))?([sdifxX%])", form):
+        out.append(F.lit(form[at : m.start()]))
+        at = m.end()
+        flags, width, precision, kind = m[1], int(m[2] or 0), m[3], m[4]
+        if kind == "%":
+            out.append(F.lit("%"))
+            continue
+        if not values:
+            raise ExpressionError("sprintf() has fewer values than its format")
+        v = values.pop(0)
+        if kind == "s":
+            out.append(F.lpad(text(v), F.greatest(F.lit(width), F.length(text(v))), F.lit(" ")))
+            continue
+        x = number(v)
+        size = F.abs(x)
+        if kind in "xX":
+            digits = F.hex(F.floor(size + 0.5).cast("long"))
+            shown = F.lower(digits) if kind == "x" else digits
+        else:
+            places = int(precision) if kind == "f" and precision else 6 if kind == "f" else 0
+            rounded = js_round(size, F.lit(float(places))) if kind == "f" else F.floor(size).cast("double")
+            shown = F.format_number(rounded, places)
+            shown = shown if "," in flags or "'" in flags else F.replace(shown, F.lit(","), F.lit(""))
+        sign = F.when(x < 0, "\u2212").otherwise("+" if "+" in flags else "")
+        if "0" in flags:
+            shown = F.lpad(shown, F.greatest(F.lit(width) - F.length(sign), F.length(shown)), F.lit("0"))
+        whole = F.concat(sign, shown)
+        out.append(F.lpad(whole, F.greatest(F.lit(width), F.length(whole)), F.lit(" ")))
+    out.append(F.lit(form[at:]))
+    return F.concat(*out)
+
+
+def int_median(counts: Column, breaks: Column) -> Column:
+    """The interpolated median of numbers counted in bins between breaks; null without any, or if the lists don't fit."""
+    total = F.aggregate(counts, F.lit(0.0), lambda t, c: t + c.cast("double"))
+    half = F.floor(total / 2)
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(None).cast("double").alias("at"))
+
+    def step(t: Column, z: Column) -> Column:
+        n = z["c"].cast("double")
+        here = t["at"].isNull() & (t["before"] + n >= half) & (n > 0)
+        low, high = z["low"].cast("double"), z["high"].cast("double")
+        return F.struct((t["before"] + n).alias("before"), F.when(here, low + (half - t["before"]) / n * (high - low)).otherwise(t["at"]).alias("at"))
+
+    bins = F.zip_with(counts, F.zip_with(F.slice(breaks, 1, F.size(counts)), F.slice(breaks, 2, F.size(counts)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda c, e: F.struct(c.alias("c"), e["a"].alias("low"), e["b"].alias("high")))
+    return F.when((total > 0) & (F.size(counts) == F.size(breaks) - 1), F.aggregate(bins, start, step)["at"])
+
+
 def format_dms(x: Column) -> Column:
     """Degrees, minutes and whole seconds, like -12°34'56\"."""
     total = F.floor(F.abs(x) * 3600 + 0.5)

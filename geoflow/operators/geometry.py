@@ -146,11 +146,13 @@ def round_points(geom: Column, precision: float) -> Column:
 
 
 def densify(geom: Column, interval: float) -> Column:
-    """Points at even steps of at most `interval` on each segment."""
+    """Points at even steps of at most `interval` on each segment, the same ones whichever way it runs."""
 
     def steps(s: Column) -> Column:
         n = F.greatest(F.ceil(F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]) / interval), F.lit(1))
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.struct((s["a"]["x"] + (s["b"]["x"] - s["a"]["x"]) * i / n).alias("x"), (s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * i / n).alias("y")))
+        p, q = F.least(s["a"], s["b"]), F.greatest(s["a"], s["b"])
+        place = lambda i, c: p[c] + (q[c] - p[c]) * F.when(s["a"] <= s["b"], i).otherwise(n - i) / n
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.when(i == 0, s["a"]).otherwise(F.struct(place(i, "x").alias("x"), place(i, "y").alias("y"))))
 
     part = lambda p: F.concat(F.flatten(F.transform(segments(p), steps)), F.slice(p, -1, 1))
     return F.struct(geom["type"].alias("type"), F.transform(geom["parts"], part).alias("parts")).cast(GEOM)
@@ -354,38 +356,7 @@ def neighbours(df: DataFrame) -> DataFrame:
 
 
 def simplify(geom: Column, interval: float) -> Column:
-    """Douglas-Peucker on each part; end points stay, rings that fall under four points go."""
-    return F.pandas_udf(_simplified(interval), GEOM)(geom)
-
-
-def _simplified(interval: float):
-    import pandas as pd
-
-    def keep(p: list[tuple[float, float]]) -> list[tuple[float, float]]:
-        if len(p) < 3:
-            return p
-        stay, todo = {0, len(p) - 1}, [(0, len(p) - 1)]
-        while todo:
-            a, b = todo.pop()
-            (ax, ay), (bx, by) = p[a], p[b]
-            base = math.hypot(bx - ax, by - ay)
-            far, at = -1.0, -1
-            for k in range(a + 1, b):
-                d = abs((bx - ax) * (ay - p[k][1]) - (ax - p[k][0]) * (by - ay)) / base if base else math.hypot(p[k][0] - ax, p[k][1] - ay)
-                if d > far:
-                    far, at = d, k
-            if far > interval:
-                stay.add(at)
-                todo += [(a, at), (at, b)]
-        return [p[k] for k in sorted(stay)]
-
-    def run(shapes: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind, parts in zip(shapes["type"], shapes["parts"], strict=True):
-            lines = [keep([(q["x"], q["y"]) for q in part]) for part in (parts if parts is not None else [])]
-            lines = [x for x in lines if kind != "polygon" or len(x) > 3]
-            out.append((kind, [[{"x": x, "y": y} for x, y in line] for line in lines]))
-        return pd.DataFrame(out, columns=["type", "parts"])
-
-    run.__annotations__ = {"shapes": pd.DataFrame, "return": pd.DataFrame}
-    return run
+    """Douglas-Peucker on each part alone; end points stay, rings that fall under four points go."""
+    from geoflow.operators.shapes import simplify_parts
+
+    return simplify_parts(geom, interval, method="dp")

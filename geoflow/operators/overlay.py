@@ -6,9 +6,13 @@ Python call, so that the work is spread over shapes and nothing is gathered but
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from geoflow.functions import planar
 from geoflow.functions.aggregates import FID
@@ -28,24 +32,37 @@ def packed(found: list[planar.Ring]) -> list[list[dict]]:
 
 
 def udf1(f, kind: str):
-    def run(a: pd.Series) -> pd.Series:
-        return pd.Series([f(x) for x in a], dtype=object)
+    """A function of one row's value as an Arrow function: nested values come and go as plain lists and dicts."""
+    arrow = to_arrow_type(T.DataType.fromDDL(kind))
+
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([f(x) for x in a.to_pylist()], arrow)
 
-    return F.pandas_udf(run, kind)
+    return F.arrow_udf(run, kind)
 
 
 def udf2(f, kind: str):
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+    arrow = to_arrow_type(T.DataType.fromDDL(kind))
 
-    return F.pandas_udf(run, kind)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([f(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], arrow)
+
+    return F.arrow_udf(run, kind)
 
 
 def udf3(f, kind: str):
-    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y, z) for x, y, z in zip(a, b, c, strict=True)], dtype=object)
+    arrow = to_arrow_type(T.DataType.fromDDL(kind))
+
+    def run(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array([f(x, y, z) for x, y, z in zip(a.to_pylist(), b.to_pylist(), c.to_pylist(), strict=True)], arrow)
 
-    return F.pandas_udf(run, kind)
+    return F.arrow_udf(run, kind)
+
+
+def of_shapes(f, kind: str):
+    """A function of shapes (dicts of type and parts, or None) as a column function of geom."""
+    work = udf2(lambda name, parts: f(None if name is None else {"type": name, "parts": parts}), kind)
+    return lambda geom: work(geom["type"], geom["parts"])
 
 
 def shaped(kind: str, parts: Column) -> Column:
@@ -111,7 +128,11 @@ def clip(target: DataFrame, source: DataFrame, *, erase: bool = False) -> DataFr
     The border belongs to the inside.  Rows without a shape go when clipping and stay when erasing.
     """
     source = source.where("geom.type = 'polygon'")
-    kind = _kind(target)
+    kinds = sorted(r[0] for r in target.where("geom is not null").select("geom.type").distinct().collect())
+    if len(kinds) > 1:
+        each = [clip(target.where(F.col("geom.type") == k if i else F.coalesce(F.col("geom.type") == k, F.lit(True))), source, erase=erase) for i, k in enumerate(kinds)]
+        return functools.reduce(DataFrame.unionByName, each)
+    kind = kinds[0] if kinds else "polygon"
     if kind == "point":
         at = target.where("geom is not null").select(FID, F.posexplode("geom.parts").alias("n", "p"))
         each = at.select((F.monotonically_increasing_id()).alias("_id"), F.col(FID).alias("f"), "n", "p")
@@ -213,7 +234,8 @@ def union(layers: list[DataFrame], *, fields: list[str] | None = None) -> DataFr
                 name, j = f"{c}_{j}", j + 1
             taken.add(name)
             new[c] = name
-        mine = F.array_min(F.filter("owners", lambda o, k=k: F.pmod(o, F.lit(n)) == k))
+        here = F.lit(k)
+        mine = F.array_min(F.filter("owners", lambda o: F.pmod(o, F.lit(n)) == here))  # noqa: B023
         side = df.select((F.col(FID) * n + k).alias("_id"), *(field(c).alias(new[c]) for c in names))
         out = out.withColumn("_mine", mine).join(side, F.col("_mine") == F.col("_id"), "left").drop("_mine", "_id")
     return out.drop("owners")
@@ -296,10 +318,10 @@ def inner_points(df: DataFrame) -> DataFrame:
             for u, v in zip(xs[::2], xs[1::2], strict=False):
                 if best is None or v - u > best[0] * (1 + 1e-9):
                     best = v - u, (u + v) / 2, y
-        return {"x": best[1], "y": best[2]} if best else None
+        return [best[1], best[2]] if best else None
 
-    at = udf1(pick, "struct<x:double,y:double>")
-    return df.withColumn("_at", at("geom.parts")).withColumn("geom", g.point(F.col("_at.x"), F.col("_at.y"))).drop("_at")
+    at = udf1(pick, "array<double>")
+    return df.withColumn("_at", at("geom.parts")).withColumn("geom", g.point(F.get("_at", F.lit(0)), F.get("_at", F.lit(1)))).drop("_at")
 
 
 def outlines(df: DataFrame, keys: list[Column], *, overlapping: bool) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +29,10 @@ def to_points(df: DataFrame, how: str) -> DataFrame:
     if how == "endpoints":
         ends = F.flatten(F.transform(geom["parts"], lambda p: F.array(F.element_at(p, 1), F.element_at(p, -1))))
         return df.withColumn("geom", shape("point", F.transform(F.array_distinct(ends), lambda p: F.array(p))))
+    if how == "inner":
+        from geoflow.operators.overlay import inner_points
+
+        return inner_points(df)
     if how == "midpoints":
         line = F.array_max(F.transform(geom["parts"], lambda p: F.struct(g.total(g.segments(p), lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])).alias("n"), p.alias("p"))))
         start = F.struct((line["n"] / 2).alias("left"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
@@ -100,19 +103,22 @@ def filter_islands(df: DataFrame, *, min_area: float | None = None, min_vertices
 
 
 def clip_box(df: DataFrame, box: tuple[float, float, float, float], *, erase: bool = False) -> DataFrame:
-    """Points, lines and convexly cut polygon rings within a box; erase: points outside it.  Rows whose shape is cut away go."""
+    """Points, lines and polygons within a box, or outside it.  Rows whose shape is cut away go; erasing keeps those without one."""
     geom = F.col("geom")
-    x0, y0, x1, y1 = box
-    inside = lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1)
+    x0, y0, x1, y1 = map(float, box)
     if erase:
-        kept = F.filter(geom["parts"], lambda part: ~inside(part[0]))
-        return df.where(geom["type"] == "point").withColumn("geom", shape("point", kept)).where("geom is not null")
-    cut = F.pandas_udf(_cutter(x0, y0, x1, y1), g.GEOM)
+        from geoflow.operators import overlay
+
+        one = df.sparkSession.range(1).select(F.col("id").alias(FID), g.rectangle(F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1)).alias("geom"))
+        return overlay.clip(df, one, erase=True)
+    from geoflow.operators.overlay import PARTS, of_shapes
+
+    cut = of_shapes(_cutter(x0, y0, x1, y1), PARTS)
     whole = df.withColumn("_b", g.bbox(geom))
     fits = F.col("_b.xmin").between(x0, x1) & F.col("_b.xmax").between(x0, x1) & F.col("_b.ymin").between(y0, y1) & F.col("_b.ymax").between(y0, y1)
     near = whole.where((F.col("_b.xmax") >= x0) & (F.col("_b.xmin") <= x1) & (F.col("_b.ymax") >= y0) & (F.col("_b.ymin") <= y1)).withColumn("_in", fits).drop("_b")
     # shapes wholly within the box stay in the JVM
-    return near.where("_in").unionByName(near.where("not _in").withColumn("geom", cut("geom"))).where("size(geom.parts) > 0").drop("_in")
+    return near.where("_in").unionByName(near.where("not _in").withColumn("geom", F.struct(geom["type"].alias("type"), cut(geom).alias("parts")).cast(g.GEOM))).where("size(geom.parts) > 0").drop("_in")
 
 
 def _cutter(x0: float, y0: float, x1: float, y1: float):
@@ -160,67 +166,286 @@ def _cutter(x0: float, y0: float, x1: float, y1: float):
             now.append(end)
         return [*out, now] if now else out
 
-    def run(shapes: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for kind, parts in zip(shapes["type"], shapes["parts"], strict=True):
-            got = []
-            for part in parts if parts is not None else []:
-                p = [(q["x"], q["y"]) for q in part]
-                if kind == "point":
-                    got += [p] if x0 <= p[0][0] <= x1 and y0 <= p[0][1] <= y1 else []
-                elif kind == "polyline":
-                    got += line(p)
-                else:
-                    got += [r for r in [ring(p[:-1])] if r]
-            rows.append((kind, [[{"x": x, "y": y} for x, y in p] for p in got]))
-        return pd.DataFrame(rows, columns=["type", "parts"])
-
-    run.__annotations__ = {"shapes": pd.DataFrame, "return": pd.DataFrame}
+    def run(shape):
+        got = []
+        for part in shape["parts"] if shape is not None else []:
+            p = [(q["x"], q["y"]) for q in part]
+            if shape["type"] == "point":
+                got += [p] if x0 <= p[0][0] <= x1 and y0 <= p[0][1] <= y1 else []
+            elif shape["type"] == "polyline":
+                got += line(p)
+            else:
+                got += [r for r in [ring(p[:-1])] if r]
+        return [[{"x": x, "y": y} for x, y in p] for p in got]
+
     return run
 
 
-def simplify_area(geom: Column, least: float, *, weighted: float = 0.0) -> Column:
-    """Removes, smallest first, the vertices whose triangle with their neighbours is smaller than `least`; end points stay.
+def simplify_shared(df: DataFrame, *, percentage: float | None = None, interval: float | None = None, method: str = "weighted", weighting: float = 0.7, keep_shapes: bool = False) -> DataFrame:
+    """Removes vertices of lines and polygons so that neighbours keep equal borders.
 
-    weighted: how much (0 to 1) sharp turns count for less than wide ones.
+    Borders are cut into arcs at the places where more or fewer than two edges meet.  Each arc is measured on its own,
+    in one direction whichever shape it belongs to, so all its owners find the same threshold for each vertex: the
+    interval at which it goes, by triangles (visvalingam; weighted: sharp turns count less) or by distance (dp).
+    percentage: the share of removable vertices that stays, each counted once; else those of at least `interval`.
+    keep_shapes: each shape's largest ring keeps the vertices that it needs.
     """
-    return F.pandas_udf(_visvalingam(least, weighted), g.GEOM)(geom)
+    if (percentage is None) == (interval is None):
+        raise ValueError("simplify takes a percentage or an interval")
+    if method not in ("weighted", "visvalingam", "dp"):
+        raise ValueError(f"unknown method {method}")
+    geom = F.col("geom")
+    seg = df.where("geom.type != 'point'").select(F.explode(F.flatten(F.transform(geom["parts"], g.segments))).alias("s")).where("s.a != s.b")
+    edge = seg.select(F.least("s.a", "s.b").alias("p"), F.greatest("s.a", "s.b").alias("q")).distinct()
+    ends = edge.select(F.col("p").alias("v")).union(edge.select("q"))
+    node = ends.groupBy("v").count().where("count != 2").select("v")
+    own = df.where("geom.type != 'point'").select(F.col(FID).alias("_f"), F.explode(F.array_distinct(g.coordinates(geom))).alias("v"))
+    nodes = own.join(node, "v").groupBy("_f").agg(F.collect_list("v").alias("_nodes"))
+    kind = "array<array<struct<x:double,y:double,t:double>>>"
+    from geoflow.operators.overlay import udf3
+    from geoflow.shared import materialise
+
+    measured = df.join(nodes, F.col(FID) == F.col("_f"), "left").drop("_f").withColumn("_t", udf3(_thresholds(method, weighting), kind)(geom["type"], geom["parts"], F.col("_nodes"))).drop("_nodes")
+    measured = materialise(measured, "thresholds")
+    least = interval
+    if percentage is not None:
+        each = measured.select(F.explode(F.flatten("_t")).alias("v")).where("v.t < double('infinity')").distinct()
+        least = each.agg(F.percentile_approx("v.t", max(0.0, min(1.0, 1 - percentage)), 1_000_000).alias("t")).first().t
+        least = float("inf") if percentage <= 0 else 0.0 if least is None or percentage >= 1 else float(least)
+    kept = F.transform("_t", lambda part: F.filter(part, lambda v: v["t"] >= least))
+    if keep_shapes:
+        size = lambda part: F.abs(g.ring_area(part))
+        largest = F.array_max(F.transform("_t", size))
+        rescue = lambda part: F.filter(part, lambda v: v["t"] >= F.coalesce(F.get(F.sort_array(F.transform(F.slice(part, 1, F.size(part) - 1), lambda z: z["t"]), asc=False), F.lit(2)), F.lit(0.0)))
+        kept = F.transform("_t", lambda part: F.when((geom["type"] == "polygon") & (size(part) == largest) & (F.size(F.filter(part, lambda v: v["t"] >= least)) < 4), rescue(part)).otherwise(F.filter(part, lambda v: v["t"] >= least)))
+    parts = F.transform(kept, lambda part: F.transform(part, lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))))
+    sound = F.when(geom["type"] == "polygon", F.filter(parts, lambda p: (F.size(p) > 3) & (g.ring_area(p) != 0))).otherwise(F.filter(parts, lambda p: F.size(p) > 1))
+    new = F.when(geom["type"] == "point", geom).when(F.size(sound) > 0, F.struct(geom["type"].alias("type"), sound.alias("parts"))).cast(g.GEOM)
+    return measured.withColumn("geom", new).drop("_t")
+
+
+def simplify_parts(geom: Column, least: float, *, method: str, weighting: float = 0.0) -> Column:
+    """Each part on its own, without a look at neighbours: vertices below a threshold go, ends stay, rings under four points too."""
+    from geoflow.operators.overlay import PARTS, of_shapes
+
+    measure = _thresholds(method, weighting)
+
+    def run(shape):
+        found = measure(shape["type"], shape["parts"], None) if shape is not None else []
+        kept = [[{"x": v["x"], "y": v["y"]} for v in part if v["t"] >= least] for part in found]
+        return [p for p in kept if shape["type"] != "polygon" or len(p) > 3]
+
+    return F.when(geom.isNotNull(), F.struct(geom["type"].alias("type"), of_shapes(run, PARTS)(geom).alias("parts"))).cast(g.GEOM)
+
+
+def simplify_area(geom: Column, least: float, *, weighted: float = 0.0) -> Column:
+    """Removes, smallest first, the vertices whose triangle with their neighbours is smaller than `least`; weighted: how much (0 to 1) sharp turns count for less."""
+    return simplify_parts(geom, 2 * math.sqrt(least), method="weighted", weighting=weighted)
+
+
+def _thresholds(method: str, weighting: float):
+    inf = float("inf")
 
+    def triangles(p):
+        before, after, out = list(range(-1, len(p) - 1)), list(range(1, len(p) + 1)), [inf] * len(p)
 
-def _visvalingam(least: float, weighted: float):
-    def size(a, b, c):
-        area = abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) / 2
-        u, v = (a[0] - b[0], a[1] - b[1]), (c[0] - b[0], c[1] - b[1])
-        n = math.hypot(*u) * math.hypot(*v)
-        return area * (1 - weighted * ((u[0] * v[0] + u[1] * v[1]) / n if n else 0))
+        def size(k):
+            a, b, c = p[before[k]], p[k], p[after[k]]
+            area = abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) / 2
+            if method == "weighted":
+                u, v = (a[0] - b[0], a[1] - b[1]), (c[0] - b[0], c[1] - b[1])
+                n = math.hypot(*u) * math.hypot(*v)
+                area *= 1 - weighting * ((u[0] * v[0] + u[1] * v[1]) / n if n else 0)
+            return area
 
-    def keep(p):
-        before, after, gone = list(range(-1, len(p) - 1)), list(range(1, len(p) + 1)), [False] * len(p)
-        heap = [(size(p[k - 1], p[k], p[k + 1]), k) for k in range(1, len(p) - 1)]
-        now = {k: s for s, k in heap}
+        now = {k: size(k) for k in range(1, len(p) - 1)}
+        heap = [(s, k) for k, s in now.items()]
         heapq.heapify(heap)
-        while heap and heap[0][0] < least:
+        top = 0.0
+        while heap:
             s, k = heapq.heappop(heap)
-            if gone[k] or now[k] != s:
+            if out[k] != inf or now[k] != s:
                 continue
-            gone[k] = True
+            top = max(top, s)
+            out[k] = 2 * math.sqrt(top)
             a, c = before[k], after[k]
             after[a], before[c] = c, a
             for m in (a, c):
-                if 0 < m < len(p) - 1:
-                    now[m] = max(size(p[before[m]], p[m], p[after[m]]), s)
+                if 0 < m < len(p) - 1 and out[m] == inf:
+                    now[m] = size(m)
                     heapq.heappush(heap, (now[m], m))
-        return [q for q, x in zip(p, gone, strict=True) if not x]
-
-    def run(shapes: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for kind, parts in zip(shapes["type"], shapes["parts"], strict=True):
-            lines = [keep([(q["x"], q["y"]) for q in part]) for part in (parts if parts is not None else [])]
-            rows.append((kind, [[{"x": x, "y": y} for x, y in line] for line in lines if kind != "polygon" or len(line) > 3]))
-        return pd.DataFrame(rows, columns=["type", "parts"])
+        return out
+
+    def distances(p):
+        out, todo = [inf] * len(p), [(0, len(p) - 1, inf)]
+        while todo:
+            a, b, most = todo.pop()
+            far, at = -1.0, -1
+            (ax, ay), (bx, by) = p[a], p[b]
+            base = math.hypot(bx - ax, by - ay)
+            for k in range(a + 1, b):
+                d = abs((bx - ax) * (ay - p[k][1]) - (ax - p[k][0]) * (by - ay)) / base if base else math.hypot(p[k][0] - ax, p[k][1] - ay)
+                if d > far:
+                    far, at = d, k
+            if at >= 0:
+                out[at] = min(far, most)
+                todo += [(a, at, out[at]), (at, b, out[at])]
+        return out
+
+    work = distances if method == "dp" else triangles
+
+    def measure(name, parts, nodes):
+        out = []
+        stops = {(v["x"], v["y"]) for v in nodes} if nodes is not None else set()
+        for part in parts if parts is not None else []:
+            p = [(q["x"], q["y"]) for q in part]
+            ring = len(p) > 2 and p[0] == p[-1]
+            if name == "point" or len(p) < 3:
+                out.append([(*q, inf) for q in p])
+                continue
+            start = 0
+            if ring:  # begin at a node, or else where all owners of the ring begin
+                body = p[:-1]
+                start = next((k for k, q in enumerate(body) if q in stops), min(range(len(body)), key=lambda k: body[k]))
+                p = [*body[start:], *body[:start], body[start]]
+            cuts = [0, *(k for k in range(1, len(p) - 1) if p[k] in stops), len(p) - 1]
+            t = [inf] * len(p)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                arc = p[a : b + 1]
+                back = (arc[-1], arc[-2]) < (arc[0], arc[1])
+                got = work(arc[::-1] if back else arc)
+                t[a : b + 1] = got[::-1] if back else got
+            done = [(*q, x) for q, x in zip(p, t, strict=True)]
+            if ring and start:
+                body = done[:-1]
+                done = [*body[len(body) - start :], *body[: len(body) - start]]
+                done.append(done[0])
+                if done[0][2] != inf:  # a ring ends where it begins, whatever goes
+                    turn = next(k for k, q in enumerate(done) if q[2] == inf)
+                    done = [*done[turn:-1], *done[: turn + 1]]
+            out.append(done)
+        return [[{"x": x, "y": y, "t": t} for x, y, t in part] for part in out]
+
+    return measure
+
+
+def smooth(df: DataFrame, distance: float) -> DataFrame:
+    """Each inner vertex of lines and polygons becomes the mean of the path near it, weighted by a bell curve of this width along the path; ends stay.
+
+    Corners that turn by over 60 degrees stay too.  Polygons' rings are smoothed all around.
+    """
+    from geoflow.operators.overlay import of_shapes, packed, rings
+
+    def one(p, closed):
+        body = p[:-1] if closed else p
+        n = len(body)
+        if n < 3:
+            return p
+        at = lambda k: body[k % n]
+        out = []
+        for k in range(n):
+            a, b, c = at(k - 1), body[k], at(k + 1)
+            turn = abs((math.degrees(math.atan2(c[1] - b[1], c[0] - b[0]) - math.atan2(b[1] - a[1], b[0] - a[0])) + 180) % 360 - 180)
+            if (not closed and k in (0, n - 1)) or turn > 60:
+                out.append(b)
+                continue
+            total, x, y = 1.0, *b
+            for step in (-1, 1):
+                gone, j, here = 0.0, k, b
+                while abs(j - k) < n and (closed or 0 <= j + step < n):
+                    j += step
+                    q = at(j)
+                    gone += math.hypot(q[0] - here[0], q[1] - here[1])
+                    if gone > 2 * distance:
+                        break
+                    w = math.exp(-2 * (gone / distance) ** 2)
+                    total, x, y, here = total + w, x + w * q[0], y + w * q[1], q
+            out.append((x / total, y / total))
+        return [*out, out[0]] if closed else out
+
+    work = of_shapes(lambda shape: packed([one(p, shape["type"] == "polygon") for p in rings(shape["parts"])]) if shape is not None else [], "array<array<struct<x:double,y:double>>>")
+    return df.withColumn("geom", F.when(F.col("geom.type") == "point", F.col("geom")).when(F.col("geom").isNotNull(), F.struct(F.col("geom.type").alias("type"), work(F.col("geom")).alias("parts"))).cast(g.GEOM))
+
+
+def rotate_sphere(df: DataFrame, lon: float, lat: float = 0.0, roll: float = 0.0, *, invert: bool = False) -> DataFrame:
+    """Degrees turned on the sphere: by lon about the poles, then by lat, then by roll."""
+    a, b, c = (math.radians(v) for v in (lon, lat, roll))
 
-    run.__annotations__ = {"shapes": pd.DataFrame, "return": pd.DataFrame}
-    return run
+    def move(p: Column) -> Column:
+        x, y = F.radians(p["x"]), F.radians(p["y"])
+        if not invert:
+            x = x + a
+        u, v, w = F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)
+        if not invert:
+            k = w * math.cos(b) + u * math.sin(b)
+            x, y = F.atan2(v * math.cos(c) - k * math.sin(c), u * math.cos(b) - w * math.sin(b)), F.asin(F.greatest(F.least(k * math.cos(c) + v * math.sin(c), F.lit(1.0)), F.lit(-1.0)))
+        else:
+            k = w * math.cos(c) - v * math.sin(c)
+            x, y = F.atan2(v * math.cos(c) + w * math.sin(c), u * math.cos(b) + k * math.sin(b)) - a, F.asin(F.greatest(F.least(k * math.cos(b) - u * math.sin(b), F.lit(1.0)), F.lit(-1.0)))
+        turned = F.degrees(x)
+        return F.struct((turned - F.floor((turned + 180) / 360) * 360).alias("x"), F.degrees(y).alias("y"))
+
+    return df.withColumn("geom", g.map_points(F.col("geom"), move))
+
+
+def dots(df: DataFrame, fields: list[str], *, per_dot: float = 1.0, seed: int = 1, save_as: str = "field") -> DataFrame:
+    """floor(value / per_dot) random points in each polygon for each field, told by save_as; seeded by the row's id and the field."""
+    import random
+
+    from geoflow.functions import planar
+    from geoflow.operators.overlay import rings, udf3
+
+    def scatter(me, parts, counts):
+        shape, out = rings(parts), []
+        xs, ys = [x for r in shape for x, _ in r], [y for r in shape for _, y in r]
+        for name, count in zip(fields, counts, strict=True):
+            r = random.Random(f"{seed}:{me}:{name}")
+            for _ in range(int((count or 0) // per_dot) if shape and planar.area(shape) > 0 else 0):
+                while True:
+                    x, y = r.uniform(min(xs), max(xs)), r.uniform(min(ys), max(ys))
+                    if sum(planar.within(x, y, ring) for ring in shape) % 2:
+                        break
+                out.append({"n": name, "x": x, "y": y})
+        return out
+
+    made = udf3(scatter, "array<struct<n:string,x:double,y:double>>")(F.col(FID), F.col("geom.parts"), F.array(*(field(f).cast("double") for f in fields)))
+    out = df.where("geom is not null").select("*", F.posexplode(made).alias("_n", "_d")).withColumn(save_as, F.col("_d.n")).withColumn("geom", g.point(F.col("_d.x"), F.col("_d.y")))
+    return numbered(out.withColumnRenamed(FID, "_old"), [F.col("_old"), F.col("_n")]).drop("_old", "_n", "_d")
+
+
+def rectangle_around(df: DataFrame, *, offset: float = 0.0, aspect: float | None = None) -> DataFrame:
+    """One box around a layer, wider by an offset on each side, or to an aspect ratio of width to height."""
+    b = g.extent(df)
+    w, h = F.col("xmax") - F.col("xmin") + 2 * offset, F.col("ymax") - F.col("ymin") + 2 * offset
+    if aspect:
+        w, h = F.greatest(w, h * aspect), F.greatest(h, w / aspect)
+    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    return b.select(F.lit(0).cast("long").alias(FID), g.rectangle(x - w / 2, y - h / 2, x + w / 2, y + h / 2).alias("geom"))
+
+
+def subdivide(df: DataFrame, expression: str, defs: dict | None = None) -> DataFrame:
+    """layer_name of parts that are halved again and again, along the longer side of their box at the median of the shapes' middles, while an aggregate expression holds for them."""
+    from geoflow.functions.aggregates import grouped
+    from geoflow.functions.expressions import truth  # noqa: F401
+    from geoflow.operators.rows import _scope
+    from geoflow.shared import discard, materialise
+
+    b = g.bbox(F.col("geom"))
+    now = materialise(df.withColumns({"_x": (b["xmin"] + b["xmax"]) / 2, "_y": (b["ymin"] + b["ymax"]) / 2, "_b": b, "layer_name": F.lit("0"), "_open": F.lit(True)}), "parts")
+    while True:
+        some = now.where("_open")
+        calc = compile_calc(expression, _scope(df, defs))
+        calc.out = [("_more", calc.out[-1][1])]
+        told = grouped(some, [F.col("layer_name")], calc, F.count(F.lit(1)).alias("_n"), (F.max("_b.xmax") - F.min("_b.xmin") >= F.max("_b.ymax") - F.min("_b.ymin")).alias("_wide"), F.percentile_approx("_x", 0.5, 100_000).alias("_mx"), F.percentile_approx("_y", 0.5, 100_000).alias("_my"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
+        told = told.withColumn("_wide", F.when(F.col("_x0") == F.col("_x1"), False).when(F.col("_y0") == F.col("_y1"), True).otherwise(F.col("_wide")))
+        told = told.where("_more and _n > 1 and (_x0 < _x1 or _y0 < _y1)").select(F.col("_key0").alias("layer_name"), "_wide", F.when(F.col("_mx") >= F.col("_x1"), (F.col("_x0") + F.col("_x1")) / 2).otherwise(F.col("_mx")).alias("_mx"), F.when(F.col("_my") >= F.col("_y1"), (F.col("_y0") + F.col("_y1")) / 2).otherwise(F.col("_my")).alias("_my"))
+        told = materialise(told, "halves")
+        if told.isEmpty():
+            return now.drop("_x", "_y", "_b", "_open")
+        side = F.when(F.col("_wide"), F.col("_x") > F.col("_mx")).otherwise(F.col("_y") > F.col("_my")).cast("int").cast("string")
+        split = now.join(F.broadcast(told), "layer_name", "left").withColumn("_open", F.col("_wide").isNotNull()).withColumn("layer_name", F.when(F.col("_open"), F.concat("layer_name", F.lit("."), side)).otherwise(F.col("layer_name"))).drop("_wide", "_mx", "_my")
+        before, now = now, materialise(split, "parts")
+        discard(before, told)
 
 
 def project(geom: Column, name: str, *, inverse: bool = False, lon0: float = 0.0, parallels: tuple[float, float] = (29.5, 45.5), lat0: float = 23.0) -> Column:
@@ -251,36 +476,35 @@ def project(geom: Column, name: str, *, inverse: bool = False, lon0: float = 0.0
 def dashes(df: DataFrame, dash: float, gap: float) -> DataFrame:
     """Lines as dashes of one length with gaps of another, by planar length."""
 
-    def run(shapes: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for kind, parts in zip(shapes["type"], shapes["parts"], strict=True):
-            out = []
-            for part in parts if parts is not None else []:
-                on, left, now = True, dash, [(part[0]["x"], part[0]["y"])]
-                for q in part[1:]:
-                    bx, by = q["x"], q["y"]
-                    while True:
-                        ax, ay = now[-1]
-                        n = math.hypot(bx - ax, by - ay)
-                        if n < left:
-                            left -= n
-                            now.append((bx, by))
-                            break
-                        t = left / n if n else 0
-                        cut = (ax + t * (bx - ax), ay + t * (by - ay))
-                        now.append(cut)
-                        if on:
-                            out.append(now)
-                        on, left, now = not on, gap if on else dash, [cut]
-                        if cut == (bx, by):
-                            break
-                if on and len(now) > 1:
-                    out.append(now)
-            rows.append((kind, [[{"x": x, "y": y} for x, y in p] for p in out]))
-        return pd.DataFrame(rows, columns=["type", "parts"])
-
-    run.__annotations__ = {"shapes": pd.DataFrame, "return": pd.DataFrame}
-    return df.withColumn("geom", F.pandas_udf(run, g.GEOM)("geom"))
+    from geoflow.operators.overlay import PARTS, of_shapes
+
+    def run(shape):
+        out = []
+        for part in shape["parts"] if shape is not None else []:
+            on, left, now = True, dash, [(part[0]["x"], part[0]["y"])]
+            for q in part[1:]:
+                bx, by = q["x"], q["y"]
+                while True:
+                    ax, ay = now[-1]
+                    n = math.hypot(bx - ax, by - ay)
+                    if n < left:
+                        left -= n
+                        now.append((bx, by))
+                        break
+                    t = left / n if n else 0
+                    cut = (ax + t * (bx - ax), ay + t * (by - ay))
+                    now.append(cut)
+                    if on:
+                        out.append(now)
+                    on, left, now = not on, gap if on else dash, [cut]
+                    if cut == (bx, by):
+                        break
+            if on and len(now) > 1:
+                out.append(now)
+        return [[{"x": x, "y": y} for x, y in p] for p in out]
+
+    work = of_shapes(run, PARTS)
+    return df.withColumn("geom", F.when(F.col("geom").isNotNull(), F.struct(F.col("geom.type").alias("type"), work(F.col("geom")).alias("parts"))).cast(g.GEOM))
 
 
 def buffer_points(df: DataFrame, radius: float, vertices: int = 72) -> DataFrame:
@@ -334,18 +558,21 @@ def point_to_grid(points: DataFrame, box: tuple[float, float, float, float], int
     return numbered(out, [F.col("row"), F.col("col")]).withColumn("geom", g.rectangle(x, y, x + interval, y + interval))
 
 
-def data_fill(df: DataFrame, name: str, *, rounds: int = 50) -> DataFrame:
+def data_fill(df: DataFrame, name: str) -> DataFrame:
     """Empty values from the neighbours with the longest shared border (ties: the value that sorts first), round by round until nothing changes."""
+    from geoflow.shared import discard, materialise
+
     pairs = g.neighbours(df)
-    both = pairs.union(pairs.select("b_fid", "a_fid", "border")).toDF("f", "other", "border").persist()
+    both = materialise(pairs.union(pairs.select("b_fid", "a_fid", "border")).toDF("f", "other", "border"), "neighbours")
     empty = field(name).isNull() | (field(name).cast("string") == "")
     values = df.select(F.col(FID).alias("f"), F.when(~empty, field(name)).alias("v"))
     left = None
-    for _ in range(rounds):
+    while True:
         known = values.where("v is not null").select(F.col("f").alias("other"), F.col("v").alias("w"))
         offers = both.join(values.where("v is null").select("f"), "f").join(known, "other").groupBy("f", "w").agg(F.sum("border").alias("n"))
         best = offers.groupBy("f").agg(F.min_by("w", F.struct(-F.col("n"), F.col("w"))).alias("w"))
-        values = values.join(best, "f", "left").select("f", F.coalesce("v", "w").alias("v")).persist()
+        before, values = values, materialise(values.join(best, "f", "left").select("f", F.coalesce("v", "w").alias("v")), "values")
+        discard(before)
         now = values.where("v is null").count()
         if now in (0, left):
             break
@@ -369,7 +596,7 @@ def crossings(df: DataFrame, cell: float) -> DataFrame:
     return met.select(F.least("f", "f2").alias("a_fid"), F.greatest("f", "f2").alias("b_fid"), at("x").alias("x"), at("y").alias("y")).distinct()
 
 
-def fuzzy_join(polygons: DataFrame, points: DataFrame, name: str, cell: float) -> DataFrame:
+def fuzzy_join(polygons: DataFrame, points: DataFrame, name: str, cell: float | None = None) -> DataFrame:
     """Each polygon gets the most frequent value of the points in it (ties: the first point's), then data-fill where there is none."""
     out = g.join_points_to_polygons(polygons, points, cell, calc=f"{name} = mode({name})")
     return data_fill(out, name)

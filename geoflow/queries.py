@@ -346,3 +346,144 @@ def data_fill(spark, sf_dir):
     """Every third column of cells is empty; its neighbours in the same row and column decide."""
     df = cells(spark, sf_dir).withColumn("side", F.when(F.col("col") % 3 != 1, F.when(F.col("row") < 4, "south").otherwise("north")))
     return shapes.data_fill(df, "side").select(F.col(FID).alias("fid"), "side")
+
+
+@query("select cast(row_number() over (order by o_totalprice desc, o_orderkey) - 1 as bigint) as place, o_orderkey from orders")
+def sort_all(spark, sf_dir):
+    return rows.sort(layer(spark, sf_dir, "orders"), "o_totalprice", descending=True).select(F.col(FID).alias("place"), "o_orderkey")
+
+
+@query("""select cast(row_number() over (order by l, k) - 1 as bigint) as place, k, status, segment from (select 0 as l, o_orderkey as k, o_orderstatus as status, null as segment from orders union all select 1, c_custkey, null, c_mktsegment from customer)""")
+def merge_all(spark, sf_dir):
+    a = layer(spark, sf_dir, "orders").select(FID, F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    b = layer(spark, sf_dir, "customer").select(FID, F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"))
+    return rows.merge_layers([a, b], force=True).select(F.col(FID).alias("place"), "k", "status", "segment")
+
+
+@query("""with m as (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderkey) as n from customer left join orders on c_custkey = o_custkey)
+          select cast(row_number() over (order by case when n > 1 then 1 else 0 end, c_custkey, o_orderkey) - 1 as bigint) as place, c_custkey, o_orderkey from m""")
+def join_duplication_order(spark, sf_dir):
+    out = joins.join(layer(spark, sf_dir, "customer"), layer(spark, sf_dir, "orders"), ("c_custkey", "o_custkey"), fields=["o_orderkey"], duplication=True)
+    return out.select(F.col(FID).alias("place"), "c_custkey", "o_orderkey")
+
+
+@query(f"""select a.c_custkey, cast(count(b.c_custkey) as bigint) as n, min(b.c_custkey) as first from {XY_SQL} a join {XY_SQL} b on (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9 group by 1""")
+def join_max_distance(spark, sf_dir):
+    a, b = points(spark, sf_dir), points(spark, sf_dir).select(FID, "geom", F.col("c_custkey").alias("k"))
+    return Session(spark, {"b": b, "a": a}).run("-join b max-distance=3 calc='n = count(), first = first(k)'").select("c_custkey", F.col("n").cast("long").alias("n"), "first")
+
+
+def boxes(spark, *sides: tuple[float, float, float, float]) -> DataFrame:
+    df = spark.createDataFrame([(k, *map(float, s)) for k, s in enumerate(sides)], f"{FID} long, x0 double, y0 double, x1 double, y1 double")
+    return df.withColumn("geom", geometry.rectangle(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
+
+
+def shifted(spark, sf_dir) -> DataFrame:
+    """The lattice moved by (7, 4), its places named by scol and srow."""
+    return geometry.affine(cells(spark, sf_dir), shift=(7, 4)).withColumnsRenamed({"col": "scol", "row": "srow"})
+
+
+LATTICE_SQL = "(select cast(row * 18 + col as bigint) as fid, col, row, -180.5 + 20 * col as x0, -90.5 + 20 * row as y0 from range(18) a(col), range(9) b(row))"
+WINDOWS = ((-50, -30, 50, 30), (0, 0, 100, 60), (0, 0, 50, 30))  # the third is what the others share
+
+
+def _within_sql(k: int) -> str:
+    x0, y0, x1, y1 = WINDOWS[k]
+    return f"greatest(0, least({x1}, x0 + 20) - greatest({x0}, x0)) * greatest(0, least({y1}, y0 + 20) - greatest({y0}, y0))"
+
+
+WINDOW_AREA = f"({_within_sql(0)} + {_within_sql(1)} - {_within_sql(2)})"
+
+
+@query(f"select fid, round({WINDOW_AREA}, 6) as area from {LATTICE_SQL} where {WINDOW_AREA} > 0")
+def clip_polygons(spark, sf_dir):
+    s = Session(spark, {"windows": boxes(spark, *WINDOWS[:2]), "cells": cells(spark, sf_dir)})
+    return s.run("-clip windows").select(F.col(FID).alias("fid"), F.round(geometry.planar_area(F.col("geom")), 6).alias("area"))
+
+
+@query(f"select fid, round(400 - {WINDOW_AREA}, 6) as area from {LATTICE_SQL} where {WINDOW_AREA} < 400")
+def erase_polygons(spark, sf_dir):
+    s = Session(spark, {"windows": boxes(spark, *WINDOWS[:2]), "cells": cells(spark, sf_dir)})
+    return s.run("-erase windows").select(F.col(FID).alias("fid"), F.round(geometry.planar_area(F.col("geom")), 6).alias("area"))
+
+
+@query(f"select c_custkey from {XY_SQL} where (x between -50 and 50 and y between -30 and 30) or (x between 0 and 100 and y between 0 and 60)")
+def clip_points(spark, sf_dir):
+    return Session(spark, {"windows": boxes(spark, *WINDOWS[:2]), "points": points(spark, sf_dir)}).run("-clip windows").select("c_custkey")
+
+
+@query(f"select fid from {LATTICE_SQL} where x0 <= 50 and x0 + 20 >= -50 and y0 <= 30 and y0 + 20 >= -30")
+def filter_bbox(spark, sf_dir):
+    return Session(spark, {"cells": cells(spark, sf_dir)}).run("-filter bbox=-50,-30,50,30").select(F.col(FID).alias("fid"))
+
+
+OVERLAP_SQL = f"""(select a.fid as t, b.fid as s, b.col, b.row, (least(a.x0 + 27, b.x0 + 20) - greatest(a.x0 + 7, b.x0)) * (least(a.y0 + 24, b.y0 + 20) - greatest(a.y0 + 4, b.y0)) as area
+          from {LATTICE_SQL} a join {LATTICE_SQL} b on a.x0 + 27 > b.x0 and b.x0 + 20 > a.x0 + 7 and a.y0 + 24 > b.y0 and b.y0 + 20 > a.y0 + 4)"""
+
+
+@query(f"select t as fid, arg_max(col, area) as col, arg_max(row, area) as row from {OVERLAP_SQL} group by 1")
+def join_largest_overlap(spark, sf_dir):
+    out = Session(spark, {"cells": cells(spark, sf_dir), "shifted": shifted(spark, sf_dir)}).run("-join cells largest-overlap fields=col,row")
+    return out.select(F.col(FID).alias("fid"), "col", "row")
+
+
+@query(f"select t as fid, cast(count(*) as bigint) as n, round(sum((col + 10 * row) * area / 400), 6) as v from {OVERLAP_SQL} group by 1")
+def join_interpolate(spark, sf_dir):
+    source = cells(spark, sf_dir).withColumn("v", F.col("col") + 10 * F.col("row"))
+    out = Session(spark, {"cells": source, "shifted": shifted(spark, sf_dir)}).run("-join cells interpolate=v calc='n = count()'")
+    return out.select(F.col(FID).alias("fid"), F.col("n").cast("long").alias("n"), F.round("v", 6).alias("v"))
+
+
+@query(f"""with o as (select cast(sum(area) as double) as shared from {OVERLAP_SQL}) select true as in_a, true as in_b, round(shared, 4) as area from o union all select true, false, round(162 * 400 - shared, 4) from o union all select false, true, round(162 * 400 - shared, 4) from o""")
+def union_layers(spark, sf_dir):
+    out = Session(spark, {"cells": cells(spark, sf_dir), "shifted": shifted(spark, sf_dir)}).run("-target cells,shifted -union")
+    return out.groupBy(F.col("col").isNotNull().alias("in_a"), F.col("scol").isNotNull().alias("in_b")).agg(F.round(F.sum(geometry.planar_area(F.col("geom"))), 4).alias("area"))
+
+
+@query("""select cast(n as integer) as n, cast(count(*) as bigint) as tiles, round(sum(w * 20.0), 4) as area from (select 1 as n, 20.0 as w from range(9) a(r), range(2) b(k) union all select 1, 10.0 from range(9) a(r), range(1, 17) b(k) union all select 2, 10.0 from range(9) a(r), range(1, 18) b(k)) group by 1""")
+def mosaic_tiles(spark, sf_dir):
+    """Cells half as wide again, so that each covers half of the next."""
+    wide = cells(spark, sf_dir).withColumn("geom", geometry.map_points(F.col("geom"), lambda p: F.struct((F.when(p["x"] > F.col("geom.parts")[0][0]["x"], p["x"] + 10).otherwise(p["x"])).alias("x"), p["y"].alias("y"))))
+    out = Session(spark, {"wide": wide}).run("-mosaic calc='n = count()'")
+    return out.groupBy(F.col("n").cast("int").alias("n")).agg(F.count(F.lit(1)).alias("tiles"), F.round(F.sum(geometry.planar_area(F.col("geom"))), 4).alias("area"))
+
+
+@query("select row, (18 * 20.0 + 10) * 20 as area, 1 as rings from range(9) t(row)")
+def dissolve_overlapping(spark, sf_dir):
+    wide = cells(spark, sf_dir).withColumn("geom", geometry.map_points(F.col("geom"), lambda p: F.struct((F.when(p["x"] > F.col("geom.parts")[0][0]["x"], p["x"] + 10).otherwise(p["x"])).alias("x"), p["y"].alias("y"))))
+    out = Session(spark, {"wide": wide}).run("-dissolve2 row")
+    return out.select("row", geometry.planar_area(F.col("geom")).alias("area"), F.size("geom.parts").alias("rings"))
+
+
+@query(f"select fid, 400.0 as area, 5 as vertices from {LATTICE_SQL}")
+def simplify_shared(spark, sf_dir):
+    out = Session(spark, {"cells": cells(spark, sf_dir)}).run("-densify interval=3 -simplify interval=1")
+    return out.select(F.col(FID).alias("fid"), F.round(geometry.planar_area(F.col("geom")), 6).alias("area"), F.size(F.col("geom.parts")[0]).alias("vertices"))
+
+
+@query(f"select fid, round(400 + 80 + 36 * sin(pi() / 36), 6) as area from {LATTICE_SQL}")
+def buffer_polygons(spark, sf_dir):
+    out = Session(spark, {"cells": cells(spark, sf_dir)}).run("-buffer 1 vertices=72")
+    return out.select(F.col(FID).alias("fid"), F.round(geometry.planar_area(F.col("geom")), 6).alias("area"))
+
+
+@query("""select value as lat, case when c < 18 then c end as col, case when c < 18 then cast(floor((value + 90.5) / 20) as bigint) end as row, cast(1 as bigint) as n, round(least(180, -160.5 + 20 * c) - greatest(-180, -180.5 + 20 * c), 6) as size
+          from (select -90.0 + 10 * i as value from range(1, 18) t(i)), range(19) k(c)""")
+def divide_lines(spark, sf_dir):
+    lines = shapes.graticule(spark).where("type = 'parallel'").withColumnRenamed("value", "lat").drop("type")
+    out = Session(spark, {"cells": cells(spark, sf_dir), "lines": lines}).run("-divide cells")
+    return out.groupBy("lat", "col", "row").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(geometry.length(F.col("geom"))), 6).alias("size"))
+
+
+@query("select cast(162 as bigint) as n, 400.0 as least, 400.0 as most")
+def polygons_from_lines(spark, sf_dir):
+    lines = rows.with_fid(shapes.border_lines(cells(spark, sf_dir)).withColumn("x", F.col("geom.parts")[0][0]["x"]).withColumn("y", F.col("geom.parts")[0][0]["y"]).withColumn("x2", F.col("geom.parts")[0][1]["x"]), "x", "y", "x2")
+    out = Session(spark, {"lines": lines}).run("-polygons")
+    area = F.round(geometry.planar_area(F.col("geom")), 6)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.min(area).alias("least"), F.max(area).alias("most"))
+
+
+@query("select c_custkey, case when c_acctbal < 0 then chr(8722) else '+' end || printf('%06.2f', abs(c_acctbal)) as shown from customer where abs(c_acctbal) < 1000")
+def sprintf_numbers(spark, sf_dir):
+    df = layer(spark, sf_dir, "customer").where("abs(c_acctbal) < 1000")
+    return Session(spark, {"c": df}).run("-each 'shown = sprintf(\"%+07.2f\", c_acctbal)'").select("c_custkey", "shown")
