@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import BASE, batch_texts, below, bitmap, discard, hash_share, id_and_text, in_bitmap, map_rows, materialise, mix, slices, word_hashes
+from geoflow.llm.common import BASE, batch_texts, below, bitmap, discard, id_and_text, in_bitmap, map_rows, materialise, mix, slices, word_hashes
 
 SEED = 42
 
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_docs: int = 10_000, group: int = 32) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_share: float = 0.1, group: int = 4) -> DataFrame:
     """The rows of docs without near-duplicates: of each group of linked rows the one with the smallest id stays, and rows without an id.
 
     Two texts are linked if their distinct shingles of `words` words (fewer words: the whole sequence) have a
@@ -149,12 +149,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     the sets' parities differ) drop most candidates, and the rest are compared shingle by shingle.
 
     The smallest node of a shingle meets all others; then what is linked is contracted, and the nodes outside of
-    the shingle's largest component (about `group` of them in the first such round, eight times as many in each
-    later one) meet all nodes of other components.  A shingle is done when one component holds all that are left.
+    the shingle's largest component (about `group` of them in the first such round, four times as many in each
+    later one, the same ones in all shingles of one size) meet all nodes of other components.  A shingle is done when one component holds all that are left.
     """
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(_common_shingles(rows, words, sample_docs))  # of a bounded sample
+    order = spark.sparkContext.broadcast(_common_shingles(rows, words, sample_share))  # of a fixed size
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1_000_000):
@@ -166,9 +166,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def prefix(s: np.ndarray) -> np.ndarray:
-        known, often = order.value
+        known, often, repeated = order.value
         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        by = np.lexsort((mix(s), np.where(known[at] == s, often[at], 0)))
+        by = np.lexsort((mix(s), np.where(known[at] == s, often[at], in_bitmap(repeated, s))))
         return s[by[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +254,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         before, left = table, materialise(left, "unmet")
         discard(before)
         parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("c") - F.max("c")).alias("rest")).where("parts > 1")
-        before, table = left, materialise(left.join(parts.hint("merge"), "key").withColumn("leads", (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("rest")) < group)), "shared-prefixes")
+        before, table = left, materialise(left.join(parts.hint("merge"), "key").withColumn("leads", (F.col("root") != F.col("main")) & (F.shiftrightunsigned(F.xxhash64("node"), 1).cast("double") < group * 2.0**63 / F.col("rest"))), "shared-prefixes")
         discard(before)
         leads, left = table.where("leads"), table.where(F.col("rest") > group).where("not leads")
-        group *= 8
+        group *= 4
     discard(table, roots)
     roots = materialise(components(links), "roots")
     owner = marks.select("doc_id", "digest").distinct().join(nodes.select("digest", "node").hint("merge"), "digest").join(roots.hint("merge"), "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
@@ -334,18 +334,21 @@ def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _common_shingles(rows: DataFrame, words: int, sample_docs: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that at least three of about sample_docs documents (by a hash of the id) hold, and how many do: they only set the order of prefixes."""
-    rows = rows.where(below(hash_share(sample_docs, rows.count()), "doc_id"))
+def _common_shingles(rows: DataFrame, words: int, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What only sets the order of prefixes, from a share of the documents (by a hash of the id): the `most` most frequent shingles, sorted, how many documents hold each, and a bitmap of all that two or more hold."""
+    rows = rows.where(below(max(1, int(share * 2**62)), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1_000_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch_texts(batch), words)).view(np.int64))], names=["key"])
 
-    often = rows.mapInArrow(run, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(most).toArrow()
+    counted = materialise(rows.mapInArrow(run, "key long").groupBy("key").count().where("count > 1"), "repeated-shingles")
+    often = counted.orderBy(F.desc("count"), "key").limit(most).toArrow()
+    repeated = bitmap(counted.select("key"))
+    discard(counted)
     known = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(known)
-    return np.append(known[order], np.uint64(2**64 - 1)), np.append(often.column("count").to_numpy()[order], 0)
+    return np.append(known[order], np.uint64(2**64 - 1)), np.append(often.column("count").to_numpy()[order], 0), repeated
 
 
 def _sets_of(asked, words: int):
