@@ -426,7 +426,6 @@ def rectangle_around(df: DataFrame, *, offset: float = 0.0, aspect: float | None
 def subdivide(df: DataFrame, expression: str, defs: dict | None = None) -> DataFrame:
     """layer_name of parts that are halved again and again, along the longer side of their box at the median of the shapes' middles, while an aggregate expression holds for them."""
     from geoflow.functions.aggregates import grouped
-    from geoflow.functions.expressions import truth  # noqa: F401
     from geoflow.operators.rows import _scope
     from geoflow.shared import discard, materialise
 
@@ -443,7 +442,7 @@ def subdivide(df: DataFrame, expression: str, defs: dict | None = None) -> DataF
         if told.isEmpty():
             return now.drop("_x", "_y", "_b", "_open")
         side = F.when(F.col("_wide"), F.col("_x") > F.col("_mx")).otherwise(F.col("_y") > F.col("_my")).cast("int").cast("string")
-        split = now.join(F.broadcast(told), "layer_name", "left").withColumn("_open", F.col("_wide").isNotNull()).withColumn("layer_name", F.when(F.col("_open"), F.concat("layer_name", F.lit("."), side)).otherwise(F.col("layer_name"))).drop("_wide", "_mx", "_my")
+        split = now.join(told, "layer_name", "left").withColumn("_open", F.col("_wide").isNotNull()).withColumn("layer_name", F.when(F.col("_open"), F.concat("layer_name", F.lit("."), side)).otherwise(F.col("layer_name"))).drop("_wide", "_mx", "_my")
         before, now = now, materialise(split, "parts")
         discard(before, told)
 

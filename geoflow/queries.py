@@ -40,7 +40,7 @@ def run(spark: SparkSession, sf_dir: str, table: str, line: str, *more: str) ->
 @query("""select l_returnflag, l_linestatus, cast(count(*) as bigint) as n, round(sum(l_quantity), 2) as qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as rev,
           round(quantile_cont(l_extendedprice, 0.5), 4) as med from lineitem where l_quantity > 10 group by 1, 2""")
 def flagship(spark, sf_dir):
-    df = layer(spark, sf_dir, "lineitem").withColumn(FID, F.col("l_orderkey"))
+    df = layer(spark, sf_dir, "lineitem").withColumn(FID, F.monotonically_increasing_id())
     out = Session(spark, {"lineitem": df}).run("""-filter 'l_quantity > 10' -each 'revenue = l_extendedprice * (1 - l_discount)'
         -dissolve l_returnflag,l_linestatus calc='n = count(), qty = sum(l_quantity), rev = sum(revenue), med = median(l_extendedprice)'
         -each 'qty = round(qty, 2), rev = round(rev, 2), med = round(med, 4)'""")
