@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,6 +233,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         found = materialise(both.mapInArrow(alike, "a long, b long"), "links")
         discard(ends, sets)
+        del ends, sets, texts, both
+        _free_shuffles(spark)
         return found
 
     per_key = table.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("first")).where("many > 1")
@@ -257,6 +260,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         before, table = left, materialise(left.join(parts.hint("merge"), "key").withColumn("leads", (F.col("root") != F.col("main")) & (F.shiftrightunsigned(F.xxhash64("node"), 1).cast("double") < group * 2.0**63 / F.col("rest"))), "shared-prefixes")
         discard(before)
         leads, left = table.where("leads"), table.where(F.col("rest") > group).where("not leads")
+        _free_shuffles(spark)
         group *= 4
     discard(table, roots)
     roots = materialise(components(links), "roots")
@@ -278,6 +282,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return kept.drop("_digest").toDF(*docs.columns)
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of jobs that are done go once the driver's garbage is collected; else they pile up over the rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles (fewer words: one, of the whole sequence); A-Z count as a-z."""
     data = [t.encode("utf-8", "replace").lower() for t in texts]
