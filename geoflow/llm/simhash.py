@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import itertools
 import math
 from collections.abc import Iterator
@@ -14,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.llm.common import BASE, batch_texts, below, bitmap, discard, id_and_text, in_bitmap, map_rows, materialise, mix, slices, word_hashes
+from geoflow.llm.common import BASE, Bits, batch_texts, below, bitmap, discard, id_and_text, in_bitmap, map_rows, materialise, mix, slices, without_shuffles, word_hashes
 
 SEED = 42
+#: Longs of a set's parity that go with each of its prefix shingles.
+FOLDS = 4
 
 
 def wide_fingerprint(text: str | None, words: int = 3, width: int = 1) -> np.ndarray:
@@ -102,13 +103,15 @@ def _chained(table: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, for all nodes with an edge (a, b).
 
-    Alternating large-star and small-star steps, each written to the shared folder, until nothing
-    changes.  A node's least neighbour is an aggregate and joined back, so that a hub with very many
+    Alternating large-star and small-star steps, each written to the shared folder, until all that is
+    left are stars.  A node's least neighbour is an aggregate and joined back, so that a hub with very many
     neighbours is reduced before it moves, and its join can be split.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    before = None
     while True:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("hub")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub")).where("leaf + hub > 1").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -116,10 +119,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         old, now = now, materialise(small.distinct(), "edges")
         discard(old)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = state
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
@@ -138,13 +137,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_share: float = 0.1, group: int = 4) -> DataFrame:
+@without_shuffles
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_share: float = 0.1, group: int = 4, distance: int = 3) -> DataFrame:
     """The rows of docs without near-duplicates: of each group of linked rows the one with the smallest id stays, and rows without an id.
 
     Two texts are linked if their distinct shingles of `words` words (fewer words: the whole sequence) have a
     Jaccard similarity of at least `similarity`.  Texts with equal sets are one node, null and empty texts too;
-    different texts that share an id are different nodes.  No link is lost.  Candidates come from prefixes: with
-    all sets sorted in one order (rare in a sample first, then by hash), two linked sets share one of their first
+    different texts that share an id are different nodes.
+
+    Candidates come from fingerprints first: each set has a SimHash, links() finds those within `distance` bits, and
+    a node meets the smallest one of its fingerprint and of the least fingerprint near it.  Pairs whose shingles prove
+    them alike are contracted.  Sets that alike can differ by more bits, so an exact way for the rest follows, which
+    pairs only what fingerprints have not joined, and no link is lost.  Its candidates come from prefixes: with all sets sorted in one order (rare in a sample first, then by hash), two linked sets share one of their first
     n - similarity * n + 1 shingles, however long they are.  Prefix shingles that one document alone holds are
     left out by their counts.  Bounds that no link can break (sizes, places in the order, and how many bits of
     the sets' parities differ) drop most candidates, and the rest are compared shingle by shingle.
@@ -155,46 +159,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(_common_shingles(rows, words, sample_share))  # of a fixed size
+    folds = [f"p{k}" for k in range(FOLDS)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1_000_000):
             sets = shingle_sets(batch_texts(batch), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(_parity, sets), pa.binary())], names=["doc_id", "digest", "n", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(_parity, sets), pa.binary()), pa.array(map(_simhash, sets), pa.int64()), *_folded(sets)], names=["doc_id", "digest", "n", "parity", "fp", *folds])
 
-    marks = materialise(rows.mapInArrow(mark, "doc_id long, digest binary, n int, parity binary"), "shingle-sets")
-    nodes = marks.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+    marks = materialise(rows.mapInArrow(mark, "doc_id long, digest binary, n int, parity binary, fp long" + "".join(f", {c} long" for c in folds)), "shingle-sets")
+    nodes = marks.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "parity", "fp", *folds)))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    def prefix(s: np.ndarray) -> np.ndarray:
-        known, often, repeated = order.value
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        by = np.lexsort((mix(s), np.where(known[at] == s, often[at], in_bitmap(repeated, s))))
-        return s[by[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(s) for s in shingle_sets(batch_texts(batch), words)]).view(np.int64))], names=["key"])
-
-    shared = rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")
-    often = spark.sparkContext.broadcast(bitmap(shared))  # of a fixed size
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
-            digests, keys, places = [], [], []
-            for s in shingle_sets(batch_texts(batch), words):
-                p = prefix(s)
-                at = np.flatnonzero(in_bitmap(often.value, p))
-                digests.append(_digest(s))
-                keys.append(p[at].view(np.int64))
-                places.append(at.astype(np.int32))
-            each = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["key", "at"])
-            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), each)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), found], names=["doc_id", "digest", "found"])
-
-    of_node = rows.mapInArrow(entries, "doc_id long, digest binary, found array<struct<key: long, at: int>>").where("size(found) > 0").groupBy("doc_id", "digest").agg(F.first("found").alias("found"))
-    of_node = of_node.join(nodes.select("doc_id", "digest", "node", "n").hint("merge"), ["doc_id", "digest"]).select("node", "n", F.explode("found").alias("e"))
-    table = materialise(of_node.select("e.key", "node", "n", "e.at"), "prefixes")
     least = similarity / (1 + similarity)  # the share of both sizes that linked sets have in common
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,15 +178,21 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             ok = [_differing(p.as_buffer(), q.as_buffer()) <= d for p, q, d in zip(batch.column("p"), batch.column("q"), most.tolist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    def bounded(met: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and parities allow a link."""
+        x = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")).hint("merge")
+        y = nodes.select(F.col("node").alias("b"), "n", F.col("parity").alias("q")).hint("merge")
+        both = met.join(x, "a").join(y, "b").where(F.least("m", "n") >= least * (F.col("m") + F.col("n")) - 1e-6)
+        return both.select("a", "b", "m", "n", "p", "q").mapInArrow(near, "a long, b long")
+
     def candidates(table: DataFrame, leads: DataFrame) -> DataFrame:
         """Pairs a > b of a lead and a node of another component that share a key and pass the bounds."""
-        leads = leads.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"))
+        leads = leads.select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("n").alias("lead_n"), F.col("at").alias("lead_at"), *(F.col(c).alias(f"lead_{c}") for c in folds))
         enough = F.least(F.col("n") - F.col("at"), F.col("lead_n") - F.col("lead_at")) >= least * (F.col("n") + F.col("lead_n")) - 1e-6
-        met = table.join(leads.hint("merge"), "key").where((F.col("root") != F.col("lead_root")) & enough)
-        met = met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-        x = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")).hint("merge")
-        y = nodes.select(F.col("node").alias("b"), "n", F.col("parity").alias("q")).hint("merge")
-        return met.join(x, "a").join(y, "b").select("a", "b", "m", "n", "p", "q").mapInArrow(near, "a long, b long")
+        differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in folds), F.lit(0))
+        few = differing <= (1 - 2 * least) * (F.col("n") + F.col("lead_n")) + 1e-6
+        met = table.join(leads.hint("merge"), "key").where((F.col("root") != F.col("lead_root")) & enough & few)
+        return bounded(met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct())
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,44 +207,84 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         """The pairs whose sets are alike; their texts are found again through a bitmap of fixed size."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         ends = materialise(ends.hint("merge").join(nodes.select("node", "doc_id", "digest"), "node"), "compared")
-        asked = spark.sparkContext.broadcast(bitmap(ends.select(F.xxhash64("doc_id"))))
+        asked = spark.sparkContext.broadcast(Bits(bitmap(ends.select(F.xxhash64("doc_id")))))
         texts = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets_of(asked, words), "doc_id long, digest binary, grams binary")
         sets = texts.groupBy("doc_id", "digest").agg(F.first("grams").alias("grams")).join(ends.hint("merge"), ["doc_id", "digest"])
         sets = materialise(sets.select("node", "grams"), "compared-sets")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         found = materialise(both.mapInArrow(alike, "a long, b long"), "links")
         discard(ends, sets)
-        del ends, sets, texts, both
-        _free_shuffles(spark)
+        asked.destroy()
         return found
 
+    fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprints")
+    close = materialise(links(fps.select("fp"), distance=distance), "close-fingerprints")
+    nearest = close.union(close.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    met = nearest.join(fps.toDF("a", "x").hint("merge"), "a").join(fps.toDF("b", "y").hint("merge"), "b").select("x", "y")
+    met = met.union(nodes.select("fp", "node").join(fps.hint("merge"), "fp").where("node != hub").select("node", "hub"))
+    pairs = materialise(bounded(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()), "pairs")
+    found = linked(pairs)
+    roots = materialise(components(found), "roots")
+    discard(fps, close, pairs)
+
+    order = spark.sparkContext.broadcast(_common_shingles(rows, words, sample_share))  # of a fixed size
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        known, often, repeated = order.value
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        by = np.lexsort((mix(s), np.where(known[at] == s, often[at], in_bitmap(repeated.bits, s))))
+        return s[by[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1_000_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(s) for s in shingle_sets(batch_texts(batch), words)]).view(np.int64))], names=["key"])
+
+    shared = rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")
+    often = spark.sparkContext.broadcast(Bits(bitmap(shared)))  # of a fixed size
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1_000_000):
+            digests, keys, places = [], [], []
+            for s in shingle_sets(batch_texts(batch), words):
+                p = prefix(s)
+                at = np.flatnonzero(in_bitmap(often.value.bits, p))
+                digests.append(_digest(s))
+                keys.append(p[at].view(np.int64))
+                places.append(at.astype(np.int32))
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["key", "at"])
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), found], names=["doc_id", "digest", "found"])
+
+    of_node = rows.mapInArrow(entries, "doc_id long, digest binary, found array<struct<key: long, at: int>>").where("size(found) > 0").groupBy("doc_id", "digest").agg(F.first("found").alias("found"))
+    of_node = of_node.join(nodes.select("doc_id", "digest", "node", "n", *folds).hint("merge"), ["doc_id", "digest"]).select("node", "n", *folds, F.explode("found").alias("e"))
+    table = materialise(of_node.select("e.key", "node", "n", "e.at", *folds), "prefixes")
+    order.destroy()
+    often.destroy()
     per_key = table.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("first")).where("many > 1")
     before = table
-    table = materialise(table.join(per_key.hint("merge"), "key").withColumn("root", F.col("node")), "shared-prefixes")
+    table = table.join(per_key.hint("merge"), "key").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    table = materialise(table, "shared-prefixes")
     discard(before)
-    links, roots, leads = None, None, table.where(F.col("node") == F.col("first"))
+    leads = table.where(F.col("node") == F.col("first"))
     left = table.where((F.col("many") > 2) & (F.col("node") != F.col("first")))
     while True:
         pairs = materialise(candidates(table, leads), "pairs")
         found = linked(pairs)
         discard(pairs)
-        links = found if links is None else links.union(found)
+        if not found.isEmpty():
+            old, roots = roots, materialise(components(roots.toDF("a", "b").union(found)), "roots")
+            discard(old)
         if left.isEmpty():
             break
-        if roots is None or not found.isEmpty():
-            discard(roots)
-            roots = materialise(components(links), "roots")
-        left = left.select("key", "node", "n", "at").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = left.select("key", "node", "n", "at", *folds).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         before, left = table, materialise(left, "unmet")
         discard(before)
         parts = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("c") - F.max("c")).alias("rest")).where("parts > 1")
         before, table = left, materialise(left.join(parts.hint("merge"), "key").withColumn("leads", (F.col("root") != F.col("main")) & (F.shiftrightunsigned(F.xxhash64("node"), 1).cast("double") < group * 2.0**63 / F.col("rest"))), "shared-prefixes")
         discard(before)
         leads, left = table.where("leads"), table.where(F.col("rest") > group).where("not leads")
-        _free_shuffles(spark)
         group *= 4
-    discard(table, roots)
-    roots = materialise(components(links), "roots")
+    discard(table)
     owner = marks.select("doc_id", "digest").distinct().join(nodes.select("digest", "node").hint("merge"), "digest").join(roots.hint("merge"), "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
     owner = materialise(owner, "owners")
     stays = owner.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("stays"))
@@ -282,12 +303,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return kept.drop("_digest").toDF(*docs.columns)
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of jobs that are done go once the driver's garbage is collected; else they pile up over the rounds."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles (fewer words: one, of the whole sequence); A-Z count as a-z."""
     data = [t.encode("utf-8", "replace").lower() for t in texts]
@@ -318,12 +333,27 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _simhash(s: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the set's hashes."""
+    count = np.zeros(64, np.int64)
+    for k in range(0, len(s), 50_000):
+        count += np.unpackbits(s[k : k + 50_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(s)).view(">i8")[0])
+
+
 def _parity(s: np.ndarray) -> bytes:
     """For each low end of the hashes, in as many bits as two for each shingle need (1,024 at least), whether an odd number has it."""
     size = max(1024, 1 << (2 * len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) % 2 == 1, bitorder="little").tobytes()
 
 
+def _folded(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The parities of the sets in FOLDS longs each, which tell most short sets apart where they meet."""
+    low = [np.bincount((s & np.uint64(64 * FOLDS - 1)).astype(np.int64), minlength=64 * FOLDS) % 2 == 1 for s in sets]
+    words = np.packbits(np.array(low, bool).reshape(len(sets), FOLDS, 64), axis=2, bitorder="little").reshape(len(sets), FOLDS * 8).view("<i8")
+    return [pa.array(np.ascontiguousarray(words[:, k])) for k in range(FOLDS)]
+
+
 def _differing(p: pa.Buffer, q: pa.Buffer) -> int:
     """In how many bits two parities differ, the longer folded to the shorter; never more than the shingles that one set alone has."""
     x, y = (np.frombuffer(z, np.uint64) for z in (p, q))
@@ -344,7 +374,7 @@ def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _common_shingles(rows: DataFrame, words: int, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _common_shingles(rows: DataFrame, words: int, share: float, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, Bits]:
     """What only sets the order of prefixes, from a share of the documents (by a hash of the id): the `most` most frequent shingles, sorted, how many documents hold each, and a bitmap of all that two or more hold."""
     rows = rows.where(below(max(1, int(share * 2**62)), "doc_id"))
 
@@ -354,7 +384,7 @@ def _common_shingles(rows: DataFrame, words: int, share: float, most: int = 200_
 
     counted = materialise(rows.mapInArrow(run, "key long").groupBy("key").count().where("count > 1"), "repeated-shingles")
     often = counted.orderBy(F.desc("count"), "key").limit(most).toArrow()
-    repeated = bitmap(counted.select("key"))
+    repeated = Bits(bitmap(counted.select("key")))
     discard(counted)
     known = often.column("key").to_numpy().view(np.uint64)
     order = np.argsort(known)
@@ -366,7 +396,7 @@ def _sets_of(asked, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1_000_000):
-            batch = batch.filter(pa.array(in_bitmap(asked.value, batch.column("h").to_numpy())))
+            batch = batch.filter(pa.array(in_bitmap(asked.value.bits, batch.column("h").to_numpy())))
             sets = shingle_sets(batch_texts(batch), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(_packed, sets), pa.binary())], names=["doc_id", "digest", "grams"])
 

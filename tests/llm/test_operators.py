@@ -1,6 +1,7 @@
 """Each operator on small fixtures against brute force, and on nulls, empty and long texts, repeats, empty tables and clashing names."""
 
 import hashlib
+import pickle
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geoflow.llm import decontam, langid, pieces, secrets, simhash, substrings, tokens, topk, toxicity, urls
+from geoflow.llm import common, decontam, langid, pieces, secrets, simhash, substrings, tokens, topk, toxicity, urls
 from geoflow.llm.common import below, hash_share, shared_dir, span_hashes, word_hashes, word_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -560,6 +561,38 @@ def test_keep_one_links_all_pairs_at_the_threshold(spark):
     assert slow_keep_one(rows) == ids_kept(spark, rows) == list(range(0, 80, 2))
 
 
+def test_keep_one_joins_near_fingerprints_first(spark, monkeypatch):
+    """Pairs within 3 bits are found by their fingerprints' segments, before any prefix is made."""
+    text = prose(8100, 900)
+    rows = [(0, text), (1, changed(text, [880], "other")), (2, prose(8101, 900))]
+    sets = simhash.shingle_sets([t for _, t in rows], 5)
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    assert [simhash._simhash(s) % 2**64 for s in sets] == want and (want[0] ^ want[1]).bit_count() <= 3 < (want[0] ^ want[2]).bit_count()
+    steps, links, common, write = [], simhash.links, simhash._common_shingles, simhash.materialise
+
+    def wrote(df, name):
+        out = write(df, name)
+        steps.extend([out.count()] if name == "links" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: steps.append("segments") or links(*a, **b))
+    monkeypatch.setattr(simhash, "_common_shingles", lambda *a: steps.append("prefixes") or common(*a))
+    monkeypatch.setattr(simhash, "materialise", wrote)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    assert ids_kept(spark, rows) == [0, 2]
+    assert steps[:3] == ["segments", 1, "prefixes"] and sum(steps[3:]) == 0
+    assert spark.conf.get(key) == before
+
+
+def test_bits_are_sent_as_few_words():
+    few, many = np.zeros(1 << 21, np.uint64), np.arange(1, 1 << 12, dtype=np.uint64)
+    few[[3, 70_000]] = 5, 2**64 - 1
+    for bits, most in ((few, 1000), (many, 9 * len(many))):
+        sent = pickle.dumps(common.Bits(bits))
+        assert len(sent) < most and np.array_equal(pickle.loads(sent).bits, bits)
+
+
 def test_keep_one_links_members_that_their_leader_rejects(spark):
     """The smallest id is at 0.63 to 0.8 of two texts that are over 0.8 of each other."""
     rows = []
