@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from geoflow.functions.aggregates import FID
 from geoflow.functions.expressions import Value
@@ -41,7 +42,8 @@ def points_from_xy(df: DataFrame, x: str | None = None, y: str | None = None) ->
     y = y or next((lower[n] for n in ("lat", "latitude", "y") if n in lower), None)
     if x is None or y is None:
         raise ValueError("no coordinate fields found")
-    as_number = lambda c: F.coalesce(field(c).try_cast("double"), parse_dms(field(c).cast("string")))
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}  # their plans stay small without the text's
+    as_number = lambda c: field(c).cast("double") if c in numeric else F.coalesce(field(c).try_cast("double"), parse_dms(field(c).cast("string")))
     return df.withColumn("geom", point(as_number(x), as_number(y)))
 
 
@@ -288,24 +290,43 @@ def join_polygons_to_points(points: DataFrame, polygons: DataFrame, cell: float
 
 
 def join_near_points(target: DataFrame, source: DataFrame, most: float, **options) -> DataFrame:
-    """Each point receives the points within a planar distance, smallest `__fid` first."""
+    """Each point receives the points within a planar distance, smallest `__fid` first.
+
+    Points at one place have the same matches, which are made and reduced once for each place.
+    """
     from geoflow.operators.joins import attach
 
-    pairs = near_points(target, source, most)
-    found = pairs.join(source.drop("geom"), F.col("_s") == F.col(FID)).select("_t", *source.drop("geom").columns)
-    return attach(target, found, options.pop("fields", []), **options)
+    t, s = target.withColumn("_place", place("geom")), source.withColumn("_place", place("geom"))
+    near = near_places(t, s, most)
+    found = s.drop("geom").join(near, F.col("_place") == F.col("_b")).select(F.col("_a").alias("_t"), *source.drop("geom").columns)
+    return attach(t, found, options.pop("fields", []), on="_place", **options).drop("_place")
+
+
+def place(geom: str) -> Column:
+    """Where a point is (its first); null without a shape.  -0 is 0."""
+    at = F.col(geom)["parts"][0][0]
+    return F.when(F.col(geom).isNotNull(), F.struct((at["x"] + 0.0).alias("x"), (at["y"] + 0.0).alias("y")))
 
 
-def near_points(target: DataFrame, source: DataFrame, most: float) -> DataFrame:
-    """(_t, _s, _d): planar distances up to `most` between points, by cells of that size and their eight neighbours."""
-    place = lambda df, n: df.where("geom is not null").select(F.col(FID).alias(n), F.col("geom")["parts"][0][0]["x"].alias(f"{n}x"), F.col("geom")["parts"][0][0]["y"].alias(f"{n}y"))
-    t, s = place(target, "_t"), place(source, "_s")
+def near_places(target: DataFrame, source: DataFrame, most: float) -> DataFrame:
+    """(_a, _b, _d): planar distances up to `most` between the distinct `_place`s of both, by cells of that size and their eight neighbours."""
+    a, b = (df.where("_place is not null").select(F.col("_place").alias(n)).distinct() for df, n in ((target, "_a"), (source, "_b")))
     cell = lambda c: F.floor(F.col(c) / most)
     around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    t = t.withColumn("_cx", around("_tx")).withColumn("_cy", around("_ty"))
-    s = s.withColumns({"_cx": cell("_sx"), "_cy": cell("_sy")})
-    d = F.hypot(F.col("_tx") - F.col("_sx"), F.col("_ty") - F.col("_sy"))
-    return t.join(s, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= most).select("_t", "_s", "_d")
+    a = a.withColumn("_cx", around("_a.x")).withColumn("_cy", around("_a.y"))
+    b = b.withColumns({"_cx": cell("_b.x"), "_cy": cell("_b.y")})
+    d = F.hypot(F.col("_a.x") - F.col("_b.x"), F.col("_a.y") - F.col("_b.y"))
+    return a.join(b, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= most).select("_a", "_b", "_d")
+
+
+def near_points(target: DataFrame, source: DataFrame, most: float, *, digits: int | None = None) -> DataFrame:
+    """(_t, _s, _d): planar distances up to `most` between points, rounded to `digits`; measured once for each pair of places."""
+    t, s = (df.withColumn("_place", place("geom")).where("_place is not null").select(F.col(FID).alias(n), "_place") for df, n in ((target, "_t"), (source, "_s")))
+    near = near_places(t, s, most)
+    if digits is not None:
+        near = near.withColumn("_d", F.round("_d", digits))
+    near = t.join(near, F.col("_place") == F.col("_a")).select("_t", "_b", "_d")
+    return near.join(s, F.col("_b") == F.col("_place")).select("_t", "_s", "_d")
 
 
 def dissolve_shapes(df: DataFrame, fields: list[str], *, weight: str | None = None, multipart: bool = False, overlapping: bool = False, sphere: bool = False) -> DataFrame:

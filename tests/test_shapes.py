@@ -120,3 +120,21 @@ def test_commands(spark):
     s = Session(spark, {"a": layer(spark, ("polygon", [SQUARE]), ("polygon", [FAR]))})
     assert s.run("-clip bbox=0,0,1,1 -each 'area = this.area'").first().area == 1.0
     assert s.run("-points centroid").count() == 1
+
+
+def test_near_points_by_places(spark):
+    """Points at one place are measured and reduced once; -0 is 0, and points without a shape meet none."""
+    at = [(k % 7 * 1.5, k % 3 * 2.0) for k in range(60)] + [(-0.0, 0.0), (0.0, -0.0), (100.0, 0.0)]
+    df = spark.createDataFrame([(k, *xy) for k, xy in enumerate(at)] + [(63, None, 1.0), (64, None, None)], "__fid long, x double, y double")
+    df = geometry.points_from_xy(df).withColumn("k", F.col("__fid") + 100)
+    want = [(a, b, math.hypot(p[0] - q[0], p[1] - q[1])) for a, p in enumerate(at) for b, q in enumerate(at)]
+    want = [(a, b, d) for a, b, d in want if d <= 2.5]
+    assert sorted(map(tuple, geometry.near_points(df, df, 2.5).collect())) == want
+    assert sorted(map(tuple, geometry.near_points(df, df, 2.5, digits=1).collect())) == [(a, b, round(d, 1)) for a, b, d in want]
+    of = df.select("__fid", "geom", "k")
+    out = geometry.join_near_points(df.drop("k"), of, 2.5, calc="n = count(), first = first(k)").orderBy("__fid").collect()
+    mine = [[b for a, b, _ in want if a == k] for k in range(65)]
+    assert [(x["__fid"], x["n"], x["first"]) for x in out] == [(k, len(m), m[0] + 100 if m else None) for k, m in enumerate(mine)]
+    assert "_place" not in out[0].asDict()
+    one = df.where("x = 0 and y = 0").withColumn("_place", geometry.place("geom"))
+    assert one.count() > 3 and geometry.near_places(one, one, 2.5).count() == 1
