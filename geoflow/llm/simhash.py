@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
 from collections.abc import Iterator
@@ -162,7 +163,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     folds = [f"p{k}" for k in range(FOLDS)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
+        for batch in slices(batches, limit=500_000):
             sets = shingle_sets(batch_texts(batch), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(_parity, sets), pa.binary()), pa.array(map(_simhash, sets), pa.int64()), *_folded(sets)], names=["doc_id", "digest", "n", "parity", "fp", *folds])
 
@@ -215,6 +216,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         found = materialise(both.mapInArrow(alike, "a long, b long"), "links")
         discard(ends, sets)
         asked.destroy()
+        del ends, sets, texts, both
+        _free_broadcasts(spark)
         return found
 
     fps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprints")
@@ -236,14 +239,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return s[by[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
+        for batch in slices(batches, limit=500_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix(s) for s in shingle_sets(batch_texts(batch), words)]).view(np.int64))], names=["key"])
 
     shared = rows.select("text").mapInArrow(keys, "key long").groupBy("key").count().where("count > 1")
     often = spark.sparkContext.broadcast(Bits(bitmap(shared)))  # of a fixed size
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
+        for batch in slices(batches, limit=500_000):
             digests, keys, places = [], [], []
             for s in shingle_sets(batch_texts(batch), words):
                 p = prefix(s)
@@ -303,6 +306,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return kept.drop("_digest").toDF(*docs.columns)
 
 
+def _free_broadcasts(spark: SparkSession) -> None:
+    """What joins have sent to the executors goes once the driver's garbage is collected; else it piles up over the rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles (fewer words: one, of the whole sequence); A-Z count as a-z."""
     data = [t.encode("utf-8", "replace").lower() for t in texts]
@@ -336,8 +345,8 @@ def _digest(s: np.ndarray) -> bytes:
 def _simhash(s: np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the set's hashes."""
     count = np.zeros(64, np.int64)
-    for k in range(0, len(s), 50_000):
-        count += np.unpackbits(s[k : k + 50_000].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    for k in range(0, len(s), 4096):
+        count += np.unpackbits(s[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int(np.packbits(2 * count > len(s)).view(">i8")[0])
 
 
@@ -379,7 +388,7 @@ def _common_shingles(rows: DataFrame, words: int, share: float, most: int = 200_
     rows = rows.where(below(max(1, int(share * 2**62)), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
+        for batch in slices(batches, limit=500_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch_texts(batch), words)).view(np.int64))], names=["key"])
 
     counted = materialise(rows.mapInArrow(run, "key long").groupBy("key").count().where("count > 1"), "repeated-shingles")
@@ -395,7 +404,7 @@ def _sets_of(asked, words: int):
     """doc_id, digest and packed set of the rows whose hash `h` is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_000_000):
+        for batch in slices(batches, limit=500_000):
             batch = batch.filter(pa.array(in_bitmap(asked.value.bits, batch.column("h").to_numpy())))
             sets = shingle_sets(batch_texts(batch), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_digest, sets), pa.binary()), pa.array(map(_packed, sets), pa.binary())], names=["doc_id", "digest", "grams"])
@@ -405,7 +414,7 @@ def _sets_of(asked, words: int):
 
 def _add_digest(at: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, f"c{at}", limit=1_000_000):
+        for batch in slices(batches, f"c{at}", limit=500_000):
             digests = pa.array(map(_digest, shingle_sets(batch_texts(batch, f"c{at}"), words)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[f"c{k}" for k in range(batch.num_columns + 1)])
 
