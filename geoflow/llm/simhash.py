@@ -101,14 +101,20 @@ def _chained(table: DataFrame, hot: DataFrame, distance: int) -> DataFrame:
     return named.join(hub, ["side", "key", "other"]).where("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *, at_once: int = 0) -> DataFrame:
     """(node, root): the smallest node of each connected component, for all nodes with an edge (a, b).
 
     Alternating large-star and small-star steps, each written to the shared folder, until all that is
     left are stars.  A node's least neighbour is an aggregate and joined back, so that a hub with very many
-    neighbours is reduced before it moves, and its join can be split.
+    neighbours is reduced before it moves, and its join can be split.  Up to at_once different edges are
+    connected on the driver instead, 16 bytes each: a step has some 1,500 tasks over 211 partitions, however few they are.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    if at_once and now.count() <= at_once:
+        few = now.toArrow()
+        discard(now)
+        node, root = _rooted(few.column("a").to_numpy(), few.column("b").to_numpy())
+        return edges.sparkSession.createDataFrame(pa.table({"node": node, "root": root}), "node long, root long")
     while True:
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("hub")).union(now.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub")).where("leaf + hub > 1").isEmpty():
@@ -122,6 +128,19 @@ def components(edges: DataFrame) -> DataFrame:
         discard(old)
 
 
+def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, sorted, and the smallest node of each one's component: larger roots hang on smaller ones until no edge joins two."""
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(node))
+    while (root[x] != root[y]).any():
+        p, q = root[x], root[y]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    return node, node[root]
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links) of every row.
 
@@ -139,7 +158,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 @without_shuffles
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_share: float = 0.1, group: int = 4, distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, sample_share: float = 0.1, group: int = 4, distance: int = 3, at_once: int = 250_000) -> DataFrame:
     """The rows of docs without near-duplicates: of each group of linked rows the one with the smallest id stays, and rows without an id.
 
     Two texts are linked if their distinct shingles of `words` words (fewer words: the whole sequence) have a
@@ -157,6 +176,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     The smallest node of a shingle meets all others; then what is linked is contracted, and the nodes outside of
     the shingle's largest component (about `group` of them in the first such round, four times as many in each
     later one, the same ones in all shingles of one size) meet all nodes of other components.  A shingle is done when one component holds all that are left.
+    at_once: see components().
     """
     rows = id_and_text(docs, id_col, text_col).where("doc_id is not null")
     spark = docs.sparkSession
@@ -227,7 +247,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     met = met.union(nodes.select("fp", "node").join(fps.hint("merge"), "fp").where("node != hub").select("node", "hub"))
     pairs = materialise(bounded(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()), "pairs")
     found = linked(pairs)
-    roots = materialise(components(found), "roots")
+    roots = materialise(components(found, at_once=at_once), "roots")
     discard(fps, close, pairs)
 
     order = spark.sparkContext.broadcast(_common_shingles(rows, words, sample_share))  # of a fixed size
@@ -275,7 +295,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         found = linked(pairs)
         discard(pairs)
         if not found.isEmpty():
-            old, roots = roots, materialise(components(roots.toDF("a", "b").union(found)), "roots")
+            old, roots = roots, materialise(components(roots.toDF("a", "b").union(found), at_once=at_once), "roots")
             discard(old)
         if left.isEmpty():
             break

@@ -593,6 +593,37 @@ def test_bits_are_sent_as_few_words():
         assert len(sent) < most and np.array_equal(pickle.loads(sent).bits, bits)
 
 
+def test_components_of_few_edges(spark):
+    """On the driver up to at_once edges, and step by step beyond: the same components."""
+    r = random.Random(3)
+    names = r.sample(range(-(10**12), 10**12), 400)
+    edges = [*zip(names[:200], names[1:201], strict=False), *((names[300], n) for n in names[201:300]), *(r.sample(names[301:], 2) for _ in range(60)), (7, 7)]
+    r.shuffle(edges)
+    root = {n: n for e in edges[:] for n in e if n != 7}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df, few = spark.createDataFrame([*edges, edges[0]], "a long, b long"), len({frozenset(e) for e in edges if e[0] != e[1]})
+    for at_once in (few, few - 1, 0):
+        out = simhash.components(df, at_once=at_once)
+        assert out.columns == ["node", "root"] and sorted(map(tuple, out.collect())) == sorted(root.items())
+        assert simhash.components(df.where("a = 7"), at_once=at_once).count() == 0
+
+
+def test_keep_one_connects_few_links_at_once(spark, monkeypatch):
+    """A chain, each text with three words less of the first one, has its links written once for each time they are connected."""
+    text, rows, steps, write = prose(8200, 400), [], [], simhash.materialise
+    for k in range(16):
+        text = changed(text, range(25 * k + 2, 25 * k + 20, 6), "new")
+        rows.append((k * 7 % 16, text))
+    monkeypatch.setattr(simhash, "materialise", lambda df, name: steps.append(name) or write(df, name))
+    assert slow_keep_one(rows) == ids_kept(spark, rows) == [0]
+    assert steps.count("edges") == steps.count("roots") > 0
+    assert ids_kept(spark, rows, at_once=0) == [0]
+    assert steps.count("edges") > steps.count("roots")
+
+
 def test_keep_one_links_members_that_their_leader_rejects(spark):
     """The smallest id is at 0.63 to 0.8 of two texts that are over 0.8 of each other."""
     rows = []
