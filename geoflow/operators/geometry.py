@@ -311,7 +311,8 @@ def place(geom: str) -> Column:
 def near_places(target: DataFrame, source: DataFrame, most: float) -> DataFrame:
     """(_a, _b, _d): planar distances up to `most` between the distinct `_place`s of both, by cells of that size and their eight neighbours."""
     a, b = (df.where("_place is not null").select(F.col("_place").alias(n)).distinct() for df, n in ((target, "_a"), (source, "_b")))
-    cell = lambda c: F.floor(F.col(c) / most)
+    # never null: else Spark looks for null cells among the points, before it makes them distinct
+    cell = lambda c: F.coalesce(F.floor(F.col(c) / most), F.lit(0))
     around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
     a = a.withColumn("_cx", around("_a.x")).withColumn("_cy", around("_a.y"))
     b = b.withColumns({"_cx": cell("_b.x"), "_cy": cell("_b.y")})
@@ -321,12 +322,46 @@ def near_places(target: DataFrame, source: DataFrame, most: float) -> DataFrame:
 
 def near_points(target: DataFrame, source: DataFrame, most: float, *, digits: int | None = None) -> DataFrame:
     """(_t, _s, _d): planar distances up to `most` between points, rounded to `digits`; measured once for each pair of places."""
-    t, s = (df.withColumn("_place", place("geom")).where("_place is not null").select(F.col(FID).alias(n), "_place") for df, n in ((target, "_t"), (source, "_s")))
-    near = near_places(t, s, most)
-    if digits is not None:
-        near = near.withColumn("_d", F.round("_d", digits))
-    near = t.join(near, F.col("_place") == F.col("_a")).select("_t", "_b", "_d")
-    return near.join(s, F.col("_b") == F.col("_place")).select("_t", "_s", "_d")
+    t, s = (df.withColumn("_place", place("geom")) for df in (target, source))
+    return _met(t, s, _rounded(near_places(t, s, most), digits)).select("_t", "_s", "_d")
+
+
+def near_pairs(df: DataFrame, most: float, *, digits: int | None = None) -> DataFrame:
+    """(_t, _s, _d) of near_points() within one table, each two points once: `_t` is the smaller `__fid`."""
+    t = df.withColumn("_place", place("geom"))
+    out = _met(t, t, _rounded(near_places(t, t, most).where("_a <= _b"), digits), once=True).where("_t < _s or not _own and _t > _s")
+    return out.select(F.least("_t", "_s").alias("_t"), F.greatest("_t", "_s").alias("_s"), "_d")
+
+
+def _rounded(near: DataFrame, digits: int | None) -> DataFrame:
+    return near if digits is None else near.withColumn("_d", F.round("_d", digits))
+
+
+#: Points of one place that meet others as one row, on average.
+BLOCK = 512
+
+
+def _blocks(df: DataFrame, key: str, number: str, ids: str) -> DataFrame:
+    """(key, number, ids): each `_place`'s `__fid`s in numbered blocks of about BLOCK, dealt by hash, so that no place is gathered."""
+    at = df.where("_place is not null").select(F.col(FID).alias("_f"), "_place")
+    counts = at.groupBy(F.col("_place").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
+    dealt = at.join(counts, F.col("_place") == F.col("_of")).withColumn(number, F.pmod(F.xxhash64("_f"), F.col("_n")))
+    return dealt.groupBy(F.col("_place").alias(key), number).agg(F.collect_list("_f").alias(ids))
+
+
+def _met(target: DataFrame, source: DataFrame, near: DataFrame, *, once: bool = False) -> DataFrame:
+    """(_t, _s, _d, _own): all points of the places that are near each other.
+
+    once: two blocks of one place meet once, and a block meets itself, which `_own` tells.  Pairs of blocks are dealt over
+    the tasks and listed there, as a few places can have most of the pairs.
+    """
+    spark = near.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    out = near.join(_blocks(target, "_ka", "_i", "_ts"), F.col("_a") == F.col("_ka")).join(_blocks(source, "_kb", "_j", "_ss"), F.col("_b") == F.col("_kb"))
+    out = out.where("_a < _b or _i <= _j") if once else out
+    out = out.withColumn("_own", F.expr("_a = _b and _i = _j")).repartition(tasks, "_a", "_b", "_i", "_j").select("_ts", "_ss", "_d", "_own")
+    # Spark doesn't compile a transform() into the loop over _ss, which keeps its rows until its next input: those of one _t, not of all
+    return out.withColumn("_t", F.explode(F.transform("_ts", lambda t: t))).withColumn("_s", F.explode("_ss"))
 
 
 def dissolve_shapes(df: DataFrame, fields: list[str], *, weight: str | None = None, multipart: bool = False, overlapping: bool = False, sphere: bool = False) -> DataFrame:

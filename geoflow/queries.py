@@ -225,8 +225,7 @@ def points_to_polygons(spark, sf_dir):
 
 @query(f"select a.c_custkey as a, b.c_custkey as b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) as d from {XY_SQL} a join {XY_SQL} b on a.c_custkey < b.c_custkey and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9")
 def points_near_points(spark, sf_dir):
-    p = points(spark, sf_dir)
-    near = geometry.near_points(p, p, 3.0, digits=6).where("_t < _s")
+    near = geometry.near_pairs(points(spark, sf_dir), 3.0, digits=6)
     return near.select(F.col("_t").alias("a"), F.col("_s").alias("b"), F.col("_d").alias("d"))
 
 

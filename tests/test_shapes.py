@@ -4,12 +4,15 @@ import json
 import math
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoflow.functions.aggregates import FID
 from geoflow.operators import geometry, shapes
 from geoflow.plans.session import Session
+from geoflow.queries import QUERIES
 from geoflow.sources import files
+from tests.oracle import SF
 
 
 def layer(spark, *rows):
@@ -138,3 +141,23 @@ def test_near_points_by_places(spark):
     assert "_place" not in out[0].asDict()
     one = df.where("x = 0 and y = 0").withColumn("_place", geometry.place("geom"))
     assert one.count() > 3 and geometry.near_places(one, one, 2.5).count() == 1
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_near_pairs_by_blocks(spark, monkeypatch, block):
+    """Each two points once, in places of many blocks too, and no task lists most of them."""
+    monkeypatch.setattr(geometry, "BLOCK", block)
+    at = [(k % 7 * 1.5, k % 3 * 2.0) for k in range(60)] + [(50.0 + k % 2, 50.0) for k in range(60)] + [(-0.0, 0.0), (100.0, 0.0)]
+    df = geometry.points_from_xy(spark.createDataFrame([(k, *xy) for k, xy in enumerate(at)] + [(122, None, 1.0)], "__fid long, x double, y double"))
+    want = [(a, b, math.hypot(p[0] - q[0], p[1] - q[1])) for a, p in enumerate(at) for b, q in enumerate(at)]
+    want = [(a, b, d) for a, b, d in want if d <= 2.5]
+    assert sorted(map(tuple, geometry.near_points(df, df, 2.5).collect())) == want
+    out = geometry.near_pairs(df, 2.5, digits=1)
+    assert sorted(map(tuple, out.collect())) == [(a, b, round(d, 1)) for a, b, d in want if a < b]
+    assert geometry.near_pairs(df.where("false"), 2.5).count() == 0
+
+
+def test_points_near_points_over_tasks(spark):
+    """The query's pairs were all listed by the one task that had the places."""
+    counts = [r[1] for r in QUERIES["points_near_points"](spark, SF).select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()]
+    assert len(counts) > 4 and max(counts) < sum(counts) / 2
